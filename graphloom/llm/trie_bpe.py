@@ -149,8 +149,10 @@ class TrieBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-#: One coder for each vocabulary and Python worker; later tasks of the worker find its memos filled.
-_bpe = lru_cache(maxsize=1)(TrieBpe)
+@lru_cache(maxsize=1)
+def _bpe(path: str) -> TrieBpe:
+    """One coder for each Python worker; its later tasks find the memos filled."""
+    return TrieBpe(path)
 
 
 def _slices(texts: list[str], most: int) -> Iterator[slice]:
