@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from graphloom.llm.language_mixture import op4_language_mixture
+from graphloom.llm.line_crf import op10_line_crf
+from graphloom.llm.quality_cnn import op2_quality_cnn
 from graphloom.llm.trie_bpe import op8_trie_bpe
 from graphloom.llm.weighted_tree import op3_weighted_hash_tree
 
 QUERIES = {
+    "op2_quality_cnn": op2_quality_cnn,
     "op3_weighted_hash_tree": op3_weighted_hash_tree,
+    "op4_language_mixture": op4_language_mixture,
     "op8_trie_bpe": op8_trie_bpe,
+    "op10_line_crf": op10_line_crf,
 }
 ORACLE_SQL: dict[str, str] = {}
