@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from graphloom.llm.language_mixture import op4_language_mixture
 from graphloom.llm.line_crf import op10_line_crf
+from graphloom.llm.line_runs import op7_line_runs
+from graphloom.llm.qgram_decontam import op9_qgram_decontam
 from graphloom.llm.quality_cnn import op2_quality_cnn
 from graphloom.llm.trie_bpe import op8_trie_bpe
 from graphloom.llm.weighted_tree import op3_weighted_hash_tree
@@ -12,7 +14,9 @@ QUERIES = {
     "op2_quality_cnn": op2_quality_cnn,
     "op3_weighted_hash_tree": op3_weighted_hash_tree,
     "op4_language_mixture": op4_language_mixture,
+    "op7_line_runs": op7_line_runs,
     "op8_trie_bpe": op8_trie_bpe,
+    "op9_qgram_decontam": op9_qgram_decontam,
     "op10_line_crf": op10_line_crf,
 }
 ORACLE_SQL: dict[str, str] = {}
