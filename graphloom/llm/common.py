@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,3 +53,15 @@ def materialise(df: DataFrame) -> DataFrame:
 def words_of(text: str) -> list[bytes]:
     """Lower-cases A-Z and cuts at ASCII white space: what ``[^\\x20\\x09-\\x0D]+`` finds, as UTF-8."""
     return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def slices(texts: list[str], most: int) -> Iterator[slice]:
+    """Slices of the list of about ``most`` characters each, at least one text."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > most:
+            yield slice(start, i)
+            start, size = i, 0
+        size += len(t)
+    if start < len(texts):
+        yield slice(start, len(texts))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from graphloom.llm.brown_lm import op1_brown_lm
 from graphloom.llm.language_mixture import op4_language_mixture
 from graphloom.llm.line_crf import op10_line_crf
 from graphloom.llm.line_runs import op7_line_runs
@@ -11,6 +12,7 @@ from graphloom.llm.trie_bpe import op8_trie_bpe
 from graphloom.llm.weighted_tree import op3_weighted_hash_tree
 
 QUERIES = {
+    "op1_brown_lm": op1_brown_lm,
     "op2_quality_cnn": op2_quality_cnn,
     "op3_weighted_hash_tree": op3_weighted_hash_tree,
     "op4_language_mixture": op4_language_mixture,

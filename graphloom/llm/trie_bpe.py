@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import table, whole_text
+from graphloom.llm.common import slices, table, whole_text
 
 #: The public byte-level pattern that splits text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -155,24 +155,12 @@ def _bpe(path: str) -> TrieBpe:
     return TrieBpe(path)
 
 
-def _slices(texts: list[str], most: int) -> Iterator[slice]:
-    """Slices of the list of about ``most`` characters each, at least one text."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield slice(start, i)
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield slice(start, len(texts))
-
-
 def _coder(path: str, chars: int = 4_000_000) -> Callable:
     def run(batches):
         bpe = _bpe(path)
         for batch in batches:
             doc_id, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            for part in _slices(texts, chars):
+            for part in slices(texts, chars):
                 ids = bpe.encode_batch(texts[part])
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 back = [bpe.decode(x.tolist()) for x in ids]
