@@ -8,6 +8,7 @@ from graphloom.llm.line_crf import op10_line_crf
 from graphloom.llm.line_runs import op7_line_runs
 from graphloom.llm.qgram_decontam import op9_qgram_decontam
 from graphloom.llm.quality_cnn import op2_quality_cnn
+from graphloom.llm.repeat_suffixes import op6_repeat_suffixes
 from graphloom.llm.trie_bpe import op8_trie_bpe
 from graphloom.llm.weighted_tree import op3_weighted_hash_tree
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_quality_cnn": op2_quality_cnn,
     "op3_weighted_hash_tree": op3_weighted_hash_tree,
     "op4_language_mixture": op4_language_mixture,
+    "op6_repeat_suffixes": op6_repeat_suffixes,
     "op7_line_runs": op7_line_runs,
     "op8_trie_bpe": op8_trie_bpe,
     "op9_qgram_decontam": op9_qgram_decontam,
