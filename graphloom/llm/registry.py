@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from graphloom.llm.brown_lm import op1_brown_lm
+from graphloom.llm.count_rtree import op5_count_rtree
 from graphloom.llm.language_mixture import op4_language_mixture
 from graphloom.llm.line_crf import op10_line_crf
 from graphloom.llm.line_runs import op7_line_runs
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_quality_cnn": op2_quality_cnn,
     "op3_weighted_hash_tree": op3_weighted_hash_tree,
     "op4_language_mixture": op4_language_mixture,
+    "op5_count_rtree": op5_count_rtree,
     "op6_repeat_suffixes": op6_repeat_suffixes,
     "op7_line_runs": op7_line_runs,
     "op8_trie_bpe": op8_trie_bpe,
