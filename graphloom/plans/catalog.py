@@ -2,5 +2,629 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.functions import signatures
+from graphloom.functions.tables import portable_hash, portable_hash_sql
+from graphloom.operators import evaluate, gcn, kernels, persistence, vectorize, walks, wl
+from graphloom.plans import experiment
+from graphloom.sources.collections import (
+    CO_PURCHASE_SQL,
+    CUSTOMER_SUPPLIER_SQL,
+    EVENT_TRANSITIONS_SQL,
+    co_purchase_graphs,
+    customer_supplier_edges,
+    event_transitions,
+    table,
+)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL if SQL can express it."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def graphs_sql(*ctes: str, select: str, recursive: bool = False) -> str:
+    return f"WITH {'RECURSIVE ' * recursive}{','.join([CO_PURCHASE_SQL, *ctes])} {select}"
+
+
+def labels_sql(iterations: int) -> str:
+    """CTEs l0 .. l<iterations> of (graph_id, v, label)."""
+    found = ["""
+l0 AS (SELECT x.graph_id, x.v, d.label FROM vertices x JOIN (
+         SELECT raw_label, ROW_NUMBER() OVER (ORDER BY f) - 1 AS label
+         FROM (SELECT raw_label, MIN(graph_id * 1000000000 + v) AS f FROM vertices GROUP BY 1)) d USING (raw_label))"""]
+    for i in range(1, iterations + 1):
+        found.append(f"""
+m{i} AS (SELECT x.graph_id, x.v, [x.label] || COALESCE(n.near, CAST([] AS BIGINT[])) AS merged FROM l{i - 1} x LEFT JOIN (
+           SELECT a.graph_id, a.v, LIST_SORT(LIST(y.label)) AS near FROM adj a
+           JOIN l{i - 1} y ON y.graph_id = a.graph_id AND y.v = a.nbr GROUP BY 1, 2) n USING (graph_id, v)),
+l{i} AS (SELECT x.graph_id, x.v, d.label FROM m{i} x JOIN (
+           SELECT merged, ROW_NUMBER() OVER (ORDER BY f) - 1 AS label
+           FROM (SELECT merged, MIN(graph_id * 1000000000 + v) AS f FROM m{i} GROUP BY 1)) d USING (merged))""")
+    return ",".join(found)
+
+
+def histogram_sql(iterations: int) -> str:
+    each = [f"SELECT {i} AS it, graph_id, label, COUNT(*) AS n FROM l{i} GROUP BY graph_id, label" for i in range(iterations + 1)]
+    return f"h AS ({' UNION ALL '.join(each)})"
+
+
+def weights_sql(it: int) -> str:
+    """CTEs of w<it> (graph_id, u, v, e_ord, weight)."""
+    ends = lambda l: f"JOIN {l} a ON a.graph_id = e.graph_id AND a.v = e.u JOIN {l} b ON b.graph_id = e.graph_id AND b.v = e.v"  # noqa: E731, E741
+    if it == 0:
+        return f"w0 AS (SELECT e.graph_id, e.u, e.v, e.e_ord, CAST(a.label <> b.label AS INT) + 1.0::DOUBLE AS weight FROM edges e {ends('l0')})"
+    x = f"l{it - 1}"
+    return f"""
+c{it} AS (SELECT a.graph_id, a.v, y.label AS l, COUNT(*) AS c FROM adj a JOIN {x} y ON y.graph_id = a.graph_id AND y.v = a.nbr GROUP BY 1, 2, 3),
+g{it} AS (SELECT graph_id, e_ord, l, SUM(c) AS d FROM (
+            SELECT e.graph_id, e.e_ord, c.l, c.c FROM edges e JOIN c{it} c ON c.graph_id = e.graph_id AND c.v = e.u UNION ALL
+            SELECT e.graph_id, e.e_ord, c.l, -c.c FROM edges e JOIN c{it} c ON c.graph_id = e.graph_id AND c.v = e.v) GROUP BY 1, 2, 3),
+n{it} AS (SELECT graph_id, e_ord, SQRT(CAST(SUM(d * d) AS DOUBLE)) AS norm FROM g{it} GROUP BY 1, 2),
+w{it} AS (SELECT e.graph_id, e.u, e.v, e.e_ord, n.norm + CAST(a.label <> b.label AS INT) + 1.0 AS weight
+          FROM edges e {ends(x)} JOIN n{it} n ON n.graph_id = e.graph_id AND n.e_ord = e.e_ord)"""
+
+
+rounded = lambda c, alias=None: F.round(F.col(c), 6).alias(alias or c)
+
+
+# sources, structure and signatures
+
+
+@query(graphs_sql(select="SELECT graph_id, v, raw_label FROM vertices"))
+def gc_vertices(spark, d):
+    return co_purchase_graphs(spark, d).vertices
+
+
+@query(graphs_sql(select="SELECT graph_id, u, v, e_ord FROM edges"))
+def gc_edges(spark, d):
+    return co_purchase_graphs(spark, d).edges.select("graph_id", "u", "v", "e_ord")
+
+
+@query(f"WITH {CUSTOMER_SUPPLIER_SQL} SELECT u, v, weight FROM gb")
+def gb_edges(spark, d):
+    return customer_supplier_edges(spark, d)
+
+
+@query(f"WITH {EVENT_TRANSITIONS_SQL} SELECT graph_id, u, v, weight FROM gt")
+def gt_arcs(spark, d):
+    return event_transitions(spark, d)
+
+
+@query(graphs_sql("nv AS (SELECT graph_id, COUNT(*) AS n FROM vertices GROUP BY 1)", "ne AS (SELECT graph_id, COUNT(*) AS m FROM edges GROUP BY 1)",
+       select="SELECT COUNT(*) AS n_graphs, ROUND(AVG(n), 6) AS avg_vertices, ROUND(AVG(COALESCE(m, 0)), 6) AS avg_edges FROM nv LEFT JOIN ne USING (graph_id)"))
+def graph_stats(spark, d):
+    g = co_purchase_graphs(spark, d)
+    n = g.vertices.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"))
+    m = g.edges.groupBy("graph_id").agg(F.count(F.lit(1)).alias("m"))
+    x = n.join(m, "graph_id", "left").na.fill(0)
+    return x.agg(F.count(F.lit(1)).alias("n_graphs"), F.round(F.avg("n"), 6).alias("avg_vertices"), F.round(F.avg("m"), 6).alias("avg_edges"))
+
+
+DEGREE_SQL = "deg AS (SELECT x.graph_id, x.v, CAST(COALESCE(n, 0) AS DOUBLE) AS weight FROM vertices x LEFT JOIN (SELECT graph_id, v, COUNT(*) AS n FROM adj GROUP BY 1, 2) USING (graph_id, v))"
+
+
+@query(graphs_sql(DEGREE_SQL, select="SELECT graph_id, v, weight FROM deg"))
+def vertex_degree(spark, d):
+    return signatures.degree(co_purchase_graphs(spark, d))
+
+
+@query(graphs_sql(select="SELECT graph_id, v, CAST(raw_label AS DOUBLE) AS weight FROM vertices"))
+def label_signature(spark, d):
+    return signatures.label(co_purchase_graphs(spark, d))
+
+
+@query(graphs_sql(select=f"SELECT graph_id, v, ROUND({portable_hash_sql(1, 'graph_id', 'v')}, 9) AS weight FROM vertices"))
+def random_signature(spark, d):
+    return signatures.random(co_purchase_graphs(spark, d)).withColumn("weight", F.round("weight", 9))
+
+
+@query(graphs_sql(select=f"SELECT graph_id, u, v, ROUND({portable_hash_sql(1, 'graph_id', 'u', 'v')}, 9) AS weight FROM edges"))
+def random_edge_weight(spark, d):
+    return signatures.random_edges(co_purchase_graphs(spark, d)).select("graph_id", "u", "v", F.round("weight", 9).alias("weight"))
+
+
+_HKS = """,
+a AS (SELECT x.graph_id, x.v AS m, x.nbr AS w, 1 / SQRT(p.weight * q.weight) AS a FROM adj x JOIN deg p ON p.graph_id = x.graph_id AND p.v = x.v
+      JOIN deg q ON q.graph_id = x.graph_id AND q.v = x.nbr),
+t0 AS (SELECT graph_id, v, v AS w, 1.0::DOUBLE AS x FROM vertices)""" + "".join(f""",
+t{k} AS (SELECT graph_id, v, w, SUM(x) AS x FROM (
+    SELECT t.graph_id, t.v, t.w, CASE WHEN d.weight > 0 THEN t.x ELSE 0 END AS x FROM t{k - 1} t JOIN deg d ON d.graph_id = t.graph_id AND d.v = t.w
+    UNION ALL SELECT t.graph_id, t.v, a.w, -t.x * a.a FROM t{k - 1} t JOIN a ON a.graph_id = t.graph_id AND a.m = t.w) GROUP BY 1, 2, 3)""" for k in (1, 2, 3))
+
+
+@query(graphs_sql(DEGREE_SQL + _HKS, """
+half AS (SELECT graph_id, v, w, SUM(x) AS x FROM (SELECT * FROM t0 UNION ALL SELECT graph_id, v, w, -0.05 * x FROM t1
+         UNION ALL SELECT graph_id, v, w, 0.00125 * x FROM t2 UNION ALL SELECT graph_id, v, w, -0.000020833333333333333 * x FROM t3) GROUP BY 1, 2, 3)""",
+       select="SELECT graph_id, v, ROUND(SUM(x * x), 6) AS weight FROM half GROUP BY 1, 2"))
+def hks_taylor(spark, d):
+    return signatures.heat_kernel(co_purchase_graphs(spark, d)).select("graph_id", "v", rounded("weight"))
+
+
+@query()
+def hks_exact(spark, d):
+    return signatures.heat_kernel_exact(co_purchase_graphs(spark, d)).select("graph_id", "v", rounded("weight"))
+
+
+@query("WITH y AS (SELECT s_suppkey AS id, CAST(s_nationkey % 3 AS BIGINT) - 1 AS y FROM supplier) SELECT id, CASE WHEN y = -1 THEN 0 ELSE y END AS y FROM y")
+def class_remap(spark, d):
+    y = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), ((F.col("s_nationkey") % 3).cast("long") - 1).alias("y"))
+    return evaluate.remap_classes(y)
+
+
+@query("SELECT COUNT(DISTINCT c_mktsegment) AS num_classes FROM customer")
+def num_classes(spark, d):
+    return co_purchase_graphs(spark, d).graphs.agg(F.countDistinct("y").alias("num_classes"))
+
+
+@query("SELECT c_custkey AS id, DENSE_RANK() OVER (ORDER BY c_mktsegment) - 1 AS class_idx FROM customer")
+def class_index(spark, d):
+    """Dense class numbers in sorted order."""
+    from graphloom.functions.tables import dense_ids
+
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_mktsegment")
+    return rows.join(dense_ids(rows.select("c_mktsegment").distinct(), ["c_mktsegment"], "class_idx"), "c_mktsegment").select("id", "class_idx")
+
+
+@query(f"SELECT c_custkey AS id, CASE WHEN {portable_hash_sql(1, 'c_custkey')} < 0.1 THEN 'test' ELSE 'train' END AS part, CAST(FLOOR({portable_hash_sql(1, 'c_custkey')} * 10) AS INT) AS fold FROM customer")
+def hash_splits(spark, d):
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    return evaluate.folds(evaluate.hash_split(rows, "id", 0.1), "id", 10)
+
+
+@query("""SELECT id, CASE WHEN place < 140 THEN 'train' WHEN place < 500 THEN 'valid' ELSE 'test' END AS part
+       FROM (SELECT c_custkey AS id, ROW_NUMBER() OVER (ORDER BY c_custkey) - 1 AS place FROM customer)""")
+def positional_split(spark, d):
+    from graphloom.functions.tables import dense_ids
+
+    rows = dense_ids(table(spark, d, "customer").select(F.col("c_custkey").alias("id")), ["id"], "at")
+    return evaluate.positional_split(rows, "at").select("id", "part")
+
+
+# Weisfeiler-Lehman
+
+
+@query(graphs_sql(labels_sql(0), select="SELECT graph_id, v, label FROM l0"))
+def wl_labels_it0(spark, d):
+    return wl.initial_labels(co_purchase_graphs(spark, d))
+
+
+@query(graphs_sql(labels_sql(2), histogram_sql(2), select="SELECT it, graph_id, label, n FROM h"))
+def wl_histogram_h2(spark, d):
+    return wl.histogram(wl.history(co_purchase_graphs(spark, d), 2))
+
+
+@query(graphs_sql(labels_sql(2), histogram_sql(2), select="SELECT it, COUNT(DISTINCT label) AS n_labels FROM h GROUP BY it"))
+def wl_label_counts(spark, d):
+    return wl.label_counts(wl.history(co_purchase_graphs(spark, d), 2))
+
+
+@query(graphs_sql(labels_sql(0), weights_sql(0), select="SELECT graph_id, u, v, ROUND(weight, 6) AS weight FROM w0"))
+def wl_edge_weight_it0(spark, d):
+    g = co_purchase_graphs(spark, d)
+    return wl.edge_weights(g, wl.initial_labels(g), None).select("graph_id", "u", "v", rounded("weight"))
+
+
+@query(graphs_sql(labels_sql(0), weights_sql(1), select="SELECT graph_id, u, v, ROUND(weight, 6) AS weight FROM w1"))
+def wl_edge_weight_it1(spark, d):
+    g = co_purchase_graphs(spark, d)
+    labels = wl.history(g, 0)[0]
+    return wl.edge_weights(g, labels, labels).select("graph_id", "u", "v", rounded("weight"))
+
+
+@query(graphs_sql(labels_sql(1), weights_sql(0), weights_sql(1), weights_sql(2), select="""
+       SELECT it, graph_id, u, v, ROUND(SUM(weight) OVER (PARTITION BY graph_id, e_ord ORDER BY it), 6) AS weight FROM (
+       SELECT 0 AS it, * FROM w0 UNION ALL SELECT 1, * FROM w1 UNION ALL SELECT 2, * FROM w2)"""))
+def wl_edge_weight_smooth(spark, d):
+    g = co_purchase_graphs(spark, d)
+    return wl.weight_history(g, wl.history(g, 2), smooth=True).select("it", "graph_id", "u", "v", rounded("weight"))
+
+
+# persistence
+
+_REACH = lambda k: f"""
+r{k} AS (SELECT graph_id, v, v AS x FROM vertices UNION
+         SELECT r.graph_id, r.v, a.nbr FROM r{k} r JOIN wadj a ON a.graph_id = r.graph_id AND a.v = r.x WHERE a.weight <= {k}),
+top{k} AS (SELECT graph_id, v, MAX(x) AS top FROM r{k} GROUP BY 1, 2)"""
+_H0 = [
+    labels_sql(0),
+    weights_sql(0),
+    "wadj AS (SELECT graph_id, u AS v, v AS nbr, weight FROM w0 UNION ALL SELECT graph_id, v, u, weight FROM w0)",
+    _REACH(1),
+    _REACH(2),
+    """last AS (SELECT graph_id, MAX(weight) AS w FROM w0 GROUP BY 1),
+pt AS (SELECT a.graph_id, a.v AS creator, b.top = a.v AS essential,
+              CASE WHEN a.top > a.v THEN 1.0 WHEN b.top > a.v THEN 2.0 ELSE COALESCE(w, 0.0) END::DOUBLE AS death
+       FROM top1 a JOIN top2 b USING (graph_id, v) LEFT JOIN last USING (graph_id))""",
+]
+
+
+def _first_filtration(spark, d):
+    return persistence.persistent_wl(co_purchase_graphs(spark, d), 0)
+
+
+@query(graphs_sql(*_H0, select="SELECT graph_id, creator, death, essential FROM pt", recursive=True))
+def h0_diagram(spark, d):
+    return persistence.diagram(_first_filtration(spark, d)[1]).select("graph_id", "creator", "death", "essential")
+
+
+@query(graphs_sql(*_H0, select="SELECT graph_id, CAST(SUM(CAST(essential AS INT)) AS BIGINT) AS betti0 FROM pt GROUP BY 1", recursive=True))
+def betti0(spark, d):
+    return persistence.betti0(_first_filtration(spark, d)[1]).select("graph_id", "betti0")
+
+
+@query(graphs_sql(*_H0, select="SELECT p.graph_id, x.label, ROUND(SUM(death * death), 6) AS value FROM pt p JOIN l0 x ON x.graph_id = p.graph_id AND x.v = p.creator GROUP BY 1, 2", recursive=True))
+def pwl_label_persistence_it0(spark, d):
+    labels, rows = _first_filtration(spark, d)
+    return persistence.label_persistence(labels, rows).select("graph_id", "label", rounded("value"))
+
+
+@query(graphs_sql(*_H0, select="SELECT graph_id, ROUND(SQRT(SUM(death * death)), 6) AS total, MAX(death * death) AS infinity FROM pt GROUP BY 1", recursive=True))
+def pwl_norms_it0(spark, d):
+    _, rows = _first_filtration(spark, d)
+    both = persistence.total_persistence(rows).withColumnRenamed("value", "total").join(persistence.infinity_norm(rows).withColumnRenamed("value", "infinity"), ["it", "graph_id"])
+    return both.select("graph_id", rounded("total"), "infinity")
+
+
+@query(graphs_sql(*_H0, """kv AS (SELECT graph_id, COUNT(*) AS n, SUM(CAST(essential AS INT)) AS k FROM pt GROUP BY 1),
+       ke AS (SELECT graph_id, COUNT(*) AS m FROM w0 GROUP BY 1)""", select="SELECT graph_id, CAST(m - n + k AS BIGINT) AS n_cycles FROM kv JOIN ke USING (graph_id) WHERE m - n + k > 0", recursive=True))
+def cycle_count(spark, d):
+    rows = _first_filtration(spark, d)[1]
+    return rows.where("kind = 'cycle'").groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_cycles"))
+
+
+def _filtrations(spark, d):
+    return persistence.persistent_wl(co_purchase_graphs(spark, d), 2)
+
+
+@query()
+def cycle_edges(spark, d):
+    rows = _filtrations(spark, d)[1]
+    return rows.where("kind = 'cycle'").select("it", "graph_id", F.col("a").alias("u"), F.col("b").alias("v"), "e_ord", rounded("value", "weight"))
+
+
+@query()
+def pwl_label_persistence(spark, d):
+    return persistence.label_persistence(*_filtrations(spark, d)).select("it", "graph_id", "label", rounded("value"))
+
+
+@query()
+def pwl_total_persistence(spark, d):
+    return persistence.total_persistence(_filtrations(spark, d)[1]).select("it", "graph_id", rounded("value"))
+
+
+@query()
+def pwl_infinity_norm(spark, d):
+    return persistence.infinity_norm(_filtrations(spark, d)[1]).select("it", "graph_id", rounded("value"))
+
+
+@query()
+def pwlc_cycle_persistence(spark, d):
+    return persistence.cycle_persistence(*_filtrations(spark, d)).select("it", "graph_id", "label", rounded("value"))
+
+
+_VW = [
+    """f AS (SELECT graph_id, v, CAST(raw_label AS DOUBLE) AS f FROM vertices),
+ts AS (SELECT DISTINCT f AS t FROM f)""",
+    """fr AS (SELECT t, graph_id, v, v AS x FROM f JOIN ts ON f <= t UNION
+       SELECT r.t, r.graph_id, r.v, a.nbr FROM fr r JOIN adj a ON a.graph_id = r.graph_id AND a.v = r.x
+       JOIN f ON f.graph_id = a.graph_id AND f.v = a.nbr AND f.f <= r.t)""",
+    """old AS (SELECT r.t, r.graph_id, r.v, BOOL_OR(g.f < h.f OR (g.f = h.f AND g.v < h.v)) AS older FROM fr r
+        JOIN f g ON g.graph_id = r.graph_id AND g.v = r.x JOIN f h ON h.graph_id = r.graph_id AND h.v = r.v GROUP BY 1, 2, 3),
+vp AS (SELECT f.graph_id, f.v AS creator, f.f AS birth, MIN(t) FILTER (WHERE older) AS death FROM f JOIN old ON old.graph_id = f.graph_id AND old.v = f.v GROUP BY 1, 2, 3)""",
+]
+
+
+def _label_diagram(spark, d):
+    g = co_purchase_graphs(spark, d)
+    return persistence.vertex_diagram(g, signatures.label(g))
+
+
+@query(graphs_sql(*_VW, select="SELECT graph_id, creator, birth, death FROM vp", recursive=True))
+def vw_h0_diagram(spark, d):
+    return _label_diagram(spark, d).where("dim = 0").select("graph_id", "creator", "birth", "death")
+
+
+@query(graphs_sql(*_VW, """
+ev AS (SELECT e.graph_id, GREATEST(a.f, b.f) AS w FROM edges e JOIN f a ON a.graph_id = e.graph_id AND a.v = e.u JOIN f b ON b.graph_id = e.graph_id AND b.v = e.v),
+cy AS (SELECT o.t, o.graph_id, (SELECT COUNT(*) FROM ev WHERE ev.graph_id = o.graph_id AND ev.w <= o.t) - COUNT(*) + SUM(CAST(NOT older AS INT)) AS c FROM old o GROUP BY 1, 2),
+cd AS (SELECT graph_id, t AS birth, CAST(c - COALESCE(LAG(c) OVER (PARTITION BY graph_id ORDER BY t), 0) AS BIGINT) AS n FROM cy)""",
+       select="SELECT graph_id, birth, n FROM cd WHERE n > 0", recursive=True))
+def vw_h1_essential(spark, d):
+    return _label_diagram(spark, d).where("dim = 1").groupBy("graph_id", "birth").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(graphs_sql(*_VW, select="""SELECT graph_id, creator, ROUND((birth + death) / SQRT(2), 6) AS x,
+       ROUND(CASE WHEN death > birth THEN CASE WHEN (death - birth) / SQRT(2) > 0.1 THEN (death - birth) / SQRT(2)
+       ELSE LN((death - birth) / SQRT(2) / 0.1) + 0.1 END END, 6) AS y FROM vp WHERE death IS NOT NULL""", recursive=True))
+def upper_diagonal(spark, d):
+    points = _label_diagram(spark, d).where("dim = 0").drop("dim")
+    return vectorize.upper_diagonal(points).select("graph_id", "creator", rounded("x"), rounded("y"))
+
+
+_CENTRES = [(e, round(0.13 + 0.37 * e % 4, 2), round(0.9 + 0.53 * e % 4, 2)) for e in range(12)]
+_CENTRES_SQL = "cs AS (SELECT * FROM (VALUES " + ", ".join(f"({e}, {x}::DOUBLE, {y}::DOUBLE)" for e, x, y in _CENTRES) + ") t(e, cx, cy))"
+
+
+@query(graphs_sql(*_VW, _CENTRES_SQL, select="""SELECT graph_id, e, ROUND(SUM(EXP(-3.0 * ((birth - cx) * (birth - cx) + (death - cy) * (death - cy)))), 6) AS value
+       FROM vp CROSS JOIN cs WHERE death IS NOT NULL GROUP BY 1, 2""", recursive=True))
+def slayer_features(spark, d):
+    points = _label_diagram(spark, d).where("dim = 0")
+    return vectorize.slayer(points, spark.createDataFrame(_CENTRES, "e int, cx double, cy double")).select("graph_id", "e", rounded("value"))
+
+
+@query(graphs_sql(*_VW, select="""SELECT graph_id, CAST(i AS INT) AS i, CAST(j AS INT) AS j, ROUND(SUM((death - birth) * EXP(-(POWER(birth - 4.0 * (i + 0.5) / 20, 2)
+       + POWER(death - birth - 4.0 * (j + 0.5) / 20, 2)) / (2 * 0.5 * 0.5))), 5) AS value
+       FROM vp CROSS JOIN RANGE(20) a(i) CROSS JOIN RANGE(20) b(j) WHERE death > birth GROUP BY 1, 2, 3""", recursive=True))
+def persistence_image(spark, d):
+    points = _label_diagram(spark, d).where("dim = 0")
+    return vectorize.persistence_image(points, 4.0, sigma=0.5).select("graph_id", "i", "j", F.round("value", 5).alias("value"))
+
+
+@query(graphs_sql(*_VW, """tent AS (SELECT graph_id, CAST(i AS INT) AS i, LEAST(4.0::DOUBLE * (i + 0.5) / 100 - birth, death - 4.0::DOUBLE * (i + 0.5) / 100) AS value FROM vp CROSS JOIN RANGE(100) a(i) WHERE death > birth),
+       placed AS (SELECT graph_id, i, value, CAST(ROW_NUMBER() OVER (PARTITION BY graph_id, i ORDER BY value DESC) AS INT) AS k FROM tent WHERE value > 0)""",
+       select="SELECT graph_id, k, i, ROUND(value, 6) AS value FROM placed WHERE k <= 5", recursive=True))
+def persistence_landscape(spark, d):
+    points = _label_diagram(spark, d).where("dim = 0")
+    return vectorize.persistence_landscape(points, 4.0).select("graph_id", "k", "i", rounded("value"))
+
+
+@query(graphs_sql(*_VW, select="""SELECT graph_id, h, ROUND(CASE h WHEN 0 THEN 0.5 * SUM(birth) - 0.25 * SUM(death) + 0.1 * COUNT(*) ELSE SUM(birth) + 2.0 * SUM(death) - COUNT(*) END, 6) AS value
+       FROM vp CROSS JOIN (VALUES (0), (1)) t(h) WHERE death IS NOT NULL GROUP BY 1, 2""", recursive=True))
+def deepset_pool(spark, d):
+    points = _label_diagram(spark, d).where("dim = 0")
+    return vectorize.deep_set(points, [[0.5, -0.25], [1.0, 2.0]], [0.1, -1.0]).select("graph_id", "h", rounded("value"))
+
+
+@query()
+def extended_diagram(spark, d):
+    g = co_purchase_graphs(spark, d)
+    return persistence.extended_diagram(g, signatures.label(g))
+
+
+def _rips(spark, d):
+    g = co_purchase_graphs(spark, d)
+    return persistence.rips_diagram(g, wl.edge_weights(g, wl.initial_labels(g), None))
+
+
+@query()
+def rips_h0(spark, d):
+    return _rips(spark, d).where("dim = 0").groupBy("graph_id", "birth", "death").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def rips_h1(spark, d):
+    return _rips(spark, d).where("dim = 1").groupBy("graph_id", "birth", "death").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def bottleneck_neighbours(spark, d):
+    """Each twentieth graph against the next one by id."""
+    pairs = co_purchase_graphs(spark, d).graphs.where("graph_id % 20 = 0").select(F.col("graph_id").alias("g1"), (F.col("graph_id") + 1).alias("g2"))
+    return persistence.bottleneck_distances(_label_diagram(spark, d).where("dim = 0 and death > birth"), pairs)
+
+
+# kernels
+
+
+@query()
+def sp_features(spark, d):
+    return kernels.shortest_path_features(co_purchase_graphs(spark, d))
+
+
+GRAPHLETS_SQL = """
+tri AS (SELECT a.graph_id, COUNT(*) AS triangle FROM edges a JOIN edges b ON b.graph_id = a.graph_id AND b.u = a.v
+        JOIN edges c ON c.graph_id = a.graph_id AND c.u = a.u AND c.v = b.v GROUP BY 1),
+dg AS (SELECT graph_id, v, COUNT(*) AS d FROM adj GROUP BY 1, 2),
+wd AS (SELECT graph_id, CAST(SUM(d * (d - 1) // 2) AS BIGINT) AS wedges, CAST(SUM(d) // 2 AS BIGINT) AS m FROM dg GROUP BY 1),
+nn AS (SELECT graph_id, COUNT(*) AS n FROM vertices GROUP BY 1),
+gl AS (SELECT graph_id, n, COALESCE(m, 0) AS m, COALESCE(wedges, 0) - 3 * COALESCE(triangle, 0) AS path, COALESCE(triangle, 0) AS triangle
+       FROM nn LEFT JOIN wd USING (graph_id) LEFT JOIN tri USING (graph_id)),
+g3 AS (SELECT graph_id, n * (n - 1) * (n - 2) // 6 - (m * (n - 2) - 2 * path - 3 * triangle) - path - triangle AS empty,
+       m * (n - 2) - 2 * path - 3 * triangle AS edge, path, triangle FROM gl)"""
+
+
+@query(graphs_sql(GRAPHLETS_SQL, select="SELECT graph_id, empty, edge, path, triangle FROM g3"))
+def graphlet3_counts(spark, d):
+    return kernels.graphlets3(co_purchase_graphs(spark, d))
+
+
+def gram_sql(features: str) -> str:
+    return f"""
+fn AS (SELECT graph_id, SQRT(SUM(CAST(n AS DOUBLE) * n)) AS norm FROM {features} GROUP BY 1),
+dot AS (SELECT a.graph_id AS g1, b.graph_id AS g2, SUM(CAST(a.n AS DOUBLE) * b.n) AS dot FROM {features} a JOIN {features} b ON a.feature = b.feature
+        WHERE a.graph_id % 20 = 0 GROUP BY 1, 2),
+k AS (SELECT g1, g2, ROUND(dot / (x.norm * y.norm), 6) AS k FROM dot JOIN fn x ON x.graph_id = g1 JOIN fn y ON y.graph_id = g2)"""
+
+
+def _gram(graphs, features):
+    return kernels.gram(features, graphs.graphs.where("graph_id % 20 = 0")).select("g1", "g2", rounded("k"))
+
+
+@query(graphs_sql(GRAPHLETS_SQL, """gf AS (SELECT * FROM (SELECT graph_id, 'empty' AS feature, empty AS n FROM g3 UNION ALL SELECT graph_id, 'edge', edge FROM g3
+       UNION ALL SELECT graph_id, 'path', path FROM g3 UNION ALL SELECT graph_id, 'triangle', triangle FROM g3) WHERE n > 0)""", gram_sql("gf"), select="SELECT g1, g2, k FROM k"))
+def graphlet_kernel(spark, d):
+    g = co_purchase_graphs(spark, d)
+    return _gram(g, kernels.graphlet_features(g))
+
+
+@query()
+def graphlet_sampling(spark, d):
+    return kernels.sampled_graphlets(co_purchase_graphs(spark, d))
+
+
+@query()
+def sp_kernel(spark, d):
+    g = co_purchase_graphs(spark, d)
+    return _gram(g, kernels.shortest_path_features(g))
+
+
+@query(graphs_sql(labels_sql(5), histogram_sql(5), "hf AS (SELECT graph_id, it || ':' || label AS feature, n FROM h)", gram_sql("hf"), select="SELECT g1, g2, k FROM k"))
+def wl_kernel(spark, d):
+    g = co_purchase_graphs(spark, d)
+    return _gram(g, kernels.wl_features(g, 5))
+
+
+# walks
+
+
+@query(f"WITH {CUSTOMER_SUPPLIER_SQL} SELECT u AS src, v AS dst, ROUND(weight / SUM(weight) OVER (PARTITION BY u), 9) AS prob FROM gb UNION ALL SELECT v, u, ROUND(weight / SUM(weight) OVER (PARTITION BY v), 9) FROM gb")
+def n2v_first_order(spark, d):
+    arcs = walks.directed(customer_supplier_edges(spark, d).withColumn("graph_id", F.lit(0)))
+    return walks.first_order(arcs).select("src", "dst", F.round("prob", 9).alias("prob"))
+
+
+def second_order_sql(arcs: str, p: float, q: float) -> str:
+    return f"""
+so AS (SELECT a.graph_id, a.src, a.dst, b.dst AS nbr, CASE WHEN b.dst = a.src THEN b.weight / {p}::DOUBLE WHEN c.src IS NOT NULL THEN b.weight ELSE b.weight / {q}::DOUBLE END AS w
+       FROM {arcs} a JOIN {arcs} b ON b.graph_id = a.graph_id AND b.src = a.dst LEFT JOIN {arcs} c ON c.graph_id = a.graph_id AND c.src = b.dst AND c.dst = a.src),
+so2 AS (SELECT graph_id, src, dst, nbr, w / SUM(w) OVER (PARTITION BY graph_id, src, dst) AS prob FROM so)"""
+
+
+@query(f"WITH {EVENT_TRANSITIONS_SQL}, arcs AS (SELECT graph_id, u AS src, v AS dst, weight FROM gt),{second_order_sql('arcs', 0.5, 2.0)} SELECT graph_id, src, dst, nbr, ROUND(prob, 9) AS prob FROM so2")
+def n2v_second_order(spark, d):
+    arcs = walks.directed(event_transitions(spark, d), undirected=False)
+    return walks.second_order(arcs, 0.5, 2.0).withColumn("prob", F.round("prob", 9))
+
+
+def _walks_sql(length: int) -> str:
+    ranges = lambda src, keys, to: f"""SELECT *, CASE WHEN ROW_NUMBER() OVER (PARTITION BY {keys} ORDER BY {to} DESC) = 1 THEN 2.0 ELSE high0 END AS high, high0 - prob AS low
+        FROM (SELECT *, SUM(prob) OVER (PARTITION BY {keys} ORDER BY {to} ROWS UNBOUNDED PRECEDING) AS high0 FROM {src})"""
+    found = [
+        "arcs AS (SELECT graph_id, v AS src, nbr AS dst, 1.0::DOUBLE AS weight FROM adj)",
+        "fo AS (SELECT graph_id, src, dst, weight / SUM(weight) OVER (PARTITION BY graph_id, src) AS prob FROM arcs)",
+        second_order_sql("arcs", 0.5, 2.0),
+        f"fr AS ({ranges('fo', 'graph_id, src', 'dst')}), sr AS ({ranges('so2', 'graph_id, src, dst', 'nbr')})",
+        "s0 AS (SELECT graph_id, v AS start, CAST(NULL AS BIGINT) AS prev, v AS cur FROM vertices)",
+    ]
+    for k in range(1, length):
+        x = portable_hash_sql(1, 0, k, "s.graph_id", "s.start")
+        join = "fr t ON t.src = s.cur" if k == 1 else "sr t ON t.src = s.prev AND t.dst = s.cur"
+        to = "t.dst" if k == 1 else "t.nbr"
+        found.append(f"s{k} AS (SELECT s.graph_id, s.start, s.cur AS prev, {to} AS cur FROM s{k - 1} s JOIN {join} AND t.graph_id = s.graph_id AND {x} >= t.low AND {x} < t.high)")
+    return ",".join(found)
+
+
+@query(graphs_sql(_walks_sql(4), select=" UNION ALL ".join(f"SELECT graph_id, 0 AS walk, start, {k} AS step, cur AS v FROM s{k}" for k in range(4))))
+def n2v_walks(spark, d):
+    g = co_purchase_graphs(spark, d)
+    arcs = walks.directed(g.edges.withColumn("weight", F.lit(1.0)))
+    return walks.walks(g.vertices, arcs, 4, 1, 0.5, 2.0)
+
+
+@query()
+def n2v_embeddings(spark, d):
+    edges = customer_supplier_edges(spark, d).withColumn("graph_id", F.lit(0).cast("long"))
+    arcs = walks.directed(edges)
+    found = walks.walks(arcs.select("graph_id", F.col("src").alias("v")).distinct(), arcs, 6, 1, 1.0, 0.5)
+    return walks.embed(walks.paths(found))
+
+
+# graph convolution
+
+
+@query(graphs_sql("""al AS (SELECT graph_id, v AS i, nbr AS j, 1.0::DOUBLE AS a FROM adj UNION ALL SELECT graph_id, v, v, 1.0 FROM vertices)""",
+       select="SELECT graph_id, i, j, ROUND(a / SUM(a) OVER (PARTITION BY graph_id, i), 9) AS a FROM al"))
+def sym_norm_adj(spark, d):
+    return _adjacency(co_purchase_graphs(spark, d)).withColumn("a", F.round("a", 9))
+
+
+def _adjacency(g):
+    one = g.edges.select("graph_id", F.col("u").alias("i"), F.col("v").alias("j"), F.lit(1.0).alias("a"))
+    return gcn.normalised_adjacency(one, g.vertices)
+
+
+def _weight(spark, rows, columns, seed):
+    shape = spark.range(rows).select(F.col("id").alias("f")).select("f", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("h"))
+    return shape.select("f", F.col("h").cast("long").alias("h"), (portable_hash(seed, F.col("f"), F.col("h")) - 0.5).alias("w"))
+
+
+_GCN = ["""al AS (SELECT graph_id, v AS i, nbr AS j, 1.0::DOUBLE AS a FROM adj UNION ALL SELECT graph_id, v, v, 1.0 FROM vertices),
+na AS (SELECT graph_id, i, j, a / SUM(a) OVER (PARTITION BY graph_id, i) AS a FROM al)""",
+f"""x1 AS (SELECT graph_id, v, h, {portable_hash_sql(1, 'raw_label', 'h')} - 0.5 AS z FROM vertices CROSS JOIN RANGE(4) t(h)),
+y1 AS (SELECT n.graph_id, n.i AS v, h AS f, SUM(n.a * x.z) AS value FROM na n JOIN x1 x ON x.graph_id = n.graph_id AND x.v = n.j GROUP BY 1, 2, 3)"""]
+
+
+@query(graphs_sql(*_GCN, select="SELECT graph_id, v, f, ROUND(value, 6) AS value FROM y1"))
+def gcn_layer(spark, d):
+    g = co_purchase_graphs(spark, d)
+    x = g.vertices.select("graph_id", "v", F.col("raw_label").alias("f"), F.lit(1.0).alias("value"))
+    return gcn.convolution(x, _adjacency(g), _weight(spark, 5, 4, 1)).withColumn("value", F.round("value", 6))
+
+
+@query(graphs_sql(*_GCN, f"""
+x2 AS (SELECT graph_id, v, h, SUM(GREATEST(value, 0) * ({portable_hash_sql(2, 'f', 'h')} - 0.5)) AS z FROM y1 CROSS JOIN RANGE(5) t(h) GROUP BY 1, 2, 3),
+y2 AS (SELECT n.graph_id, n.i AS v, h AS f, SUM(n.a * x.z) AS value FROM na n JOIN x2 x ON x.graph_id = n.graph_id AND x.v = n.j GROUP BY 1, 2, 3)""",
+       select="SELECT graph_id, v, f, ROUND(value - LN(SUM(EXP(value)) OVER (PARTITION BY graph_id, v)), 6) AS value FROM y2"))
+def gcn_forward(spark, d):
+    g = co_purchase_graphs(spark, d)
+    x = g.vertices.select("graph_id", "v", F.col("raw_label").alias("f"), F.lit(1.0).alias("value"))
+    return gcn.forward(x, _adjacency(g), [(_weight(spark, 5, 4, 1), None), (_weight(spark, 4, 5, 2), None)]).withColumn("value", F.round("value", 6))
+
+
+# metrics
+
+METRICS_SQL = """
+sc AS (SELECT user_id AS id, event_type AS cls, ROUND(SUM(value), 6) AS score, COUNT(*) AS n FROM events GROUP BY 1, 2),
+tr AS (SELECT id, cls FROM sc WHERE n >= 13),
+fd AS (SELECT id, cls FROM (SELECT id, cls, k, ROW_NUMBER() OVER (PARTITION BY id ORDER BY score DESC, cls) AS place
+       FROM sc JOIN (SELECT id, COUNT(*) AS k FROM tr GROUP BY 1) USING (id)) WHERE place <= k),
+bo AS (SELECT id, cls, a.p, b.t FROM (SELECT *, 1 AS p FROM fd) a FULL JOIN (SELECT *, 1 AS t FROM tr) b USING (id, cls)),
+oc AS (SELECT cls, SUM(CAST(p = 1 AND t = 1 AS INT)) AS tp, COUNT(*) FILTER (WHERE t IS NULL) AS fp, COUNT(*) FILTER (WHERE p IS NULL) AS fn FROM bo GROUP BY 1),
+oz AS (SELECT cls, COALESCE(tp, 0) AS tp, fp, fn FROM oc)"""
+
+
+def _ranking(spark, d):
+    e = table(spark, d, "events").groupBy(F.col("user_id").alias("id"), F.col("event_type").alias("cls"))
+    s = e.agg(F.round(F.sum("value"), 6).alias("score"), F.count(F.lit(1)).alias("n"))
+    truth = s.where("n >= 13").select("id", "cls")
+    return evaluate.top_k(s.select("id", "cls", "score"), truth), truth
+
+
+@query(f"WITH {METRICS_SQL} SELECT id, cls FROM fd")
+def topk_labels(spark, d):
+    return _ranking(spark, d)[0]
+
+
+@query(f"WITH {METRICS_SQL} SELECT ROUND(AVG(2.0 * tp / (2 * tp + fp + fn)), 6) AS macro, ROUND(2.0 * SUM(tp) / (2 * SUM(tp) + SUM(fp) + SUM(fn)), 6) AS micro FROM oz")
+def f1_macro_micro(spark, d):
+    return evaluate.f1(*_ranking(spark, d)).select(rounded("macro"), rounded("micro"))
+
+
+@query(f"WITH {METRICS_SQL} SELECT ROUND(AVG(same), 6) AS accuracy FROM (SELECT id, MIN(CASE WHEN p = 1 AND t = 1 THEN 1 ELSE 0 END) AS same FROM bo GROUP BY 1)")
+def subset_accuracy(spark, d):
+    return evaluate.subset_accuracy(*_ranking(spark, d)).select(rounded("accuracy"))
+
+
+# experiments
+
+VARIABLES = {"dataset": ["gc"], "graph_vector": ["wl-subtree", "persistent-wl"]}
+
+
+@query("SELECT * FROM (VALUES ('gc', 'wl-subtree'), ('gc', 'persistent-wl')) t(dataset, graph_vector)")
+def experiment_grid(spark, d):
+    return experiment.grid_table(spark, VARIABLES)
+
+
+@query()
+def experiment_report(spark, d):
+    graphs = co_purchase_graphs(spark, d)
+    found = None
+    for config in experiment.grid({"variables": VARIABLES, "graph_vector": "~graph_vector", "classifier": "logistic"}):
+        x = experiment.run(graphs, config).select(F.lit("gc").alias("dataset"), F.lit(config["graph_vector"]).alias("graph_vector"), "accuracy")
+        found = x if found is None else found.union(x)
+    return experiment.report(found, "graph_vector", "dataset", "accuracy")
