@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.tables import portable_hash
+from graphloom.functions.tables import materialise, portable_hash
 from graphloom.model import GraphSet
 
 
@@ -36,24 +38,25 @@ def random_edges(graphs: GraphSet, seed: int = 1) -> DataFrame:
 def heat_kernel(graphs: GraphSet, t: float = 0.1, order: int = 6) -> DataFrame:
     """The diagonal of exp(-t L), L the normalised Laplacian, by its series to ``order``.
 
-    Each term is the one before times L, a join over the edges; rows are the pairs of vertices that
-    ``order`` / 2 steps join, for exp(-t L)[v, v] = sum over w of exp(-t L / 2)[v, w]^2.
+    The rows of L^k for k up to order / 2 come by joins over the edges; as L is symmetric, the diagonal of
+    L^(k + l) sums the products of L^k's and L^l's rows, so no pair of vertices further apart is made.
     """
     deg = degree(graphs).withColumnRenamed("weight", "d")
     nb = graphs.neighbours().where("v <> nbr")
     d = lambda c, n: deg.select("graph_id", F.col("v").alias(c), F.col("d").alias(n))
     norm = nb.join(d("v", "dv"), ["graph_id", "v"]).join(d("nbr", "dn"), ["graph_id", "nbr"])
-    norm = norm.select("graph_id", F.col("v").alias("m"), F.col("nbr").alias("w"), (1 / F.sqrt(F.col("dv") * F.col("dn"))).alias("a"))
-    term = graphs.vertices.select("graph_id", "v", F.col("v").alias("w"), F.lit(1.0).alias("x"))
-    total, factor = term, 1.0
-    for k in range(1, order // 2 + 1):
-        factor *= -(t / 2) / k
-        stay = term.join(d("w", "dw"), ["graph_id", "w"]).select("graph_id", "v", "w", F.when(F.col("dw") > 0, F.col("x")).otherwise(0.0).alias("x"))
-        moved = term.withColumnRenamed("w", "m").join(norm, ["graph_id", "m"]).select("graph_id", "v", "w", (-F.col("x") * F.col("a")).alias("x"))
-        term = stay.union(moved).groupBy("graph_id", "v", "w").agg(F.sum("x").alias("x"))
-        total = total.union(term.select("graph_id", "v", "w", (F.col("x") * factor).alias("x")))
-    half = total.groupBy("graph_id", "v", "w").agg(F.sum("x").alias("x"))
-    return half.groupBy("graph_id", "v").agg(F.sum(F.col("x") * F.col("x")).alias("weight"))
+    norm = materialise(norm.select("graph_id", F.col("v").alias("m"), F.col("nbr").alias("w"), (1 / F.sqrt(F.col("dv") * F.col("dn"))).alias("a")))
+    power = graphs.vertices.select("graph_id", "v", F.col("v").alias("w"), F.lit(1.0).alias("x"))
+    half, powers = (order + 1) // 2, power.withColumn("k", F.lit(0))
+    for k in range(1, half + 1):
+        stay = power.join(d("w", "dw"), ["graph_id", "w"]).select("graph_id", "v", "w", F.when(F.col("dw") > 0, F.col("x")).otherwise(0.0).alias("x"))
+        moved = power.withColumnRenamed("w", "m").join(norm, ["graph_id", "m"]).select("graph_id", "v", "w", (-F.col("x") * F.col("a")).alias("x"))
+        power = materialise(stay.union(moved).groupBy("graph_id", "v", "w").agg(F.sum("x").alias("x")))
+        powers = powers.union(power.withColumn("k", F.lit(k)))
+    at = lambda k: F.sum(F.when(F.col("k") == k, F.col("x")).otherwise(0.0)).alias(f"x{k}")
+    each = powers.groupBy("graph_id", "v", "w").agg(*[at(k) for k in range(half + 1)])
+    series = sum(((-t) ** m / math.factorial(m)) * F.col(f"x{m // 2}") * F.col(f"x{m - m // 2}") for m in range(order + 1))
+    return each.groupBy("graph_id", "v").agg(F.sum(series).alias("weight"))
 
 
 def heat_kernel_exact(graphs: GraphSet, t: float = 0.1) -> DataFrame:

@@ -148,9 +148,10 @@ t{k} AS (SELECT graph_id, v, w, SUM(x) AS x FROM (
 
 
 @query(graphs_sql(DEGREE_SQL + _HKS, """
-half AS (SELECT graph_id, v, w, SUM(x) AS x FROM (SELECT * FROM t0 UNION ALL SELECT graph_id, v, w, -0.05 * x FROM t1
-         UNION ALL SELECT graph_id, v, w, 0.00125 * x FROM t2 UNION ALL SELECT graph_id, v, w, -0.000020833333333333333 * x FROM t3) GROUP BY 1, 2, 3)""",
-       select="SELECT graph_id, v, ROUND(SUM(x * x), 6) AS weight FROM half GROUP BY 1, 2"))
+pw AS (SELECT graph_id, v, w, SUM(CASE k WHEN 0 THEN x ELSE 0 END) AS x0, SUM(CASE k WHEN 1 THEN x ELSE 0 END) AS x1, SUM(CASE k WHEN 2 THEN x ELSE 0 END) AS x2,
+       SUM(CASE k WHEN 3 THEN x ELSE 0 END) AS x3 FROM (SELECT *, 0 AS k FROM t0 UNION ALL SELECT *, 1 FROM t1 UNION ALL SELECT *, 2 FROM t2 UNION ALL SELECT *, 3 FROM t3) GROUP BY 1, 2, 3)""",
+       select="""SELECT graph_id, v, ROUND(SUM(x0 * x0 - 0.1::DOUBLE * x0 * x1 + 0.01::DOUBLE / 2 * x1 * x1 - 0.001::DOUBLE / 6 * x1 * x2 + 0.0001::DOUBLE / 24 * x2 * x2
+       - 0.00001::DOUBLE / 120 * x2 * x3 + 0.000001::DOUBLE / 720 * x3 * x3), 6) AS weight FROM pw GROUP BY 1, 2"""))
 def hks_taylor(spark, d):
     return signatures.heat_kernel(co_purchase_graphs(spark, d)).select("graph_id", "v", rounded("weight"))
 
