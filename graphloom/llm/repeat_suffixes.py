@@ -3,42 +3,59 @@
 Each byte that lies in a string of ``width`` bytes that also starts in a document of smaller doc_id goes.
 
 Equal strings share their smallest q-gram (by hash, leftmost on ties), so the first buckets are keyed by
-the q-grams that are smallest in some window; buckets with one document hold no repeat and end there.
-Of the others, each occurrence brings the text of the windows that its q-gram stands for. Within a
-bucket, windows are refined by bucket pointers: the rank of a position's first eight bytes, then of the
-pair (rank here, rank eight on), then sixteen on, each round reusing the ranks of the one before, until
-the rank tells the whole window. The smallest doc_id of each rank decides its occurrences.
-
-Text crosses the network once, as an exchange by doc_id that both the second and the last step read.
+the q-grams that are smallest in some window. Each occurrence also has a hash of its context, the text of
+all windows that its q-gram stands for. Buckets with one document hold no repeat and end there; in those
+with one context the smallest doc_id decides at once. Of the others, each distinct context is fetched
+from one document. Within a bucket, windows are refined by bucket pointers: the rank of a position's
+first eight bytes, then of the pair (rank here, rank eight on), then sixteen on, each round reusing the
+ranks of the one before, until the rank tells the whole window. The smallest doc_id of each rank decides
+its occurrences.
+
+Text crosses the network once, compressed, as an exchange by doc_id that both the fetching and the last
+step read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.llm.common import table, whole_text
+from graphloom.llm.common import materialise, table, whole_text
 
-Q, KEY_BITS = 20, 44
+Q, KEY_BITS, CONTEXT_BITS = 16, 44, 48
 #: Bytes of a long text that are worked on at a time; they overlap by a window less one.
 SEGMENT = 1 << 20
 
 
-def smallest_grams(raw: bytes, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each segment of the text: keys, and the first and last start of the windows that each stands for."""
+@lru_cache(maxsize=1)
+def _hash_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each byte, and the powers of an odd number and of its inverse modulo 2**64."""
+    of_byte = np.random.default_rng(11).integers(0, 1 << 64, 256, dtype=np.uint64)
+    powers = []
+    for base in (0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)):
+        powers.append(np.multiply.accumulate(np.append(np.uint64(1), np.full(SEGMENT, base, np.uint64))))
+    return of_byte, *powers
+
+
+def smallest_grams(raw: bytes, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each segment of the text, in order: keys, the contexts' hashes, and the first and last start of
+    the windows that each key stands for. The context is the text from the first start to the last end."""
     grams = width - Q + 1
+    of_byte, powers, inverses = _hash_tables()
     for base in range(0, max(len(raw) - width + 1, 0), SEGMENT - width + 1):
-        n = min(len(raw) - base, SEGMENT) - Q + 1
+        size = min(len(raw) - base, SEGMENT)
+        n = size - Q + 1
         h = np.ndarray((n,), "<u8", raw, base, (1,)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(31)
         h += np.ndarray((n,), "<u8", raw, base + 8, (1,)) * np.uint64(0xC2B2AE3D27D4EB4F)
         h ^= h >> np.uint64(29)
-        h += np.ndarray((n,), "<u4", raw, base + 16, (1,)) * np.uint64(0x165667B19E3779F9)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
         h *= np.uint64(0x94D049BB133111EB)
@@ -52,7 +69,20 @@ def smallest_grams(raw: bytes, width: int) -> Iterator[tuple[np.ndarray, np.ndar
             h = np.minimum(h[: len(h) - (grams - span)], h[grams - span :])
         first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         last = np.append(first[1:], len(h)) - 1
-        yield (h[first] >> np.uint64(20)).astype(np.int64), first + base, last + base
+        sums = of_byte[np.frombuffer(raw, np.uint8, size, base)] * powers[:size]
+        sums = np.append(np.uint64(0), np.cumsum(sums, dtype=np.uint64))
+        context = (sums[last + width] - sums[first]) * inverses[first] + (last - first).astype(np.uint64)
+        context = (context ^ (context >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        context ^= context >> np.uint64(29)
+        context *= np.uint64(0xBF58476D1CE4E5B9)
+        context = (context >> np.uint64(64 - CONTEXT_BITS)).astype(np.int64)
+        yield (h[first] >> np.uint64(20)).astype(np.int64), context, first + base, last + base
+
+
+def all_grams(raw: bytes, width: int) -> list[np.ndarray]:
+    """The same of all segments in a row; an occurrence's place in them is its number."""
+    found = [*smallest_grams(raw, width)]
+    return [np.concatenate(x) for x in zip(*found)] if found else [np.empty(0, np.int64)] * 4
 
 
 def window_ranks(data: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
@@ -110,7 +140,7 @@ def _refine(width: int, most_bytes: int):
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("key", "h", "ctx", "least_doc", "most_doc"))):
-                if size > most_bytes and row[0] != held[0][-1]:
+                if size > most_bytes and row[0] != held[0][-1]:  # a bucket is never cut
                     yield out()
                     size = 0
                 for x, v in zip(held, row):
@@ -122,89 +152,113 @@ def _refine(width: int, most_bytes: int):
     return run
 
 
-def repeated_spans(rows: DataFrame, width: int) -> DataFrame:
-    """doc_id, text_key and spans (an array of start, end), the removed bytes of each document that has
-    some. ``rows`` has doc_id (no null), text_key and text."""
+def _packed(batches):
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        packed = [squeeze(t.encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(packed, pa.binary())], names=["doc_id", "text_key", "packed"])
+
 
-    def keys(batches):
+def _grams(width: int):
+    def run(batches):
         for batch in batches:
-            docs, found = batch.column("doc_id").to_pylist(), []
-            for text in batch.column("text").to_pylist():
-                each = [k for k, _, _ in smallest_grams(text.encode("utf-8", "surrogatepass"), width)]
-                found.append(np.unique(np.concatenate([*each, np.empty(0, np.int64)])))
-            ids = np.repeat(np.array(docs, np.int64), [len(x) for x in found])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(ids)], names=["key", "doc_id"])
-
-    def occurrences(batches):
+            columns = (batch.column(c).to_pylist() for c in ("doc_id", "text_key", "text"))
+            held, n = [], 0
+            for doc, text_key, text in zip(*columns):
+                key, context, first, _ = all_grams(text.encode("utf-8", "surrogatepass"), width)
+                m = len(key)
+                held.append((key, context, np.full(m, doc), np.full(m, text_key), np.arange(m)))
+                n += m
+                if n > 200_000:
+                    yield out(held)
+                    held, n = [], 0
+            if held:
+                yield out(held)
+
+    def out(held):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names=["key", "h", "doc_id", "text_key", "at"])
+
+    return run
+
+
+def _contexts(width: int):
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            columns = (batch.column(c).to_pylist() for c in ("doc_id", "text_key", "text", "keys"))
-            for doc, text_key, text, wanted in zip(*columns):
-                raw, wanted = text.encode("utf-8", "surrogatepass"), np.sort(np.array(wanted, np.int64))
-                for key, first, last in smallest_grams(raw, width):
-                    at = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
-                    for i in np.flatnonzero(wanted[at] == key).tolist():
-                        a, b = int(first[i]), int(last[i])
-                        for x, v in zip(out, (int(key[i]), doc, text_key, a, raw[a : b + width])):
+            for doc, text_key, packed, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "packed", "wanted"))):
+                raw = unpack(packed)
+                key, context, first, last = all_grams(raw, width)
+                for w in wanted:
+                    if w["text_key"] == text_key:
+                        i = w["at"]
+                        row = (int(key[i]), int(context[i]), raw[first[i] : last[i] + width], doc, w["most"])
+                        for x, v in zip(out, row):
                             x.append(v)
-                if len(out[0]) > 50_000:
-                    yield batch_of(out)
-                    out = [[], [], [], [], []]
-            yield batch_of(out)
-
-    def batch_of(out):
-        kinds = [pa.int64()] * 4 + [pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names=["key", "doc_id", "text_key", "start", "ctx"])
-
-    in_key = Window.partitionBy("key")
-    shared = (
-        rows.select("doc_id", "text")
-        .mapInArrow(keys, "key long, doc_id long")
-        .withColumn("shared", F.min("doc_id").over(in_key) < F.max("doc_id").over(in_key))
-        .where("shared")
-        .groupBy("doc_id")
-        .agg(F.collect_list("key").alias("keys"))
-    )
-    occurring = (
-        rows.join(shared, "doc_id")
-        .select("doc_id", "text_key", "text", "keys")
-        .mapInArrow(occurrences, "key long, doc_id long, text_key long, start long, ctx binary")
-        .withColumn("h", F.xxhash64("ctx"))
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names=["key", "h", "ctx", "least_doc", "most_doc"])
+
+    return run
+
+
+def repeated_spans(rows: DataFrame, packed: DataFrame, width: int) -> DataFrame:
+    """doc_id and spans: of each document with bytes to remove, the occurrences by number, and which of
+    their windows (from low to high; null: all) have an earlier copy.
+
+    ``rows`` has doc_id (no null), text_key and text, ``packed`` the same with the text compressed.
+    """
+    in_bucket, same = Window.partitionBy("key"), Window.partitionBy("key", "h")
+    found = rows.mapInArrow(_grams(width), "key long, h long, doc_id long, text_key long, at long").select(
+        "*",
+        F.min("doc_id").over(in_bucket).alias("first_doc"),
+        F.max("doc_id").over(in_bucket).alias("last_doc"),
+        (F.min("h").over(in_bucket) < F.max("h").over(in_bucket)).alias("several"),
+        F.min("doc_id").over(same).alias("least"),
+        F.max("doc_id").over(same).alias("most"),
     )
-    buckets = occurring.groupBy("key", "h", "ctx").agg(F.min("doc_id").alias("least_doc"), F.max("doc_id").alias("most_doc"))
+    found = materialise(found.where("first_doc < last_doc and (several or least < doc_id)").drop("first_doc", "last_doc"))
+    wanted = found.where("several and doc_id = least").groupBy("key", "h").agg(F.min(F.struct("doc_id", "text_key", "at", "most")).alias("w"))
+    wanted = wanted.groupBy("w.doc_id").agg(F.collect_list(F.struct("w.text_key", "w.at", "w.most")).alias("wanted"))
     refined = (
-        buckets.repartition("key")
+        packed.join(wanted, "doc_id")
+        .select("doc_id", "text_key", "packed", "wanted")
+        .mapInArrow(_contexts(width), "key long, h long, ctx binary, least_doc long, most_doc long")
+        .repartition("key")
         .sortWithinPartitions("key")
         .mapInArrow(_refine(width, 2_000_000), "key long, h long, low long, high long, least long")
     )
-    return (
-        occurring.select("key", "h", "doc_id", "text_key", "start")
-        .join(refined, ["key", "h"])
-        .where(F.col("least") < F.col("doc_id"))
-        .select("doc_id", F.struct("text_key", (F.col("start") + F.col("low")).alias("a"), (F.col("start") + F.col("high") + width).alias("b")).alias("s"))
-        .groupBy("doc_id")
-        .agg(F.collect_list("s").alias("spans"))
-    )
+    parts = found.where("several").drop("least").join(refined, ["key", "h"]).where("least < doc_id")
+    none = F.lit(None).cast("long")
+    span = lambda low, high: F.struct("text_key", "at", low.alias("low"), high.alias("high")).alias("s")
+    spans = parts.select("doc_id", span(F.col("low"), F.col("high"))).union(found.where("not several").select("doc_id", span(none, none)))
+    return spans.groupBy("doc_id").agg(F.collect_list("s").alias("spans"))
 
 
-def _removed(batches):
-    for batch in batches:
-        kept, spans, sizes = [], [], []
-        for text, text_key, found in zip(*(batch.column(c).to_pylist() for c in ("text", "text_key", "spans"))):
-            raw = text.encode("utf-8", "surrogatepass")
-            edges = np.zeros(len(raw) + 1, np.int32)
-            for s in found or ():
-                if s["text_key"] == text_key:
-                    edges[s["a"]] += 1
-                    edges[s["b"]] -= 1
-            gone = np.concatenate([[False], np.cumsum(edges[:-1]) > 0, [False]])
-            a, b = np.flatnonzero(gone[1:] & ~gone[:-1]), np.flatnonzero(~gone[1:] & gone[:-1])
-            kept.append(np.frombuffer(raw, np.uint8)[~gone[1:-1]].tobytes())
-            spans.append([{"start": x, "end": y} for x, y in zip(a.tolist(), b.tolist())])
-            sizes.append(len(raw))
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "removed", "kept"])
+def _removed(width: int):
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            kept, spans, sizes = [], [], []
+            for packed, text_key, found in zip(*(batch.column(c).to_pylist() for c in ("packed", "text_key", "spans"))):
+                raw = unpack(packed)
+                edges = np.zeros(len(raw) + 1, np.int32)
+                found = [s for s in found or () if s["text_key"] == text_key]
+                if found:
+                    first, last = all_grams(raw, width)[2:]
+                    for s in found:
+                        a = first[s["at"]]
+                        edges[a + (s["low"] or 0)] += 1
+                        edges[(last[s["at"]] if s["high"] is None else a + s["high"]) + width] -= 1
+                gone = np.concatenate([[False], np.cumsum(edges[:-1]) > 0, [False]])
+                a, b = np.flatnonzero(gone[1:] & ~gone[:-1]), np.flatnonzero(~gone[1:] & gone[:-1])
+                kept.append(np.frombuffer(raw, np.uint8)[~gone[1:-1]].tobytes())
+                spans.append([{"start": x, "end": y} for x, y in zip(a.tolist(), b.tolist())])
+                sizes.append(len(raw))
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "removed", "kept"])
+
+    return run
 
 
 def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
@@ -220,10 +274,12 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     text = whole_text(F.col("text"))
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     rows = every.where("doc_id is not null")
+    pack = lambda x: x.mapInArrow(_packed, "doc_id long, text_key long, packed binary")
+    packed = pack(rows).where("doc_id is not null")  # as the joins' own filter, so that they share the exchange
+    spans = repeated_spans(rows, packed, width)
+    whole = pack(every.where("doc_id is null")).withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
     kind = "doc_id long, n_bytes long, removed array<struct<start:bigint,end:bigint>>, kept binary"
-    spans = repeated_spans(rows, width)
-    whole = every.where("doc_id is null").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
-    return rows.join(spans, "doc_id", "left").select(*whole.columns).union(whole).mapInArrow(_removed, kind)
+    return packed.join(spans, "doc_id", "left").select(*whole.columns).union(whole).mapInArrow(_removed(width), kind)
 
 
 def op6_repeat_suffixes(spark, sf_dir: str) -> DataFrame:
