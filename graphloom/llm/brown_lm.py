@@ -129,9 +129,9 @@ def item_bigrams(docs: DataFrame, v: Vocabulary) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["pair", "n"])
 
     rows = docs.select(whole_text(F.col("text")).alias("text")).mapInArrow(count, "pair int, n long")
-    found = rows.groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    found = rows.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros(m * m)
-    n[found["pair"].to_numpy(int)] = found["n"].to_numpy(float)
+    n[found["pair"].to_numpy()] = found["n"].to_numpy()
     return n.reshape(m, m)
 
 
@@ -190,10 +190,10 @@ def train_classes(
         F.sum(F.when(F.col("word") == _DOCS, F.col("n"))).alias("docs"),
     ).first()
     n_docs = total["docs"] or 0
-    top = counts.where(F.col("word") != _DOCS).orderBy(F.desc("n"), "word").limit(head).collect()
+    top = counts.where(F.col("word") != _DOCS).orderBy(F.desc("n"), "word").limit(head).toArrow()
     v = Vocabulary(
-        [bytes(r["word"]) for r in top],
-        np.array([r["n"] for r in top] + [0] * endings + [n_docs], float),
+        top["word"].to_pylist(),
+        np.array(top["n"].to_pylist() + [0] * endings + [n_docs], float),
         items,
         endings,
         (total["words"] or 0) + n_docs,
