@@ -46,7 +46,7 @@ if __name__ == "__main__":
 
     import __spark_entry__ as entry
 
-    spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g").config("spark.ui.enabled", "false").getOrCreate()
+    spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g").config("spark.ui.enabled", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     folder, con, sql = sys.argv[1], connect(sys.argv[1]), entry.oracle_sql()
     for name, query in entry.queries().items():
