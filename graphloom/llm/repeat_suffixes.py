@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -107,47 +108,45 @@ def window_ranks(data: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray
 
 
 def _refine(width: int, most_bytes: int):
-    """Per distinct text of a bucket: runs of window starts with the smallest doc_id of their window."""
-
-    def solve(keys: list[int], hashes: list[int], texts: list[bytes], lows: list[int], highs: list[int]):
-        sizes = np.array([len(t) for t in texts])
-        counts = sizes - width + 1
-        of = np.repeat(np.arange(len(texts)), counts)
+    """Per distinct context of a bucket: runs of window starts with the smallest doc_id of their window."""
+
+    def solve(part: pa.Table) -> pa.RecordBatch:
+        part = part.combine_chunks()
+        keys, hashes, lows, highs = (part[c].to_numpy() for c in ("key", "h", "least_doc", "most_doc"))
+        text = pa.concat_arrays(part["ctx"].chunks)
+        ends = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+        data = np.append(np.frombuffer(text.buffers()[2], np.uint8)[ends[0] : ends[-1]], np.zeros(8, np.uint8))
+        counts = np.diff(ends) - width + 1
+        of = np.repeat(np.arange(len(text)), counts)
         place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        starts = np.repeat(np.cumsum(sizes) - sizes, counts) + place
-        rank = window_ranks(np.frombuffer(b"".join(texts) + bytes(8), np.uint8), starts, width)
-        low = np.array(lows)[of]
+        rank = window_ranks(data, np.repeat(ends[:-1] - ends[0], counts) + place, width)
         least = np.full(int(rank.max()) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, rank, low)
+        np.minimum.at(least, rank, lows[of])
         least = least[rank]
-        new = np.append(True, (of[1:] != of[:-1]) | (least[1:] != least[:-1]))
-        first = np.flatnonzero(new)
+        first = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (least[1:] != least[:-1])))
         last = np.append(first[1:], len(of)) - 1
-        useful = least[first] < np.array(highs)[of[first]]
+        useful = least[first] < highs[of[first]]
         first, last = first[useful], last[useful]
         o = of[first]
-        return [np.array(keys)[o], np.array(hashes)[o], place[first], place[last], least[first]]
+        columns = [keys[o], hashes[o], place[first], place[last], least[first]]
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["key", "h", "low", "high", "least"])
 
     def run(batches):
-        held: list[list] = [[], [], [], [], []]
+        held: list[pa.RecordBatch] = []
         size = 0
-
-        def out():
-            columns = solve(*held)
-            for x in held:
-                x.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["key", "h", "low", "high", "least"])
-
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "h", "ctx", "least_doc", "most_doc"))):
-                if size > most_bytes and row[0] != held[0][-1]:  # a bucket is never cut
-                    yield out()
-                    size = 0
-                for x, v in zip(held, row):
-                    x.append(v)
-                size += len(row[2])
-        if size:
-            yield out()
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.column("ctx").nbytes
+            if size > most_bytes:  # up to the last bucket, which may go on; a bucket is never cut
+                keys = batch.column("key").to_numpy()
+                cut = int(np.searchsorted(keys, keys[-1]))
+                if cut:
+                    yield solve(pa.Table.from_batches([*held[:-1], batch.slice(0, cut)]))
+                    held, size = [batch.slice(cut)], 0
+        if held:
+            yield solve(pa.Table.from_batches(held))
 
     return run
 
@@ -181,22 +180,32 @@ def _grams(width: int):
     return run
 
 
+def _lists(column: pa.Array, *names: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Offsets and fields of an array of structs; nulls are -1, and a null list is empty."""
+    sizes = np.array([n or 0 for n in pc.list_value_length(column).to_pylist()], np.int64)
+    flat = column.flatten()
+    return np.append(0, np.cumsum(sizes)), [pc.fill_null(pc.struct_field(flat, n), -1).to_numpy(zero_copy_only=False) for n in names]
+
+
 def _contexts(width: int):
     def run(batches):
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for doc, text_key, packed, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "packed", "wanted"))):
+            out: list[list[np.ndarray]] = [[], [], [], []]
+            texts: list[bytes] = []
+            ends, (of_text, at, most) = _lists(batch.column("wanted"), "text_key", "at", "most")
+            for row, (doc, text_key, packed) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "packed")))):
+                own = slice(ends[row], ends[row + 1])
+                i, top = at[own], most[own]
+                mine = of_text[own] == text_key
+                i, top = i[mine], top[mine]
                 raw = unpack(packed)
                 key, context, first, last = all_grams(raw, width)
-                for w in wanted:
-                    if w["text_key"] == text_key:
-                        i = w["at"]
-                        row = (int(key[i]), int(context[i]), raw[first[i] : last[i] + width], doc, w["most"])
-                        for x, v in zip(out, row):
-                            x.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names=["key", "h", "ctx", "least_doc", "most_doc"])
+                texts += [raw[x:y] for x, y in zip(first[i].tolist(), (last[i] + width).tolist())]
+                for x, v in zip(out, (key[i], context[i], np.full(len(i), doc), top)):
+                    x.append(v)
+            key, context, doc, top = (pa.array(np.concatenate([*x, np.empty(0, np.int64)])) for x in out)
+            yield pa.RecordBatch.from_arrays([key, context, pa.array(texts, pa.binary()), doc, top], names=["key", "h", "ctx", "least_doc", "most_doc"])
 
     return run
 
@@ -239,16 +248,18 @@ def _removed(width: int):
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             kept, spans, sizes = [], [], []
-            for packed, text_key, found in zip(*(batch.column(c).to_pylist() for c in ("packed", "text_key", "spans"))):
+            ends, (of_text, at, low, high) = _lists(batch.column("spans"), "text_key", "at", "low", "high")
+            for row, (packed, text_key) in enumerate(zip(batch.column("packed").to_pylist(), batch.column("text_key").to_pylist())):
                 raw = unpack(packed)
                 edges = np.zeros(len(raw) + 1, np.int32)
-                found = [s for s in found or () if s["text_key"] == text_key]
-                if found:
+                own = np.arange(ends[row], ends[row + 1])
+                own = own[of_text[own] == text_key]
+                if len(own):
                     first, last = all_grams(raw, width)[2:]
-                    for s in found:
-                        a = first[s["at"]]
-                        edges[a + (s["low"] or 0)] += 1
-                        edges[(last[s["at"]] if s["high"] is None else a + s["high"]) + width] -= 1
+                    a, b = first[at[own]], last[at[own]]
+                    some = high[own] >= 0
+                    np.add.at(edges, np.where(some, a + low[own], a), 1)
+                    np.add.at(edges, np.where(some, a + high[own], b) + width, -1)
                 gone = np.concatenate([[False], np.cumsum(edges[:-1]) > 0, [False]])
                 a, b = np.flatnonzero(gone[1:] & ~gone[:-1]), np.flatnonzero(~gone[1:] & gone[:-1])
                 kept.append(np.frombuffer(raw, np.uint8)[~gone[1:-1]].tobytes())
