@@ -6,11 +6,11 @@ which bounds their similarity from above. A box of points bounds it for all sets
 
 Equal sets collapse to one node first. Nodes meet in the cells of their rarest shingles: linked sets share
 one among their first floor(n / 4) + 1, whatever the order, and an order by rising frequency (from a table
-of counters of fixed size) keeps common passages out of the cells. Each cell's smallest node is verified
-with the cell's others where the points allow it. That already joins copies of one text into a component;
-what is left in a cell of several components goes through an R-tree over the points of the cell, and the
-pairs of different components that survive the bounds are verified too. Verification counts shared
-shingles exactly.
+of counters of fixed size) keeps common passages out of the cells. A cell's smallest node is its hub; each
+node is verified with the hub it shares most cells with. That already joins most copies of one text into a
+component. Cells that still hold several components go through R-trees over their points: first for each
+node's nearest point in each other component, then, with the components that those links make, for all
+pairs of different components that the bounds let pass. Verification counts shared shingles exactly.
 """
 
 from __future__ import annotations
@@ -32,11 +32,11 @@ _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049B
 
 
 class _WordHash(dict):
-    """64-bit hashes of words; remembers up to half a million."""
+    """64-bit hashes of words; remembers up to a quarter of a million."""
 
     def __missing__(self, word: bytes) -> int:
         found = xxhash.xxh64_intdigest(word)
-        if len(self) < 500_000:
+        if len(self) < 250_000:
             self[word] = found
         return found
 
@@ -66,7 +66,17 @@ def shingle_set(text: str) -> np.ndarray:
 
 def count_vector(s: np.ndarray) -> np.ndarray:
     """How many of the set's shingles fall into each group."""
-    return np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=GROUPS).astype("<u4")
+    return np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=GROUPS)
+
+
+def packed_point(s: np.ndarray) -> bytes:
+    """The count vector in one byte for each group, or in four where a count needs them."""
+    n = count_vector(s)
+    return n.astype("u1" if n.max() < 256 else "<u4").tobytes()
+
+
+def point_of(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, "u1" if len(packed) == GROUPS else "<u4").astype(np.int64)
 
 
 def set_id(s: np.ndarray) -> int:
@@ -109,34 +119,26 @@ class RTree:
         return self.order[at[linked(shared, n, self.size[at])]]
 
 
-def _counters(rows: DataFrame) -> np.ndarray:
-    """How many shingles of all rows fall on each of 2**COUNTER_BITS counters."""
-
-    def count(batches):
-        n = np.zeros(1 << COUNTER_BITS, np.int64)
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                n += np.bincount((shingle_set(text) & np.uint64((1 << COUNTER_BITS) - 1)).astype(np.int64), minlength=1 << COUNTER_BITS)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["at", "n"])
-
-    found = rows.select("text").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    n = np.zeros(1 << COUNTER_BITS, np.int64)
-    n[found["at"].to_numpy(int)] = found["n"].to_numpy(np.int64)
-    return n
-
-
 def _describe(batches):
+    """Rows of the documents, and at the end of a task how many of its shingles fall on each counter."""
+    counters = np.zeros(1 << COUNTER_BITS, np.int64)
     for batch in batches:
         sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
+        for s in sets:
+            counters += np.bincount((s & np.uint64((1 << COUNTER_BITS) - 1)).astype(np.int64), minlength=1 << COUNTER_BITS)
         columns = [
             batch.column("doc_id"),
             batch.column("text_key"),
             pa.array([len(s) for s in sets], pa.int64()),
             pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
-            pa.array([count_vector(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+            pa.array([packed_point(s) if len(s) else None for s in sets], pa.binary()),
+            pa.nulls(len(sets), pa.int32()),
         ]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "n", "node", "point"])
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "n", "node", "point", "counter"])
+    at = np.flatnonzero(counters)
+    none = pa.nulls(len(at), pa.int64())
+    columns = [none, none, pa.array(counters[at]), none, pa.nulls(len(at), pa.binary()), pa.array(at.astype(np.int32))]
+    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "n", "node", "point", "counter"])
 
 
 def _cells(counters):
@@ -164,7 +166,7 @@ def _cells(counters):
 def _may_link(a: pd.Series, b: pd.Series) -> pd.Series:
     found = []
     for x, y in zip(a, b):
-        p, q = np.frombuffer(x, "<u4").astype(np.int64), np.frombuffer(y, "<u4").astype(np.int64)
+        p, q = point_of(x), point_of(y)
         found.append(bool(linked(np.minimum(p, q).sum(), p.sum(), q.sum())))
     return pd.Series(found, dtype=bool)
 
@@ -195,38 +197,66 @@ def _verify(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, most_broadcast:
     return pairs.join(a, "a").join(b, "b").mapInArrow(check, "a long, b long")
 
 
-def _tree_pairs(batches):
-    """Pairs of different components in each unit that the unit's R-tree lets pass."""
+def _tree_pairs(nearest: bool):
+    """Pairs of different components in each unit that the unit's R-tree lets pass; ``nearest``: only the one
+    of the highest bound for each member and component."""
 
     def pairs(members):
-        node, component, block, major, point = (list(x) for x in zip(*members))
-        points = np.stack([np.frombuffer(p, "<u4").astype(np.int64) for p in point])
-        node, component, major, block = np.array(node), np.array(component), np.array(major), np.array(block)
-        tree = RTree(points)
+        node, component, home, major, point = (list(x) for x in zip(*members))
+        node, component, major, home = np.array(node), np.array(component), np.array(major), np.array(home)
+        tree = RTree(np.stack([point_of(p) for p in point]))
+        points = np.empty_like(tree.points)
+        points[tree.order] = tree.points
         for i in np.flatnonzero(~major):
             near = tree.near(points[i])
-            near = near[(component[near] != component[i]) & (major[near] | (block[i] & (node[near] > node[i])))]
+            near = near[(component[near] != component[i]) & (major[near] | (home[i] & (node[near] > node[i])))]
+            if nearest and len(near):
+                shared = np.minimum(points[near], points[i]).sum(1)
+                near = near[np.lexsort((node[near], -shared))]
+                near = near[np.unique(component[near], return_index=True)[1]]
             for j in near.tolist():
                 yield min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))
 
     def out(found):
-        found = sorted(set(found))
+        found = sorted(found)
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    unit, held, found = None, [], []
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("key", "unit", "node", "component", "home", "major", "point"))):
-            if row[:2] != unit:
-                if held:
-                    found += pairs(held)
-                if len(found) > 100_000:
-                    yield out(found)
-                    found = []
-                unit, held = row[:2], []
-            held.append(row[2:])
-    if held:
-        found += pairs(held)
-    yield out(found)
+    def run(batches):
+        unit, held, found = None, [], set()
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "unit", "node", "component", "home", "major", "point"))):
+                if row[:2] != unit:
+                    if held:
+                        found.update(pairs(held))
+                    if len(found) > 200_000:
+                        yield out(found)
+                        found = set()
+                    unit, held = row[:2], []
+                held.append(row[2:])
+        if held:
+            found.update(pairs(held))
+        yield out(found)
+
+    return run
+
+
+def _open_pairs(cells: DataFrame, nodes: DataFrame, of: DataFrame, tested: DataFrame, unit_size: int, nearest: bool) -> DataFrame:
+    """Untested pairs (a < b) of different components from the cells that hold several."""
+    placed = cells.select("key", "node").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = placed.groupBy("key").agg(
+        F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("b")
+    )
+    several = several.where("c1 < c2").join(tested.withColumn("done", F.lit(True)), ["a", "b"], "left")
+    several = several.where("n > 2 or done is null").select("key", F.ceil(F.col("n") / unit_size).cast("int").alias("units"))
+    left = materialise(placed.join(several, "key"))
+    major = left.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("most"))
+    left = left.join(materialise(major), "key").withColumn("major", F.col("component") == F.col("most"))
+    home = F.pmod(F.xxhash64("node"), F.col("units")).cast("int")
+    units = F.when(F.col("major"), F.array(home)).otherwise(F.sequence(F.lit(0), F.col("units") - 1))
+    left = left.select("key", "node", "component", "major", home.alias("own"), F.explode(units).alias("unit"))
+    left = left.withColumn("home", F.col("own") == F.col("unit")).join(nodes.select("node", "point"), "node").drop("own")
+    found = left.repartition("key", "unit").sortWithinPartitions("key", "unit").mapInArrow(_tree_pairs(nearest), "a long, b long").distinct()
+    return materialise(found.join(tested, ["a", "b"], "left_anti"))
 
 
 def link_classes(docs: DataFrame, unit_size: int = 2000) -> DataFrame:
@@ -240,39 +270,35 @@ def link_classes(docs: DataFrame, unit_size: int = 2000) -> DataFrame:
     spark = docs.sparkSession
     text = whole_text(F.col("text"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    counters = spark.sparkContext.broadcast(_counters(rows))  # of fixed size
-    described = materialise(rows.mapInArrow(_describe, "doc_id long, text_key long, n long, node long, point binary"))
+    every = materialise(rows.mapInArrow(_describe, "doc_id long, text_key long, n long, node long, point binary, counter int"))
+    described = every.where("counter is null").drop("counter")
+    counts = every.where("counter is not null").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    counters = np.zeros(1 << COUNTER_BITS, np.int64)
+    counters[counts["counter"].to_numpy()] = counts["n"].to_numpy()
+    shared = spark.sparkContext.broadcast(counters)  # of fixed size
     nodes = described.where("n > 0").groupBy("node").agg(F.min("text_key").alias("text_key"), F.first("point").alias("point"))
     nodes = materialise(nodes)
 
     in_cell = Window.partitionBy("key")
-    cells = rows.select("text").mapInArrow(_cells(counters), "key long, node long")
+    cells = rows.select("text").mapInArrow(_cells(shared), "key long, node long")
     cells = cells.select("key", "node", F.min("node").over(in_cell).alias("hub"), F.max("node").over(in_cell).alias("top"))
     cells = materialise(cells.where("hub < top").select("key", "node", "hub").distinct())
 
     a, b = (nodes.select(F.col("node").alias(c), F.col("point").alias(f"point_{c}")) for c in "ab")
-    stars = cells.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    stars = stars.join(a, "a").join(b, "b").where(_may_link("point_a", "point_b")).select("a", "b")
-    links = materialise(_verify(materialise(stars), nodes, rows))
+    stars = cells.where("node <> hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    tested = materialise(stars.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"))
+    pairs = tested.join(a, "a").join(b, "b").where(_may_link("point_a", "point_b")).select("a", "b")
+    links = materialise(_verify(materialise(pairs), nodes, rows))
     of = components(links)
-
-    placed = cells.select("key", "node").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_cells = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("n"))
-    open_cells = open_cells.where("c1 < c2 and n > 2").select("key", F.ceil(F.col("n") / unit_size).cast("int").alias("units"))
-    left = materialise(placed.join(open_cells, "key"))
-    major = left.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("most"))
-    left = left.join(major, "key").withColumn("major", F.col("component") == F.col("most"))
-    home = F.pmod(F.xxhash64("node"), F.col("units")).cast("int")
-    units = F.when(F.col("major"), F.array(home)).otherwise(F.sequence(F.lit(0), F.col("units") - 1))
-    left = left.select("key", "node", "component", "major", home.alias("own"), F.explode(units).alias("unit"))
-    left = left.withColumn("home", F.col("own") == F.col("unit")).join(nodes.select("node", "point"), "node")
-    rest = left.repartition("key", "unit").sortWithinPartitions("key", "unit").mapInArrow(_tree_pairs, "a long, b long").distinct()
-    tested = cells.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-    rest = materialise(rest.join(tested, ["a", "b"], "left_anti"))
-    of = components(links.union(_verify(rest, nodes, rows))) if rest.limit(1).count() else of
+    for nearest in (True, False):
+        pairs = _open_pairs(cells, nodes, of, tested, unit_size, nearest)
+        if pairs.limit(1).count():
+            links = links.union(materialise(_verify(pairs, nodes, rows)))
+            tested = tested.union(pairs)
+            of = components(links)
 
     grouped = described.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = grouped.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
+    least = materialise(grouped.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least")))
     found = grouped.select("doc_id", F.col("n").alias("n_shingles"), "component").join(least, "component", "left")
     return found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 

@@ -83,7 +83,7 @@ def test_tree_misses_no_link():
     for _ in range(60):
         base = rng.integers(0, 2**63, rng.integers(5, 400), dtype=np.uint64)
         sets += [np.unique(np.where(rng.random(len(base)) < 0.06 * k, rng.integers(0, 2**63, len(base), dtype=np.uint64), base)) for k in range(5)]
-    points = np.stack([count_vector(s).astype(np.int64) for s in sets])
+    points = np.stack([count_vector(s) for s in sets])
     tree = RTree(points, fan=4)
     passed = 0
     for i, s in enumerate(sets):
