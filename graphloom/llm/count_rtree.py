@@ -9,7 +9,7 @@ one among their first floor(n / 4) + 1, whatever the order, and an order by risi
 of counters of fixed size) keeps common passages out of the cells. A cell's smallest node is its hub; each
 node is verified with the hub it shares most cells with. That already joins most copies of one text into a
 component. Cells that still hold several components go through R-trees over their points: first for each
-node's nearest point in each other component, then, with the components that those links make, for all
+node's nearest point in another component, then, with the components that those links make, for all
 pairs of different components that the bounds let pass. Verification counts shared shingles exactly.
 """
 
@@ -95,9 +95,11 @@ class RTree:
 
     def __init__(self, points: np.ndarray, fan: int = 16) -> None:
         size = points.sum(1)
-        wide = np.argsort(-points.var(0))[:2]
-        slab = np.argsort(np.argsort(size, kind="stable"), kind="stable") // (fan * fan)
-        self.order = np.lexsort((points[:, wide[1]], points[:, wide[0]], slab))
+        self.order = np.arange(len(points))
+        if len(points) > fan:  # else one box holds them all
+            wide = np.argsort(-points.var(0))[:2]
+            slab = np.argsort(np.argsort(size, kind="stable"), kind="stable") // (fan * fan)
+            self.order = np.lexsort((points[:, wide[1]], points[:, wide[0]], slab))
         self.points, self.size, self.fan = points[self.order], size[self.order], fan
         self.levels = []
         high, low = self.points, self.size
@@ -199,7 +201,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, most_broadcast:
 
 def _tree_pairs(nearest: bool):
     """Pairs of different components in each unit that the unit's R-tree lets pass; ``nearest``: only the one
-    of the highest bound for each member and component."""
+    of the highest bound for each member, the others being left to the round after."""
 
     def pairs(members):
         node, component, home, major, point = (list(x) for x in zip(*members))
@@ -212,8 +214,7 @@ def _tree_pairs(nearest: bool):
             near = near[(component[near] != component[i]) & (major[near] | (home[i] & (node[near] > node[i])))]
             if nearest and len(near):
                 shared = np.minimum(points[near], points[i]).sum(1)
-                near = near[np.lexsort((node[near], -shared))]
-                near = near[np.unique(component[near], return_index=True)[1]]
+                near = near[np.lexsort((node[near], -shared))[:1]]
             for j in near.tolist():
                 yield min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))
 
