@@ -122,7 +122,7 @@ def item_bigrams(docs: DataFrame, v: Vocabulary) -> np.ndarray:
         n = np.zeros(m * m, np.int64)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for part in slices(texts, 4_000_000):
+            for part in slices([*map(len, texts)], 4_000_000):
                 item = item_of[_tokens(ids, texts[part])[1]]
                 n += np.bincount(np.append(m - 1, item[:-1]) * m + item, minlength=m * m)
         at = np.flatnonzero(n)
@@ -243,7 +243,7 @@ def score_documents(docs: DataFrame, model: ClassModel, counts: DataFrame) -> Da
         unigram_part = model.next_class @ model.novel
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for part in slices(texts, 2_000_000):
+            for part in slices([*map(len, texts)], 2_000_000):
                 words, found, sizes = _tokens(ids, texts[part])
                 c, n = cls[found], n_of[found]
                 before = np.append(cls[v.end], c[:-1])

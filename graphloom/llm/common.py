@@ -55,13 +55,13 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def slices(texts: list[str], most: int) -> Iterator[slice]:
-    """Slices of the list of about ``most`` characters each, at least one text."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
+def slices(sizes: list[int], most: int) -> Iterator[slice]:
+    """Slices of a list whose items have these sizes, of about ``most`` in all, at least one item each."""
+    start = total = 0
+    for i, n in enumerate(sizes):
+        if total and total + n > most:
             yield slice(start, i)
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield slice(start, len(texts))
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield slice(start, len(sizes))

@@ -18,6 +18,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +47,7 @@ class TrieBpe:
     """Encoder and decoder of one vocabulary file. The three limits bound memory: full memos are emptied
     and refilled, which costs time and changes no result."""
 
-    def __init__(self, path: str, max_words: int = 400_000, max_pairs: int = 500_000, max_states: int = 500_000) -> None:
+    def __init__(self, path: str, max_words: int = 200_000, max_pairs: int = 250_000, max_states: int = 250_000) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         alphabet = _byte_alphabet()
@@ -155,13 +156,13 @@ def _bpe(path: str) -> TrieBpe:
     return TrieBpe(path)
 
 
-def _coder(path: str, chars: int = 4_000_000) -> Callable:
+def _coder(path: str, most_bytes: int = 2_000_000) -> Callable:
     def run(batches):
         bpe = _bpe(path)
         for batch in batches:
-            doc_id, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            for part in slices(texts, chars):
-                ids = bpe.encode_batch(texts[part])
+            doc_id, text = batch.column("doc_id"), batch.column("text")
+            for part in slices(pc.binary_length(text).to_pylist(), most_bytes):
+                ids = bpe.encode_batch(text[part.start : part.stop].to_pylist())
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 back = [bpe.decode(x.tolist()) for x in ids]
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
