@@ -145,6 +145,11 @@ class TrieBpe:
             self.words[word.decode("utf-8")] = ids
         return [np.array([*chain.from_iterable(map(self.words.__getitem__, parts))], np.int32) for parts in cut]
 
+    def forget(self) -> None:
+        """Empties the large memos; what is known of pairs stays."""
+        self.words = {s: [i] for s, i in self.special.items()}
+        self.states = {}
+
     def decode(self, ids: Iterable[int]) -> str:
         """The text of the ids, special tokens included; bytes that are no UTF-8 become U+FFFD."""
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -152,7 +157,7 @@ class TrieBpe:
 
 @lru_cache(maxsize=1)
 def _bpe(path: str) -> TrieBpe:
-    """One coder for each Python worker; its later tasks find the memos filled."""
+    """One coder for each Python worker; its later tasks find what is known of pairs."""
     return TrieBpe(path)
 
 
@@ -168,6 +173,7 @@ def _coder(path: str, most_bytes: int = 2_000_000) -> Callable:
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
                 columns = [doc_id[part.start : part.stop], lists, pa.array(back, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "token_ids", "decoded"])
+        bpe.forget()  # the worker may go on to other work
 
     return run
 
