@@ -364,4 +364,6 @@ def bottleneck_distances(points: DataFrame, pairs: DataFrame) -> DataFrame:
             found = [bottleneck([*map(tuple, x)], [*map(tuple, y)]) for x, y in zip(batch.column("d1").to_pylist(), batch.column("d2").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("g1"), batch.column("g2"), pa.array(found, pa.float64())], names=["g1", "g2", "distance"])
 
-    return both.mapInArrow(solve, "g1 long, g2 long, distance double")
+    # dealt out by number: the rows are small, their matchings are not
+    dealt = both.repartition(4 * pairs.sparkSession.sparkContext.defaultParallelism)
+    return dealt.mapInArrow(solve, "g1 long, g2 long, distance double")

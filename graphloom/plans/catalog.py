@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import signatures
-from graphloom.functions.tables import portable_hash, portable_hash_sql
+from graphloom.functions.tables import dense_ids, portable_hash, portable_hash_sql
 from graphloom.operators import evaluate, gcn, kernels, persistence, vectorize, walks, wl
 from graphloom.plans import experiment
 from graphloom.sources.collections import (
@@ -414,8 +414,10 @@ def rips_h1(spark, d):
 
 @query()
 def bottleneck_neighbours(spark, d):
-    """Each twentieth graph against the next one by id."""
-    pairs = co_purchase_graphs(spark, d).graphs.where("graph_id % 20 = 0").select(F.col("graph_id").alias("g1"), (F.col("graph_id") + 1).alias("g2"))
+    """Every graph against the next one by id; the last has none."""
+    placed = dense_ids(co_purchase_graphs(spark, d).graphs.select("graph_id"), ["graph_id"], "at")
+    ahead = placed.select(F.col("graph_id").alias("g2"), (F.col("at") - 1).alias("at"))
+    pairs = placed.withColumnRenamed("graph_id", "g1").join(ahead, "at").select("g1", "g2")
     return persistence.bottleneck_distances(_label_diagram(spark, d).where("dim = 0 and death > birth"), pairs)
 
 
@@ -453,6 +455,7 @@ k AS (SELECT g1, g2, ROUND(dot / (x.norm * y.norm), 6) AS k FROM dot JOIN fn x O
 
 
 def _gram(graphs, features):
+    """The search of each twentieth graph, as in the SQL; the whole matrices are the queries with _gram."""
     return kernels.gram(features, graphs.graphs.where("graph_id % 20 = 0")).select("g1", "g2", rounded("k"))
 
 
@@ -470,8 +473,7 @@ def graphlet_sampling(spark, d):
 
 @query()
 def sp_kernel(spark, d):
-    g = co_purchase_graphs(spark, d)
-    return _gram(g, kernels.shortest_path_features(g))
+    return _whole_gram(kernels.shortest_path_features(co_purchase_graphs(spark, d)))
 
 
 @query(graphs_sql(labels_sql(5), histogram_sql(5), "hf AS (SELECT graph_id, it || ':' || label AS feature, n FROM h)", gram_sql("hf"), select="SELECT g1, g2, k FROM k"))
@@ -480,6 +482,20 @@ def wl_kernel(spark, d):
     return _gram(g, kernels.wl_features(g, 5))
 
 
+def _whole_gram(features):
+    return kernels.gram_blocks(features).select("g1", "g2", rounded("k"))
+
+
+@query()
+def graphlet_gram(spark, d):
+    return _whole_gram(kernels.graphlet_features(co_purchase_graphs(spark, d)))
+
+
+@query()
+def wl_gram(spark, d):
+    return _whole_gram(kernels.wl_features(co_purchase_graphs(spark, d), 5))
+
+
 # walks
 
 
@@ -527,12 +543,24 @@ def n2v_walks(spark, d):
     return walks.walks(g.vertices, arcs, 4, 1, 0.5, 2.0)
 
 
+#: The reference's parameters.
+WALK_LENGTH, WALKS, DIMENSIONS = 80, 10, 128
+
+
+@query()
+def n2v_long_walks(spark, d):
+    """n2v_walks, whose SQL ends after four vertices, at the reference's length and number."""
+    g = co_purchase_graphs(spark, d)
+    arcs = walks.directed(g.edges.withColumn("weight", F.lit(1.0)))
+    return walks.walks(g.vertices, arcs, WALK_LENGTH, WALKS, 0.5, 2.0)
+
+
 @query()
 def n2v_embeddings(spark, d):
     edges = customer_supplier_edges(spark, d).withColumn("graph_id", F.lit(0).cast("long"))
     arcs = walks.directed(edges)
-    found = walks.walks(arcs.select("graph_id", F.col("src").alias("v")).distinct(), arcs, 6, 1, 1.0, 0.5)
-    return walks.embed(walks.paths(found))
+    found = walks.walks(arcs.select("graph_id", F.col("src").alias("v")).distinct(), arcs, WALK_LENGTH, WALKS)
+    return walks.embed(walks.paths(found), DIMENSIONS)
 
 
 # graph convolution
