@@ -39,6 +39,13 @@ def remap_classes(y: DataFrame) -> DataFrame:
     return y.join(F.broadcast(facts)).select("id", new.cast("long").alias("y"))
 
 
+def padded_labels(labels: DataFrame, width: int) -> DataFrame:
+    """id, classes: an id's classes (id, cls from 0) in ascending order, filled up to ``width`` with -1."""
+    found = labels.groupBy("id").agg(F.sort_array(F.collect_set(F.col("cls").cast("long"))).alias("classes"))
+    fill = F.array_repeat(F.lit(-1).cast("long"), F.greatest(F.lit(width) - F.size("classes"), F.lit(0)))
+    return found.select("id", F.concat("classes", fill).alias("classes"))
+
+
 def top_k(scores: DataFrame, truth: DataFrame) -> DataFrame:
     """id, cls: as many of an id's highest scores (id, cls, score) as it has true classes (id, cls); ties go
     to the smaller class."""

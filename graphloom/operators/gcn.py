@@ -60,3 +60,9 @@ def forward(x: DataFrame, adj: DataFrame, layers: list[tuple[DataFrame, DataFram
 def predict(scores: DataFrame) -> DataFrame:
     """graph_id, v, f: the class of highest score, the lowest on ties."""
     return scores.groupBy("graph_id", "v").agg(F.max_by("f", F.struct("value", -F.col("f"))).alias("f"))
+
+
+def loss(scores: DataFrame, truth: DataFrame) -> DataFrame:
+    """loss: the mean of minus the log-probability (graph_id, v, f, value) of the true class over the vertices
+    of a batch (graph_id, v, f)."""
+    return truth.join(scores, ["graph_id", "v", "f"]).agg((-F.avg("value")).alias("loss"))

@@ -9,9 +9,10 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions import signatures
 from graphloom.functions.tables import dense_ids, materialise
 from graphloom.model import GraphSet
-from graphloom.operators import evaluate, kernels, persistence
+from graphloom.operators import evaluate, kernels, persistence, vectorize
 
 
 def grid(config: dict) -> list[dict]:
@@ -52,6 +53,45 @@ def _persistent(cycles: bool):
     return features
 
 
+def _degree_diagram(graphs: GraphSet) -> DataFrame:
+    """graph_id, dim, birth, death of the degree filtration, scaled to [0, 1] by the collection's largest degree."""
+    points = persistence.vertex_diagram(graphs, signatures.degree(graphs))
+    top = F.broadcast(signatures.degree(graphs).agg(F.greatest(F.max("weight"), F.lit(1)).cast("double").alias("top")))
+    return points.join(top).select("graph_id", "dim", (F.col("birth") / F.col("top")).alias("birth"), (F.col("death") / F.col("top")).alias("death"))
+
+
+def _named(values: DataFrame, *name: str) -> DataFrame:
+    return values.select("graph_id", F.concat_ws(":", *[F.col(c).cast("string") for c in name]).alias("feature"), F.col("value").alias("n"))
+
+
+def signature_layers(graphs: GraphSet) -> DataFrame:
+    """graph_id, feature, n of three layers of fixed structure elements over degree diagrams: 150 for the
+    finite points of dimension 0, turned and stretched like the centres, and 50 each for the births of those
+    of dimension 0 and 1 that never die."""
+    spark, points = graphs.graphs.sparkSession, materialise(_degree_diagram(graphs))
+    finite, never = points.where("dim = 0 and death > birth"), points.where("death is null")
+    turned = vectorize.upper_diagonal(finite).withColumnsRenamed({"x": "birth", "y": "death"})
+    at = vectorize.centres(spark, 150, 1).select("e", F.col("cx").alias("birth"), F.col("cy").alias("death"))
+    at = vectorize.upper_diagonal(at).select("e", F.col("x").alias("cx"), F.col("y").alias("cy"))
+    layers = [vectorize.slayer(turned, at)]
+    for dim in (0, 1):
+        births = vectorize.centres(spark, 50, 2 + dim).select("e", "cx")
+        layers.append(vectorize.slayer_births(never.where(F.col("dim") == dim), births))
+    found = None
+    for name, layer in zip(("finite0", "never0", "never1"), layers):
+        x = _named(layer.withColumn("layer", F.lit(name)), "layer", "e")
+        found = x if found is None else found.union(x)
+    return found
+
+
+def _image(graphs: GraphSet) -> DataFrame:
+    return _named(vectorize.persistence_image(_degree_diagram(graphs).where("dim = 0"), 1.0), "i", "j")
+
+
+def _landscape(graphs: GraphSet) -> DataFrame:
+    return _named(vectorize.persistence_landscape(_degree_diagram(graphs).where("dim = 0"), 1.0), "k", "i")
+
+
 GRAPH_KERNELS = {
     "shortest_path": kernels.shortest_path_features,
     "graphlet_sampling": kernels.sampled_graphlets,
@@ -61,7 +101,13 @@ GRAPH_VECTORS = {
     "wl-subtree": lambda g: kernels.wl_features(g, 2),
     "persistent-wl": _persistent(False),
     "persistent-wlc": _persistent(True),
+    "signature-layers": signature_layers,
+    "persistence-image": _image,
+    "persistence-landscape": _landscape,
 }
+#: Inputs of a network, not of a kernel: not scaled to length 1.
+RAW_VECTORS = {"signature-layers"}
+
 
 
 def features_of(graphs: GraphSet, kernel: str | None = None, vector: str | None = None) -> DataFrame:
@@ -94,7 +140,7 @@ def run(graphs: GraphSet, config: dict) -> DataFrame:
     folds, 10 by default, of the accuracy on a fold after training on the others. Folds without a graph
     don't count."""
     found = features_of(graphs, config.get("graph_kernel"), config.get("graph_vector"))
-    rows = vectors(found, graphs.graphs).join(graphs.graphs, "graph_id")
+    rows = vectors(found, graphs.graphs, config.get("graph_vector") not in RAW_VECTORS).join(graphs.graphs, "graph_id")
     n = config.get("folds", 10)
     rows = materialise(evaluate.folds(rows, "graph_id", n, config.get("seed", 1)))
     rows = StringIndexer(inputCol="y", outputCol="label", stringOrderType="alphabetAsc").fit(rows).transform(rows).cache()
@@ -104,7 +150,8 @@ def run(graphs: GraphSet, config: dict) -> DataFrame:
         train, test = rows.where(F.col("fold") != k), rows.where(F.col("fold") == k)
         if not test.limit(1).count():
             continue
-        model = evaluate.classifier(config.get("classifier", "svc"), size, classes).fit(train)
+        layers = {"layers": (200, 100, 50)} if config.get("graph_vector") == "signature-layers" else {}
+        model = evaluate.classifier(config.get("classifier", "svc"), size, classes, **layers).fit(train)
         each.append((evaluate.accuracy(model.transform(test).select("label", "prediction")).first()["accuracy"],))
     rows.unpersist()
     return graphs.graphs.sparkSession.createDataFrame(each, "accuracy double").agg(F.avg("accuracy").alias("accuracy"))
