@@ -6,6 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +67,8 @@ def slices(sizes: list[int], most: int) -> Iterator[slice]:
         total += n
     if start < len(sizes):
         yield slice(start, len(sizes))
+
+
+def byte_slices(texts: pa.Array, most: int = 1 << 21) -> Iterator[slice]:
+    """Slices of an array of texts of about ``most`` bytes each, at least one text each."""
+    return slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), most)

@@ -6,15 +6,18 @@ which bounds their similarity from above. A box of points bounds it for all sets
 
 Equal sets collapse to one node first. Nodes meet in the cells of their rarest shingles: linked sets share
 one among their first floor(n / 4) + 1, whatever the order, and an order by rising frequency (from a table
-of counters of fixed size) keeps common passages out of the cells. A cell's smallest node is its hub; each
-node is verified with the hub it shares most cells with. That already joins most copies of one text into a
-component. Cells that still hold several components go through R-trees over their points: first for each
-node's nearest point in another component, then, with the components that those links make, for all
-pairs of different components that the bounds let pass. Verification counts shared shingles exactly.
+of counters of fixed size) keeps common passages out of the cells. Of cells with the same members one is
+enough. A cell's smallest node is its hub; each node is verified with the hub it shares most cells with.
+That already joins most copies of one text into a component. Cells that still hold several components go
+through R-trees over their points: first for each node's nearest point in another component, then, with
+the components that those links make, for all pairs of different components that the bounds let pass.
+Verification counts shared shingles on the texts.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -22,26 +25,25 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
-from pyspark.sql.window import Window
 
-from graphloom.llm.common import materialise, table, whole_text, words_of
+from graphloom.llm.common import byte_slices, materialise, table, whole_text
 from graphloom.llm.components import components
 
 SHINGLE, GROUPS, COUNTER_BITS = 5, 256, 17
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+_SPACE = np.isin(np.arange(256), [*range(9, 14), 32])
+#: Bytes of words that are hashed at a time.
+SEGMENT = 1 << 20
 
 
-class _WordHash(dict):
-    """64-bit hashes of words; remembers up to a quarter of a million."""
-
-    def __missing__(self, word: bytes) -> int:
-        found = xxhash.xxh64_intdigest(word)
-        if len(self) < 250_000:
-            self[word] = found
-        return found
-
-
-_hash_of = _WordHash()
+@lru_cache(maxsize=1)
+def _hash_tables(size: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each byte (A-Z as a-z), and the powers of an odd number and of its inverse modulo 2**64."""
+    of_byte = np.random.default_rng(5).integers(0, 1 << 64, 256, dtype=np.uint64)
+    of_byte[65:91] = of_byte[97:123]
+    base = 0xD6E8FEB86659FD93
+    powers = (np.multiply.accumulate(np.append(np.uint64(1), np.full(size, b, np.uint64))) for b in (base, pow(base, -1, 1 << 64)))
+    return of_byte, *powers
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -50,18 +52,65 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_set(text: str) -> np.ndarray:
-    """The sorted distinct hashes of the text's five-word shingles; of a shorter text's whole sequence."""
-    words = words_of(text)
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hash_of.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(h) - SHINGLE + 1)
-    rolled = np.full(n, len(h) if len(h) < SHINGLE else SHINGLE, np.uint64)
-    for j in range(min(SHINGLE, len(h))):
+def _word_hashes(data: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and 64-bit hash of each word of the bytes. Words end at ASCII white space and before each
+    position that ``edge`` marks; it has one entry more than the bytes, the last of them true."""
+    blank = _SPACE[data]
+    starts = np.flatnonzero(~blank & (edge[:-1] | np.append(True, blank[:-1])))
+    ends = np.flatnonzero(~blank & (edge[1:] | np.append(blank[1:], True))) + 1
+    hashes, done = [np.empty(0, np.uint64)], 0
+    while done < len(starts):  # whole words of about a segment; a longer word is a segment of its own
+        low = starts[done]
+        some = max(done + 1, int(np.searchsorted(ends, low + SEGMENT, "right")))
+        size = int(ends[some - 1] - low)
+        of_byte, up, down = _hash_tables(SEGMENT if size <= SEGMENT else size)
+        sums = np.append(np.uint64(0), np.cumsum(of_byte[data[low : low + size]] * up[:size], dtype=np.uint64))
+        a, b = starts[done:some] - low, ends[done:some] - low
+        hashes.append(_mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64)))
+        done = some
+    return starts, np.concatenate(hashes)
+
+
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its five-word shingles; of a shorter text's whole sequence.
+
+    Equal shingles have equal hashes; two different ones clash with a chance of about 2**-60, so a count of
+    the shared shingles of two sets of n is wrong with a chance of about n**2 / 2**60.
+    """
+    texts = texts.cast(pa.large_string())
+    if not len(texts):
+        return []
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    size = int(offsets[-1] - offsets[0])
+    data = np.frombuffer(texts.buffers()[2], np.uint8, size, int(offsets[0])) if size else np.empty(0, np.uint8)
+    edge = np.zeros(size + 1, bool)
+    edge[offsets - offsets[0]] = True
+    edge[-1] = True
+    starts, h = _word_hashes(data, edge)
+    first = np.searchsorted(starts, offsets - offsets[0])
+    n = max(0, len(h) - SHINGLE + 1)
+    rolled = np.full(n, SHINGLE, np.uint64)
+    for j in range(SHINGLE):
         rolled = rolled * _MIX[0] + h[j : j + n]
         rolled ^= rolled >> np.uint64(32)
-    return np.unique(_mixed(rolled))
+    rolled = _mixed(rolled)
+    found = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+        if b - a >= SHINGLE:
+            own = np.sort(rolled[a : b - SHINGLE + 1])
+            found.append(own[np.append(True, own[1:] != own[:-1])])
+        else:
+            whole = np.full(min(b - a, 1), b - a, np.uint64)
+            for x in h[a:b]:
+                whole = whole * _MIX[0] + x
+                whole ^= whole >> np.uint64(32)
+            found.append(_mixed(whole))
+    return found
+
+
+def shingle_set(text: str) -> np.ndarray:
+    """That of one text."""
+    return shingle_sets(pa.array([text], pa.string()))[0]
 
 
 def count_vector(s: np.ndarray) -> np.ndarray:
@@ -81,7 +130,13 @@ def point_of(packed: bytes) -> np.ndarray:
 
 def set_id(s: np.ndarray) -> int:
     """A 63-bit hash of the whole set."""
-    return xxhash.xxh64_intdigest(s.tobytes()) >> 1
+    return set_ids(s)[0]
+
+
+def set_ids(s: np.ndarray) -> tuple[int, int]:
+    """Two independent 63-bit hashes of the whole set."""
+    both = xxhash.xxh3_128_intdigest(s.tobytes())
+    return both >> 65, both & ((1 << 63) - 1)
 
 
 def linked(shared, a, b):
@@ -121,49 +176,77 @@ class RTree:
         return self.order[at[linked(shared, n, self.size[at])]]
 
 
+_DESCRIBED = "doc_id long, text_key long, n long, node long, other long, point binary, counter int"
+
+
 def _describe(batches):
     """Rows of the documents, and at the end of a task how many of its shingles fall on each counter."""
+    names = [c.split()[0] for c in _DESCRIBED.split(", ")]
     counters = np.zeros(1 << COUNTER_BITS, np.int64)
     for batch in batches:
-        sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
-        for s in sets:
-            counters += np.bincount((s & np.uint64((1 << COUNTER_BITS) - 1)).astype(np.int64), minlength=1 << COUNTER_BITS)
-        columns = [
-            batch.column("doc_id"),
-            batch.column("text_key"),
-            pa.array([len(s) for s in sets], pa.int64()),
-            pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()),
-            pa.array([packed_point(s) if len(s) else None for s in sets], pa.binary()),
-            pa.nulls(len(sets), pa.int32()),
-        ]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "n", "node", "point", "counter"])
+        for part in byte_slices(batch.column("text")):
+            sets = shingle_sets(batch.column("text")[part])
+            every = np.concatenate(sets)
+            counters += np.bincount((every & np.uint64((1 << COUNTER_BITS) - 1)).astype(np.int64), minlength=1 << COUNTER_BITS)
+            ids = [set_ids(s) if len(s) else (None, None) for s in sets]
+            columns = [
+                batch.column("doc_id")[part],
+                batch.column("text_key")[part],
+                pa.array([len(s) for s in sets], pa.int64()),
+                *(pa.array([i[k] for i in ids], pa.int64()) for k in (0, 1)),
+                pa.array([packed_point(s) if len(s) else None for s in sets], pa.binary()),
+                pa.nulls(len(sets), pa.int32()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
     at = np.flatnonzero(counters)
     none = pa.nulls(len(at), pa.int64())
-    columns = [none, none, pa.array(counters[at]), none, pa.nulls(len(at), pa.binary()), pa.array(at.astype(np.int32))]
-    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "n", "node", "point", "counter"])
+    columns = [none, none, pa.array(counters[at]), none, none, pa.nulls(len(at), pa.binary()), pa.array(at.astype(np.int32))]
+    yield pa.RecordBatch.from_arrays(columns, names=names)
+
 
+def _cells(counters, renamed):
+    """key, node: the first floor(n / 4) + 1 shingles of each set by rising frequency, then by hash."""
 
-def _cells(counters):
     def run(batches):
-        freq, seen = counters.value, set()
+        freq, seen = counters.value.astype(np.int32), set()
+        other = renamed.value
         for batch in batches:
-            keys, nodes = [], []
-            for text in batch.column("text").to_pylist():
-                s = shingle_set(text)
-                node = set_id(s)
-                if len(s) and node not in seen:  # equal sets of one task give their cells once
-                    if len(seen) < 500_000:
-                        seen.add(node)
-                    order = np.argsort(freq[(s & np.uint64((1 << COUNTER_BITS) - 1)).astype(np.int64)], kind="stable")
-                    keys.append(s[order[: len(s) // 4 + 1]].view(np.int64))
-                    nodes.append(np.full(len(keys[-1]), node))
-            none = np.empty(0, np.int64)
-            columns = [pa.array(np.concatenate([*x, none])) for x in (keys, nodes)]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "node"])
+            for part in byte_slices(batch.column("text")):
+                keys, nodes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+                for s in shingle_sets(batch.column("text")[part]):
+                    node, again = set_ids(s)
+                    node = again if node in other else node
+                    if len(s) and node not in seen:  # equal sets of one task give their cells once
+                        if len(seen) < 100_000:
+                            seen.add(node)
+                        order = np.argsort(freq[(s & np.uint64((1 << COUNTER_BITS) - 1)).astype(np.int64)], kind="stable")
+                        keys.append(s[order[: len(s) // 4 + 1]].view(np.int64))
+                        nodes.append(np.full(len(keys[-1]), node))
+                columns = [pa.array(np.concatenate(x)) for x in (keys, nodes)]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "node"])
 
     return run
 
 
+def _shared_cells(cells: DataFrame) -> DataFrame:
+    """key, node, hub, weight: of the cells that hold several nodes, one for each set of members, how many
+    there are of it, and its smallest node.
+
+    Counts and sums come up from the map tasks, and joins by key have one row for each key on the other
+    side, so a cell that very many nodes share is split. Sets of members are told apart by their smallest
+    and largest node and three sums of node hashes, over 200 bits in all.
+    """
+    several = cells.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top")
+    members = materialise(cells.join(materialise(several), "key").select("key", "node", "hub", "top"))
+    part = lambda x: F.sum(x.bitwiseAND(F.lit((1 << 28) - 1)))
+    sums = members.groupBy("key", "hub", "top").agg(
+        part(F.col("node")).alias("s1"), part(F.shiftright("node", 28)).alias("s2"), part(F.xxhash64("node")).alias("s3")
+    )
+    one = sums.groupBy("hub", "top", "s1", "s2", "s3").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("weight"))
+    one = materialise(one.select("key", "weight"))
+    return materialise(members.join(one, "key").select("key", "node", "hub", "weight").distinct())
+
+
 @F.pandas_udf(BooleanType())
 def _may_link(a: pd.Series, b: pd.Series) -> pd.Series:
     found = []
@@ -173,45 +256,50 @@ def _may_link(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(found, dtype=bool)
 
 
+def _check(batches):
+    for batch in batches:
+        memo: dict[int, np.ndarray] = {}
+        held, keep = 0, []
+        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+        for i, ends in enumerate(zip(a, b)):
+            for k, node in zip("ab", ends):
+                if node not in memo:
+                    if held > 1_000_000:  # shingles
+                        memo, held = {n: memo[n] for n in ends if n in memo}, 0
+                    memo[node] = shingle_sets(batch.column(f"text_{k}")[i : i + 1])[0]
+                    held += len(memo[node])
+            s, t = memo[ends[0]], memo[ends[1]]
+            keep.append(bool(linked(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t))))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _verify(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, most_broadcast: int = 1_000_000) -> DataFrame:
-    """The pairs (a, b) whose sets link, counted on the texts."""
+    """The pairs (a, b) whose sets link, counted on the texts. One row's text stands for each node."""
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = materialise(ends.join(nodes, "node").select("node", "text_key"))
+    wanted = materialise(ends.join(nodes, "node").select("node", "doc_id", "text_key").withColumnsRenamed({"doc_id": "d", "text_key": "k"}))
     some = F.broadcast(wanted) if wanted.count() <= most_broadcast else wanted
-    texts = rows.select("text_key", "text").join(some, "text_key").groupBy("node").agg(F.first("text").alias("text"))
+    texts = rows.join(some, rows["doc_id"].eqNullSafe(some["d"]) & (rows["text_key"] == some["k"])).groupBy("node").agg(F.first("text").alias("text"))
     texts = materialise(texts)
     a, b = (texts.withColumnsRenamed({"node": c, "text": f"text_{c}"}) for c in "ab")
-
-    def check(batches):
-        for batch in batches:
-            memo: dict[str, np.ndarray] = {}
-            keep = []
-            for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()):
-                for t in (x, y):
-                    if t not in memo:
-                        if len(memo) > 200:
-                            memo.clear()
-                        memo[t] = shingle_set(t)
-                s, t = (memo[v] if v in memo else shingle_set(v) for v in (x, y))
-                keep.append(bool(linked(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t))))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.join(a, "a").join(b, "b").mapInArrow(check, "a long, b long")
+    return pairs.join(a, "a").join(b, "b").mapInArrow(_check, "a long, b long")
 
 
 def _tree_pairs(nearest: bool):
-    """Pairs of different components in each unit that the unit's R-tree lets pass; ``nearest``: only the one
-    of the highest bound for each member, the others being left to the round after."""
+    """Pairs of different components in each unit: its points make an R-tree, which each of its askers goes
+    through. ``nearest``: only the one of the highest bound for each asker, the others being left to the
+    round after."""
 
     def pairs(members):
-        node, component, home, major, point = (list(x) for x in zip(*members))
-        node, component, major, home = np.array(node), np.array(component), np.array(major), np.array(home)
-        tree = RTree(np.stack([point_of(p) for p in point]))
-        points = np.empty_like(tree.points)
-        points[tree.order] = tree.points
-        for i in np.flatnonzero(~major):
-            near = tree.near(points[i])
-            near = near[(component[near] != component[i]) & (major[near] | (home[i] & (node[near] > node[i])))]
+        asks, node, component, major, point = (list(x) for x in zip(*members))
+        asks, node, component, major = np.array(asks), np.array(node), np.array(component), np.array(major)
+        points = np.stack([point_of(p) for p in point])
+        stands = np.flatnonzero(~asks)
+        if not len(stands):
+            return
+        tree = RTree(points[stands])
+        for i in np.flatnonzero(asks):
+            near = stands[tree.near(points[i])]
+            near = near[(component[near] != component[i]) & (major[near] | (node[near] > node[i]))]
             if nearest and len(near):
                 shared = np.minimum(points[near], points[i]).sum(1)
                 near = near[np.lexsort((node[near], -shared))[:1]]
@@ -225,15 +313,15 @@ def _tree_pairs(nearest: bool):
     def run(batches):
         unit, held, found = None, [], set()
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "unit", "node", "component", "home", "major", "point"))):
-                if row[:2] != unit:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "asks", "node", "component", "major", "point"))):
+                if row[:3] != unit:
                     if held:
                         found.update(pairs(held))
                     if len(found) > 200_000:
                         yield out(found)
                         found = set()
-                    unit, held = row[:2], []
-                held.append(row[2:])
+                    unit, held = row[:3], []
+                held.append(row[3:])
         if held:
             found.update(pairs(held))
         yield out(found)
@@ -242,51 +330,60 @@ def _tree_pairs(nearest: bool):
 
 
 def _open_pairs(cells: DataFrame, nodes: DataFrame, of: DataFrame, tested: DataFrame, unit_size: int, nearest: bool) -> DataFrame:
-    """Untested pairs (a < b) of different components from the cells that hold several."""
+    """Untested pairs (a < b) of different components from the cells that hold several.
+
+    A cell's members outside its largest component ask. Askers are dealt into blocks of about
+    ``unit_size``, and so are all members; a unit has one block of askers and one of members, so no task
+    holds more, however large the cell.
+    """
     placed = cells.select("key", "node").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = placed.groupBy("key").agg(
         F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("b")
     )
     several = several.where("c1 < c2").join(tested.withColumn("done", F.lit(True)), ["a", "b"], "left")
-    several = several.where("n > 2 or done is null").select("key", F.ceil(F.col("n") / unit_size).cast("int").alias("units"))
-    left = materialise(placed.join(several, "key"))
-    major = left.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("most"))
-    left = left.join(materialise(major), "key").withColumn("major", F.col("component") == F.col("most"))
-    home = F.pmod(F.xxhash64("node"), F.col("units")).cast("int")
-    units = F.when(F.col("major"), F.array(home)).otherwise(F.sequence(F.lit(0), F.col("units") - 1))
-    left = left.select("key", "node", "component", "major", home.alias("own"), F.explode(units).alias("unit"))
-    left = left.withColumn("home", F.col("own") == F.col("unit")).join(nodes.select("node", "point"), "node").drop("own")
-    found = left.repartition("key", "unit").sortWithinPartitions("key", "unit").mapInArrow(_tree_pairs(nearest), "a long, b long").distinct()
+    left = materialise(placed.join(several.where("n > 2 or done is null").select("key", "n"), "key"))
+    most = left.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n"))
+    most = most.groupBy("key").agg(F.max(F.struct("m", "component")).alias("most"), F.max("n").alias("of"))
+    blocks = lambda n: F.ceil(n / unit_size).cast("int")
+    most = most.select(
+        "key", F.col("most.component").alias("largest"), blocks(F.col("of")).alias("js"), blocks(F.col("of") - F.col("most.m")).alias("is")
+    )
+    left = left.drop("n").join(materialise(most), "key").withColumn("major", F.col("component") == F.col("largest"))
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    shown = ["key", "node", "component", "major"]
+    points = left.select(*shown, every("is").alias("i"), block("js").alias("j"), F.lit(False).alias("asks"))
+    askers = left.where("not major").select(*shown, block("is").alias("i"), every("js").alias("j"), F.lit(True).alias("asks"))
+    units = points.union(askers).join(nodes.select("node", "point"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    found = units.mapInArrow(_tree_pairs(nearest), "a long, b long").distinct()
     return materialise(found.join(tested, ["a", "b"], "left_anti"))
 
 
-def link_classes(docs: DataFrame, unit_size: int = 2000) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links, its own included) of
-    each row of ``docs``.
-
-    Null and wordless texts have no shingle, link with nothing and are their own component. Rows of null
-    doc_id link like others; a component of such rows alone has a null id. Repeated rows are each returned.
-    Other columns are ignored.
-    """
+def classes_of(docs: DataFrame, unit_size: int = 2000) -> DataFrame:
+    """doc_id, text_key (a hash of the text), n_shingles, component (of those with a shingle) and least (the
+    component's smallest doc_id) of each row of ``docs``."""
     spark = docs.sparkSession
     text = whole_text(F.col("text"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    every = materialise(rows.mapInArrow(_describe, "doc_id long, text_key long, n long, node long, point binary, counter int"))
+    every = materialise(rows.mapInArrow(_describe, _DESCRIBED))
     described = every.where("counter is null").drop("counter")
     counts = every.where("counter is not null").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
     counters = np.zeros(1 << COUNTER_BITS, np.int64)
-    counters[counts["counter"].to_numpy()] = counts["n"].to_numpy()
+    counters[counts["counter"].to_numpy()] = np.minimum(counts["n"].to_numpy(), np.iinfo(np.int32).max)
     shared = spark.sparkContext.broadcast(counters)  # of fixed size
-    nodes = described.where("n > 0").groupBy("node").agg(F.min("text_key").alias("text_key"), F.first("point").alias("point"))
-    nodes = materialise(nodes)
 
-    in_cell = Window.partitionBy("key")
-    cells = rows.select("text").mapInArrow(_cells(shared), "key long, node long")
-    cells = cells.select("key", "node", F.min("node").over(in_cell).alias("hub"), F.max("node").over(in_cell).alias("top"))
-    cells = materialise(cells.where("hub < top").select("key", "node", "hub").distinct())
+    # different sets of one 63-bit id, of which 30 billion sets have some tens, take the other id instead
+    clashes = described.groupBy("node").agg(F.min("other").alias("low"), F.max("other").alias("high")).where("low < high").select("node")
+    renamed = {r["node"] for r in clashes.toLocalIterator()}
+    if renamed:
+        described = described.withColumn("node", F.when(F.col("node").isin(renamed), F.col("other")).otherwise(F.col("node")))
+    clashing = spark.sparkContext.broadcast(renamed)
+    nodes = described.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("row"), F.first("point").alias("point"))
+    nodes = materialise(nodes.select("node", "row.doc_id", "row.text_key", "point"))
 
+    cells = _shared_cells(materialise(rows.select("text").mapInArrow(_cells(shared, clashing), "key long, node long")))
     a, b = (nodes.select(F.col("node").alias(c), F.col("point").alias(f"point_{c}")) for c in "ab")
-    stars = cells.where("node <> hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    stars = cells.where("node <> hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.sum("weight").alias("n"))
     tested = materialise(stars.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"))
     pairs = tested.join(a, "a").join(b, "b").where(_may_link("point_a", "point_b")).select("a", "b")
     links = materialise(_verify(materialise(pairs), nodes, rows))
@@ -300,15 +397,36 @@ def link_classes(docs: DataFrame, unit_size: int = 2000) -> DataFrame:
 
     grouped = described.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = materialise(grouped.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least")))
-    found = grouped.select("doc_id", F.col("n").alias("n_shingles"), "component").join(least, "component", "left")
+    found = grouped.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component")
+    return found.join(least, "component", "left")
+
+
+def link_classes(docs: DataFrame, unit_size: int = 2000) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links, its own included) of
+    each row of ``docs``.
+
+    Null and wordless texts have no shingle, link with nothing and are their own component. Rows of null
+    doc_id link like others; a component of such rows alone has a null id. Repeated rows are each returned.
+    Very long texts are sets like others, whole. Of equally near points the smaller node is tried first,
+    which changes no class. An empty table gives no rows. Other columns are ignored.
+    """
+    found = classes_of(docs, unit_size)
     return found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` but for the documents whose component has a smaller doc_id. All columns stay as
-    they are. Rows that share a doc_id go together; rows of null doc_id stay."""
-    later = link_classes(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("later_doc")).distinct()
-    return docs.join(later, docs["doc_id"].cast("long") == later["later_doc"], "left_anti")
+    """The rows of ``docs`` but for those whose component has a smaller doc_id. All columns stay as they are.
+
+    Rows of one doc_id and one component stay or go together. A row of null doc_id goes if its component
+    has a row with an id, or, where all are null, one of another text with a smaller hash. Texts without a
+    word stay.
+    """
+    of = materialise(classes_of(docs).where("n_shingles > 0"))
+    nulls = of.where("least is null").groupBy("component").agg(F.min("text_key").alias("first"))
+    later = of.join(nulls, "component", "left").where("doc_id <> least or (doc_id is null and (least is not null or text_key <> first))")
+    later = later.select(F.col("doc_id").alias("later_doc"), F.col("text_key").alias("later_text")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(later["later_doc"]) & (F.xxhash64(whole_text(docs["text"])) == later["later_text"])
+    return docs.join(later, same, "left_anti")
 
 
 def op5_count_rtree(spark, sf_dir: str) -> DataFrame:
