@@ -6,10 +6,16 @@ Equal strings share their smallest q-gram (by hash, leftmost on ties), so the fi
 the q-grams that are smallest in some window. Each occurrence also has a hash of its context, the text of
 all windows that its q-gram stands for. Buckets with one document hold no repeat and end there; in those
 with one context the smallest doc_id decides at once. Of the others, each distinct context is fetched
-from one document. Within a bucket, windows are refined by bucket pointers: the rank of a position's
-first eight bytes, then of the pair (rank here, rank eight on), then sixteen on, each round reusing the
-ranks of the one before, until the rank tells the whole window. The smallest doc_id of each rank decides
-its occurrences.
+from one document. Equal windows hold the q-gram at the same place, so a window that starts well before it
+needs another context with the same bytes before the q-gram, and any other one with the same bytes after
+it; contexts that share neither with another are done. The windows that are left are refined by bucket
+pointers: the rank of a position's first eight bytes, then of the pair (rank here, rank eight on), then
+sixteen on, each round reusing the ranks of the one before, until the rank tells the whole window. The
+smallest doc_id of each rank decides its occurrences.
+
+Contexts count as equal when q-gram and context have equal hashes, of 44 and 63 bits. Over 100 TB of text,
+with some 5 x 10**12 occurrences, two different ones do so with a chance of about 10**-7; within one
+q-gram's bucket of 10**9 different contexts, of about one in twenty.
 
 Text crosses the network once, compressed, as an exchange by doc_id that both the fetching and the last
 step read.
@@ -28,9 +34,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.llm.common import materialise, table, whole_text
+from graphloom.llm.common import byte_slices, materialise, table, whole_text
 
-Q, KEY_BITS, CONTEXT_BITS = 16, 44, 48
+Q, KEY_BITS, CONTEXT_BITS = 16, 44, 63
 #: Bytes of a long text that are worked on at a time; they overlap by a window less one.
 SEGMENT = 1 << 20
 
@@ -45,9 +51,10 @@ def _hash_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return of_byte, *powers
 
 
-def smallest_grams(raw: bytes, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each segment of the text, in order: keys, the contexts' hashes, and the first and last start of
-    the windows that each key stands for. The context is the text from the first start to the last end."""
+def smallest_grams(raw: bytes, width: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each segment of the text, in order: keys, the contexts' hashes, the first and last start of the
+    windows that each key stands for, and where its q-gram starts. The context is the text from the first
+    start to the last end."""
     grams = width - Q + 1
     of_byte, powers, inverses = _hash_tables()
     for base in range(0, max(len(raw) - width + 1, 0), SEGMENT - width + 1):
@@ -77,13 +84,22 @@ def smallest_grams(raw: bytes, width: int) -> Iterator[tuple[np.ndarray, np.ndar
         context ^= context >> np.uint64(29)
         context *= np.uint64(0xBF58476D1CE4E5B9)
         context = (context >> np.uint64(64 - CONTEXT_BITS)).astype(np.int64)
-        yield (h[first] >> np.uint64(20)).astype(np.int64), context, first + base, last + base
+        gram = (h[first] & np.uint64((1 << 20) - 1)).astype(np.int64)
+        yield (h[first] >> np.uint64(20)).astype(np.int64), context, first + base, last + base, gram + base
 
 
-def all_grams(raw: bytes, width: int) -> list[np.ndarray]:
-    """The same of all segments in a row; an occurrence's place in them is its number."""
+def occurrences(raw: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, contexts' hashes and places of all segments in a row."""
     found = [*smallest_grams(raw, width)]
-    return [np.concatenate(x) for x in zip(*found)] if found else [np.empty(0, np.int64)] * 4
+    if not found:
+        return (np.empty(0, np.int64),) * 3
+    key, context, first, last, gram = (np.concatenate(x) for x in zip(*found))
+    return key, context, (first * width + (last - first)) * width + (gram - first)
+
+
+def of_place(at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First start of the place's windows, how many more there are, and the q-gram's distance from the first."""
+    return at // (width * width), at // width % width, at % width
 
 
 def window_ranks(data: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
@@ -110,19 +126,48 @@ def window_ranks(data: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray
 def _refine(width: int, most_bytes: int):
     """Per distinct context of a bucket: runs of window starts with the smallest doc_id of their window."""
 
+    half = (width - Q + 1) // 2  # a window that starts so far before the q-gram or further counts as left
+
+    def shared_by_others(bucket, low, high, words):
+        """Whether another row of the bucket has the same words, and they are not all of one document.
+        Words are compared by a hash: a clash keeps a row that refinement then tells apart."""
+        h = bucket.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for w in words:
+            h = (h ^ (h >> np.uint64(31)) ^ w) * np.uint64(0xBF58476D1CE4E5B9)
+        order = np.argsort(h)
+        starts = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
+        sizes = np.diff(np.append(starts, len(h)))
+        open_ = (sizes > 1) & (np.minimum.reduceat(low[order], starts) < np.maximum.reduceat(high[order], starts))
+        found = np.empty(len(h), bool)
+        found[order] = np.repeat(open_, sizes)
+        return found
+
     def solve(part: pa.Table) -> pa.RecordBatch:
         part = part.combine_chunks()
-        keys, hashes, lows, highs = (part[c].to_numpy() for c in ("key", "h", "least_doc", "most_doc"))
+        keys, hashes, lows, highs, at = (part[c].to_numpy() for c in ("key", "h", "least_doc", "most_doc", "at"))
         text = pa.concat_arrays(part["ctx"].chunks)
         ends = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
-        data = np.append(np.frombuffer(text.buffers()[2], np.uint8)[ends[0] : ends[-1]], np.zeros(8, np.uint8))
-        counts = np.diff(ends) - width + 1
-        of = np.repeat(np.arange(len(text)), counts)
-        place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        rank = window_ranks(data, np.repeat(ends[:-1] - ends[0], counts) + place, width)
-        least = np.full(int(rank.max()) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, rank, lows[of])
-        least = least[rank]
+        data = np.append(np.frombuffer(text.buffers()[2], np.uint8)[ends[0] : ends[-1]], np.zeros(32, np.uint8))
+        base, (_, more, gram) = ends[:-1] - ends[0], of_place(at, width)
+        eight = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
+        bucket = np.cumsum(np.append(False, keys[1:] != keys[:-1]))
+        asked = [np.zeros(len(text), bool), np.zeros(len(text), bool)]  # right windows, left windows
+        # all left windows have half bytes before the q-gram, all right ones width - Q - half + 1 after it
+        before, after = range(-8, -half - 1, -8), range(Q, width - half - 6, 8)
+        for side, have, offsets in ((1, gram >= half, before), (0, gram - more < half, after)):
+            i = np.flatnonzero(have)
+            if len(i):
+                asked[side][i] = shared_by_others(bucket[i], lows[i], highs[i], [eight[base[i] + gram[i] + o] for o in offsets])
+        of = np.repeat(np.arange(len(text)), more + 1)
+        place = np.arange(len(of)) - np.repeat(np.cumsum(more + 1) - (more + 1), more + 1)
+        left = gram[of] - place >= half
+        least = lows[of]
+        go_on = np.flatnonzero(np.where(left, asked[1][of], asked[0][of]))
+        if len(go_on):
+            rank = window_ranks(data, base[of[go_on]] + place[go_on], width)
+            of_rank = np.full(int(rank.max()) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(of_rank, rank, least[go_on])
+            least[go_on] = of_rank[rank]
         first = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (least[1:] != least[:-1])))
         last = np.append(first[1:], len(of)) - 1
         useful = least[first] < highs[of[first]]
@@ -161,21 +206,14 @@ def _packed(batches):
 def _grams(width: int):
     def run(batches):
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("doc_id", "text_key", "text"))
-            held, n = [], 0
-            for doc, text_key, text in zip(*columns):
-                key, context, first, _ = all_grams(text.encode("utf-8", "surrogatepass"), width)
-                m = len(key)
-                held.append((key, context, np.full(m, doc), np.full(m, text_key), np.arange(m)))
-                n += m
-                if n > 200_000:
-                    yield out(held)
-                    held, n = [], 0
-            if held:
-                yield out(held)
-
-    def out(held):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names=["key", "h", "doc_id", "text_key", "at"])
+            for part in byte_slices(batch.column("text")):
+                columns = (batch.column(c)[part].to_pylist() for c in ("doc_id", "text_key", "text"))
+                found = []
+                for doc, text_key, text in zip(*columns):
+                    key, context, at = occurrences(text.encode("utf-8", "surrogatepass"), width)
+                    found.append((key, context, np.full(len(key), doc), np.full(len(key), text_key), at))
+                columns = [pa.array(np.concatenate(x)) for x in zip(*found)]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "h", "doc_id", "text_key", "at"])
 
     return run
 
@@ -191,27 +229,28 @@ def _contexts(width: int):
     def run(batches):
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
+            out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(5)]
             texts: list[bytes] = []
-            ends, (of_text, at, most) = _lists(batch.column("wanted"), "text_key", "at", "most")
+            ends, (of_text, *fields) = _lists(batch.column("wanted"), "text_key", "key", "h", "most", "at")
             for row, (doc, text_key, packed) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "packed")))):
-                own = slice(ends[row], ends[row + 1])
-                i, top = at[own], most[own]
-                mine = of_text[own] == text_key
-                i, top = i[mine], top[mine]
+                own = ends[row] + np.flatnonzero(of_text[ends[row] : ends[row + 1]] == text_key)
+                if not len(own):
+                    continue
                 raw = unpack(packed)
-                key, context, first, last = all_grams(raw, width)
-                texts += [raw[x:y] for x, y in zip(first[i].tolist(), (last[i] + width).tolist())]
-                for x, v in zip(out, (key[i], context[i], np.full(len(i), doc), top)):
+                first, more, _ = of_place(fields[3][own], width)
+                texts += [raw[x:y] for x, y in zip(first.tolist(), (first + more + width).tolist())]
+                for x, v in zip(out, (*(f[own] for f in fields), np.full(len(own), doc))):
                     x.append(v)
-            key, context, doc, top = (pa.array(np.concatenate([*x, np.empty(0, np.int64)])) for x in out)
-            yield pa.RecordBatch.from_arrays([key, context, pa.array(texts, pa.binary()), doc, top], names=["key", "h", "ctx", "least_doc", "most_doc"])
+            key, context, top, at, doc = (pa.array(np.concatenate(x)) for x in out)
+            yield pa.RecordBatch.from_arrays(
+                [key, context, pa.array(texts, pa.binary()), doc, top, at], names=["key", "h", "ctx", "least_doc", "most_doc", "at"]
+            )
 
     return run
 
 
 def repeated_spans(rows: DataFrame, packed: DataFrame, width: int) -> DataFrame:
-    """doc_id and spans: of each document with bytes to remove, the occurrences by number, and which of
+    """doc_id and spans: of each document with bytes to remove, the occurrences by place, and which of
     their windows (from low to high; null: all) have an earlier copy.
 
     ``rows`` has doc_id (no null), text_key and text, ``packed`` the same with the text compressed.
@@ -227,11 +266,11 @@ def repeated_spans(rows: DataFrame, packed: DataFrame, width: int) -> DataFrame:
     )
     found = materialise(found.where("first_doc < last_doc and (several or least < doc_id)").drop("first_doc", "last_doc"))
     wanted = found.where("several and doc_id = least").groupBy("key", "h").agg(F.min(F.struct("doc_id", "text_key", "at", "most")).alias("w"))
-    wanted = wanted.groupBy("w.doc_id").agg(F.collect_list(F.struct("w.text_key", "w.at", "w.most")).alias("wanted"))
+    wanted = wanted.groupBy("w.doc_id").agg(F.collect_list(F.struct("w.text_key", "key", "h", "w.most", "w.at")).alias("wanted"))
     refined = (
         packed.join(wanted, "doc_id")
         .select("doc_id", "text_key", "packed", "wanted")
-        .mapInArrow(_contexts(width), "key long, h long, ctx binary, least_doc long, most_doc long")
+        .mapInArrow(_contexts(width), "key long, h long, ctx binary, least_doc long, most_doc long, at long")
         .repartition("key")
         .sortWithinPartitions("key")
         .mapInArrow(_refine(width, 2_000_000), "key long, h long, low long, high long, least long")
@@ -255,11 +294,10 @@ def _removed(width: int):
                 own = np.arange(ends[row], ends[row + 1])
                 own = own[of_text[own] == text_key]
                 if len(own):
-                    first, last = all_grams(raw, width)[2:]
-                    a, b = first[at[own]], last[at[own]]
+                    first, more, _ = of_place(at[own], width)
                     some = high[own] >= 0
-                    np.add.at(edges, np.where(some, a + low[own], a), 1)
-                    np.add.at(edges, np.where(some, a + high[own], b) + width, -1)
+                    np.add.at(edges, first + np.where(some, low[own], 0), 1)
+                    np.add.at(edges, first + np.where(some, high[own], more) + width, -1)
                 gone = np.concatenate([[False], np.cumsum(edges[:-1]) > 0, [False]])
                 a, b = np.flatnonzero(gone[1:] & ~gone[:-1]), np.flatnonzero(~gone[1:] & gone[:-1])
                 kept.append(np.frombuffer(raw, np.uint8)[~gone[1:-1]].tobytes())
@@ -278,7 +316,8 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
 
     Strings are judged on the input. Null text counts as empty. Rows of null doc_id stay whole and remove
     nothing from others. Rows that share a doc_id don't touch each other; each repeated row is returned.
-    Other columns are ignored.
+    Very long texts are worked on by segments, with the same result. An empty table gives no rows. Other
+    columns are ignored.
     """
     if not Q <= width:
         raise ValueError(f"width must be at least {Q}")
