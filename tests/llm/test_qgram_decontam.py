@@ -81,3 +81,45 @@ def test_edge_cases(spark):
     assert without_items(docs, bench).columns == docs.columns
     assert find_items(docs, bench.limit(0)).count() == 0
     assert find_items(docs.limit(0), bench).count() == 0
+
+
+def places(item, text, share=0.05):
+    index = index_items([7], [item], share)
+    return sorted(matches(index, text))
+
+
+def test_short_items_are_found():
+    for m in range(1, 20):
+        item = "abcdefghijklmnopqrst"[:m]
+        assert places(item, "0123456789 " * 3 + item + " 12345") == [(0, 33, 33 + m, 0)]
+        assert places(item, "0123456789 " * 3 + item[:-1] + "? 12345") == []
+    assert places("", "text") == []
+    assert [m[1] for m in places("aa", "aaaa baa")] == [0, 6]
+    assert [m[1] for m in places("a", "aaa")] == [0, 1, 2]
+
+
+def test_one_edit_at_each_place_of_items_about_twenty_bytes():
+    for m in range(20, 26):
+        item = "abcdefghijklmnopqrstuvwxyz"[:m]
+        for i in range(m):
+            for changed in (item[:i] + "?" + item[i + 1 :], item[:i] + item[i + 1 :], item[:i] + "?" + item[i:]):
+                found = places(item, "0123456789 " + changed + " 0123456789")
+                assert len(found) == 1 and found[0][3] == distance_in(item.encode(), changed.encode()) <= 1
+        assert places(item, "0123456789 " + item[:3] + "?" + item[4:7] + "?" + item[8:]) == []
+
+
+def test_long_periodic_texts():
+    for item, text in (("-" * 400, "-" * 1_000_000), ("-" * 400, ("-" * 399 + "x") * 100), ("-=" * 150, "x" + "-=" * 20_000 + "x")):
+        found = places(item, text)
+        assert found and all(n <= 20 and distance_in(item.encode()[:1], text[a:b].encode()) == 0 for _, a, b, n in found)
+    exact = places("-" * 400, "a" * 1000 + "-" * 100_000 + "b" * 1000)
+    assert any(n == 0 and (a, b) == (1000, 1400) for _, a, b, n in exact)
+    assert places("-" * 400, "-" * 379 + "x" * 1000) == []
+
+
+def test_segments_lose_nothing():
+    rng = random.Random(8)
+    item = "".join(rng.choices("abcdefgh ", k=300))
+    for at in ((1 << 20) - 300, (1 << 20) - 150, (1 << 20) - 5, (1 << 20) + 3):
+        text = "z" * at + edited(rng, item, 10) + "z" * 500
+        assert {m[0] for m in places(item, text)} == {0}
