@@ -74,17 +74,37 @@ def score_text(net: ByteNet, text: str) -> float:
     return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def sample_chunks(raw: bytes, most: int) -> list[np.ndarray]:
-    """At most ``most`` chunks of the text, evenly spread, for training."""
-    s, size = symbols(raw), 2 * HALF + WIDTH - 1
-    starts = range(0, max(1, len(s) - WIDTH + 1 - HALF), HALF)
-    picked = [starts[i * len(starts) // most] for i in range(most)] if len(starts) > most else starts
-    return [np.pad(c, (0, size - len(c)), mode="edge") for c in (s[i : i + size] for i in picked)]
-
-
-def fit_net(chunks: Sequence[np.ndarray], label: Sequence[int], seed: int = 7, epochs: int = 8, batch: int = 32) -> ByteNet:
-    """Adam on the logistic loss, both labels weighted alike. ``chunks`` holds a (chunks, symbols) array
-    for each sampled document. Without both labels there is nothing to learn and all scores are 0.5."""
+def chunks_of(s: np.ndarray) -> np.ndarray:
+    """All chunks of a text's symbols, (chunks, symbols), as views into one padded copy."""
+    n = len(s) - WIDTH + 1
+    count = max(1, -(-n // HALF) - 1)
+    size = 2 * HALF + WIDTH - 1
+    padded = np.pad(s, (0, max(0, (count - 1) * HALF + size - len(s))), mode="edge")
+    return np.lib.stride_tricks.sliding_window_view(padded, size)[: (count - 1) * HALF + 1 : HALF]
+
+
+def peaks(filters: np.ndarray, s: np.ndarray, portion: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Each filter's largest response in each chunk of the symbols, and the symbols there, (chunks, WIDTH,
+    filters)."""
+    chunks, most, found = chunks_of(s), [], []
+    in_last = len(s) - WIDTH + 1 - (len(chunks) - 1) * HALF
+    for start in range(0, len(chunks), portion):
+        part = chunks[start : start + portion]
+        n = part.shape[1] - WIDTH + 1
+        response = filters[0][part[:, :n]]
+        for j in range(1, WIDTH):
+            response += filters[j][part[:, j : j + n]]
+        if start + portion >= len(chunks):
+            response[-1, in_last:] = -np.inf  # there is only padding
+        where = response.argmax(1)
+        most.append(np.take_along_axis(response, where[:, None], 1)[:, 0])
+        found.append(np.stack([np.take_along_axis(part, where + j, 1) for j in range(WIDTH)], 1))
+    return np.concatenate(most), np.concatenate(found)
+
+
+def fit_net(texts: Sequence[np.ndarray], label: Sequence[int], seed: int = 7, epochs: int = 8, batch: int = 32) -> ByteNet:
+    """Adam on the logistic loss, both labels weighted alike. ``texts`` holds the symbols of each sampled
+    document. Without both labels there is nothing to learn and all scores are 0.5."""
     y = np.asarray(label, float)
     if len(y) == 0 or y.min() == y.max():
         return untrained()
@@ -103,16 +123,12 @@ def fit_net(chunks: Sequence[np.ndarray], label: Sequence[int], seed: int = 7, e
         order = rng.permutation(len(y))
         for at in range(0, len(order), batch):
             ids = order[at : at + batch]
-            part = np.concatenate([chunks[i] for i in ids])
-            sizes = np.array([len(chunks[i]) for i in ids])
+            each = [peaks(value["filters"], texts[i]) for i in ids]
+            most, there = (np.concatenate(x) for x in zip(*each))
+            sizes = np.array([len(x) for x, _ in each])
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             doc = np.repeat(np.arange(len(ids)), sizes)
-            n = part.shape[1] - WIDTH + 1
-            response = value["filters"][0][part[:, :n]]
-            for j in range(1, WIDTH):
-                response += value["filters"][j][part[:, j : j + n]]
-            where = response.argmax(1)
-            peak = np.take_along_axis(response, where[:, None], 1)[:, 0] + value["bias"]
+            peak = most + value["bias"]
             active = np.maximum(peak, 0)
             mean, top = np.add.reduceat(active, starts) / sizes[:, None], np.maximum.reduceat(active, starts)
             pooled = np.concatenate([mean, top], 1)
@@ -123,7 +139,7 @@ def fit_net(chunks: Sequence[np.ndarray], label: Sequence[int], seed: int = 7, e
             to_chunk *= peak > 0
             grad = {k: np.zeros_like(v) for k, v in value.items()}
             for j in range(WIDTH):
-                np.add.at(grad["filters"][j], (np.take_along_axis(part, where + j, 1), np.arange(FILTERS)), to_chunk)
+                np.add.at(grad["filters"][j], (there[:, j], np.arange(FILTERS)), to_chunk)
             grad["bias"] += to_chunk.sum(0)
             grad["weight"] += pooled.T @ error + 1e-3 * value["weight"]
             grad["intercept"] += error.sum()
@@ -136,9 +152,10 @@ def fit_net(chunks: Sequence[np.ndarray], label: Sequence[int], seed: int = 7, e
     return ByteNet(value["filters"], value["bias"], value["weight"], float(value["intercept"][0]))
 
 
-def train_net(docs: DataFrame, labels: DataFrame, sample_docs: int = 800, sample_chunk_count: int = 12) -> ByteNet:
-    """A net trained on at most ``sample_docs`` rows of each label, those of least hashed id, and at most
-    ``sample_chunk_count`` chunks of each; only those chunks reach the driver."""
+def train_net(docs: DataFrame, labels: DataFrame, sample_docs: int = 800) -> ByteNet:
+    """A net trained on the whole texts of at most ``sample_docs`` rows of each label, those of least hashed
+    id; only those texts' symbols reach the driver. An id with several labels counts as the lowest; of
+    repeated rows of an id some may fall out of the sample. Without rows of both labels all scores are 0.5."""
     one = (
         labels.where("quality in (0, 1)")
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
@@ -146,26 +163,27 @@ def train_net(docs: DataFrame, labels: DataFrame, sample_docs: int = 800, sample
     )
     picked = [one.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs) for q in (0, 1)]
 
-    @F.pandas_udf("array<binary>")
-    def chunks(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [c.tobytes() for c in sample_chunks(t.encode("utf-8", "surrogatepass"), sample_chunk_count)])
+    @F.pandas_udf("binary")
+    def coded(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: symbols(t.encode("utf-8", "surrogatepass")).tobytes())
 
     rows = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(F.col("text")).alias("text"))
         .join(F.broadcast(picked[0].union(picked[1])), "doc_id")
-        .select("doc_id", "quality", chunks("text").alias("x"))
+        .select("doc_id", "quality", coded("text").alias("x"))
         .orderBy("doc_id")
         .limit(2 * sample_docs)
         .collect()
     )
-    return fit_net([np.stack([np.frombuffer(c, np.uint16) for c in r["x"]]) for r in rows], [r["quality"] for r in rows])
+    return fit_net([np.frombuffer(r["x"], np.uint16) for r in rows], [r["quality"] for r in rows])
 
 
 def score_documents(docs: DataFrame, net: ByteNet) -> DataFrame:
     """doc_id and score of each row of ``docs``, from whole texts.
 
     Null text counts as empty and is scored as one chunk of zeros. Repeated rows and null ids stay as
-    they come; other columns are ignored. One pass, no shuffle.
+    they come; very long texts are convolved by segments, whole; an empty table gives no rows; other
+    columns are ignored. One pass, no shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)  # of fixed size
 
