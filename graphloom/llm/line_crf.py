@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Sequence
+from itertools import chain
 from operator import eq
 from typing import NamedTuple
 
@@ -133,62 +134,68 @@ def judge_text(field: LineField, text: str, least_share: float) -> tuple:
 
 
 def fit_field(sequences: Sequence[np.ndarray], good: Sequence[bool], rounds: int = 3, steps: int = 50) -> LineField:
-    """Maximum likelihood by Adam over padded sequences, in ``rounds`` of labelling and training.
+    """Maximum likelihood by Adam, in ``rounds`` of labelling and training.
 
     ``sequences`` holds a (lines, features) array for each sampled document. Without documents of both
     kinds there is nothing to learn and every line is content.
     """
     if not sequences or all(good) or not any(good):
         return LineField.untrained()
-    n, longest, width = len(sequences), max(map(len, sequences)), len(FEATURES)
-    x = np.zeros((n, longest, width), np.float32)
-    there = np.zeros((n, longest), bool)
-    for i, s in enumerate(sequences):
-        x[i, : len(s)], there[i, : len(s)] = s, True
-    bad = ~np.asarray(good)
-    y = np.where(bad[:, None], BOILERPLATE, CONTENT) * there
+    x = np.concatenate(sequences).astype(np.float32)
+    sizes = np.array([len(s) for s in sequences])
+    starts = np.cumsum(sizes) - sizes
+    y = np.where(np.repeat(good, sizes), CONTENT, BOILERPLATE)
     field = LineField.untrained()
     for _ in range(rounds):
-        field = _train(x, there, y, steps)
+        field = _train(x, starts, y, steps)
         w = np.array(field.emission)
-        for i in np.flatnonzero(bad):
-            lines = int(there[i].sum())
-            y[i, :lines] = viterbi(field, sequences[i])
-            y[i, int(np.argmax(x[i, :lines] @ (w[1] - w[0])))] = BOILERPLATE
+        for i in np.flatnonzero(~np.asarray(good)):
+            own = slice(starts[i], starts[i] + sizes[i])
+            y[own] = viterbi(field, sequences[i])
+            y[starts[i] + int(np.argmax(x[own] @ (w[1] - w[0])))] = BOILERPLATE
     return field
 
 
-def _train(x: np.ndarray, there: np.ndarray, y: np.ndarray, steps: int, decay: float = 1e-3) -> LineField:
-    n, longest, width = x.shape
-    hot = np.eye(2, dtype=np.float32)[y] * there[..., None]
-    both = there[:, 1:, None, None] * hot[:, :-1, :, None] * hot[:, 1:, None, :]
+def _products(m: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """For each line the product, in logarithms, of its sequence's 2 x 2 matrices up to its own; ``place`` is
+    the line's place in its sequence. Doubling the reach each time takes log2(longest) steps."""
+    reach = 1
+    while reach <= place.max():
+        i = np.flatnonzero(place >= reach)
+        a, b = m[i - reach], m[i]
+        m = m.copy()
+        m[i] = np.logaddexp(a[:, :, :1] + b[:, None, 0], a[:, :, 1:] + b[:, None, 1])
+        reach *= 2
+    return m
+
+
+def _train(x: np.ndarray, starts: np.ndarray, y: np.ndarray, steps: int, decay: float = 1e-3) -> LineField:
+    """``x`` and ``y`` hold the lines of all documents in a row; ``starts`` is where each document begins."""
+    n, width = x.shape
+    sizes = np.diff(np.append(starts, n))
+    place = np.arange(n) - np.repeat(starts, sizes)
+    to_end = np.repeat(sizes, sizes) - 1 - place
+    later = np.flatnonzero(place > 0)
+    hot = np.eye(2)[y]
+    both = np.einsum("na,nb->ab", hot[later - 1], hot[later])
     theta = np.zeros(2 * width + 4 + 2)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
         w, t, start = theta[: 2 * width].reshape(2, width), theta[2 * width : -2].reshape(2, 2), theta[-2:]
         e = x @ w.T
-        forward, backward = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
-        forward[:, 0] = start + e[:, 0]
-        for i in range(1, longest):
-            moved = np.logaddexp(forward[:, i - 1, :1] + t[0], forward[:, i - 1, 1:] + t[1]) + e[:, i]
-            forward[:, i] = np.where(there[:, i, None], moved, forward[:, i - 1])
-        for i in range(longest - 2, -1, -1):
-            ahead = backward[:, i + 1] + e[:, i + 1]
-            moved = np.logaddexp(t[:, 0] + ahead[:, :1], t[:, 1] + ahead[:, 1:])
-            backward[:, i] = np.where(there[:, i + 1, None], moved, 0)
-        total = np.logaddexp(*forward[:, -1].T)[:, None, None]
-        state = np.exp(forward + backward - total) * there[..., None]
-        pair = forward[:, :-1, :, None] + t + (e + backward)[:, 1:, None, :] - total[..., None]
-        pair = np.exp(np.where(there[:, 1:, None, None], pair, -np.inf))
+        m = t + e[:, None, :]
+        m[starts] = (start + e[starts])[:, None, :]
+        forward = _products(m, place)[:, 0]
+        # the same from each sequence's end, with the matrices turned over
+        behind = _products(np.swapaxes(m, 1, 2)[::-1], to_end[::-1])[::-1]
+        backward = np.zeros((n, 2))
+        backward[later - 1] = np.logaddexp(behind[later, 0], behind[later, 1])
+        total = np.repeat(np.logaddexp(*forward[starts + sizes - 1].T), sizes)
+        state = np.exp(forward + backward - total[:, None])
+        pair = np.exp(forward[later - 1, :, None] + t + (e + backward)[later, None] - total[later, None, None])
         lack = hot - state
-        gradient = np.concatenate(
-            [
-                np.einsum("nlk,nlf->kf", lack, x).ravel(),
-                (both - pair).sum((0, 1)).ravel(),
-                lack[:, 0].sum(0),
-            ]
-        )
-        gradient = gradient / max(1, there.sum()) - decay * theta
+        gradient = np.concatenate([(lack.T @ x).ravel(), (both - pair.sum(0)).ravel(), lack[starts].sum(0)])
+        gradient = gradient / max(1, n) - decay * theta
         first = 0.9 * first + 0.1 * gradient
         second = 0.99 * second + 0.01 * gradient**2
         theta = theta + 0.2 * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
@@ -197,9 +204,10 @@ def _train(x: np.ndarray, there: np.ndarray, y: np.ndarray, steps: int, decay: f
     )
 
 
-def train_field(docs: DataFrame, labels: DataFrame, sample_docs: int = 1200, sample_lines: int = 48) -> LineField:
-    """A field trained on at most ``sample_docs`` labelled documents, those of least hashed id, that have
-    at most ``sample_lines`` lines. Only their line features reach the driver."""
+def train_field(docs: DataFrame, labels: DataFrame, sample_docs: int = 1200) -> LineField:
+    """A field trained on all lines of at most ``sample_docs`` labelled documents, those of least hashed id.
+    Only their line features reach the driver. An id with several labels counts as the lowest; of repeated
+    rows of an id some may fall out of the sample."""
     chosen = (
         labels.where("quality in (0, 1)")
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
@@ -208,27 +216,28 @@ def train_field(docs: DataFrame, labels: DataFrame, sample_docs: int = 1200, sam
         .limit(sample_docs)
     )
 
-    @F.pandas_udf("array<array<int>>")
+    @F.pandas_udf("binary")  # a byte for each feature of each line
     def features(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: measure(t)[1] if t.count("\n") < sample_lines else [])
+        return texts.map(lambda t: bytes(chain.from_iterable(measure(t)[1])))
 
     rows = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(F.col("text")).alias("text"))
         .join(F.broadcast(chosen), "doc_id")
         .select("doc_id", "quality", features("text").alias("x"))
-        .where(F.size("x") > 0)
         .orderBy("doc_id")
         .limit(sample_docs)
         .collect()
     )
-    return fit_field([np.array(r["x"], np.float32) for r in rows], [r["quality"] == 1 for r in rows])
+    lines = [np.frombuffer(r["x"], np.uint8).reshape(-1, len(FEATURES)) for r in rows]
+    return fit_field(lines, [r["quality"] == 1 for r in rows])
 
 
 def judge_documents(docs: DataFrame, field: LineField, least_share: float = 0.5, name: str = "verdict") -> DataFrame:
     """``docs`` with one more column, a struct with the fields of VERDICT.
 
-    ``line_labels`` marks each line 0 (content) or 1 (boilerplate). Null text counts as empty: one blank
-    line, no words, base_failed. Rows stay as they come; a column that is called ``name`` is replaced, so
+    ``line_labels`` marks each line 0 (content) or 1 (boilerplate); content where two paths tie. Null text
+    counts as empty: one blank line, no words, base_failed. Very long texts are labelled whole. Rows stay as
+    they come, repeated ones too; an empty table gives no rows; a column that is called ``name`` is replaced, so
     callers with such a column pass another. One pass, no shuffle.
     """
     columns = [c.split()[0] for c in VERDICT.split(", ")]
