@@ -8,13 +8,13 @@ proportion in the chosen set is the prediction.
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +22,7 @@ from graphloom.llm.common import bucket_of, table, whole_text
 
 #: Letters tell languages apart: other ASCII bytes count as space.
 _FOLD = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
-_LETTER = re.compile(r"[^\W\d_]").search
+_LETTER = regex.compile(r"\p{L}").search
 
 
 def trigram_buckets(text: str, bits: int) -> np.ndarray:
