@@ -113,19 +113,34 @@ def shingle_set(text: str) -> np.ndarray:
     return shingle_sets(pa.array([text], pa.string()))[0]
 
 
-def count_vector(s: np.ndarray) -> np.ndarray:
-    """How many of the set's shingles fall into each group."""
-    return np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=GROUPS)
+def count_vector(s: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """How many of the set's shingles fall into each group, by their highest bits."""
+    return np.bincount((s >> np.uint64(65 - groups.bit_length())).astype(np.int64), minlength=groups)
 
 
 def packed_point(s: np.ndarray) -> bytes:
-    """The count vector in one byte for each group, or in four where a count needs them."""
-    n = count_vector(s)
-    return n.astype("u1" if n.max() < 256 else "<u4").tobytes()
+    """The count vector in one byte for each group, or in four where a count needs them. Larger sets have
+    more groups, about two shingles or fewer in each, as bounds over fuller groups let too much pass. The
+    first byte tells the kind."""
+    bits = min(16, max(GROUPS.bit_length() - 1, len(s).bit_length() - 1))
+    n = count_vector(s, 1 << bits)
+    wide = int(n.max() >= 256)
+    return bytes([bits + 64 * wide]) + n.astype("<u4" if wide else "u1").tobytes()
 
 
 def point_of(packed: bytes) -> np.ndarray:
-    return np.frombuffer(packed, "u1" if len(packed) == GROUPS else "<u4").astype(np.int64)
+    return np.frombuffer(packed, "<u4" if packed[0] & 64 else "u1", offset=1).astype(np.int64)
+
+
+def coarse(point: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """The counts of fewer groups."""
+    return point.reshape(groups, -1).sum(1)
+
+
+def most_shared(p: np.ndarray, q: np.ndarray) -> int:
+    """The bound on the shingles that two sets share, in the groups of the coarser point."""
+    groups = min(len(p), len(q))
+    return int(np.minimum(coarse(p, groups), coarse(q, groups)).sum())
 
 
 def set_id(s: np.ndarray) -> int:
@@ -252,7 +267,7 @@ def _may_link(a: pd.Series, b: pd.Series) -> pd.Series:
     found = []
     for x, y in zip(a, b):
         p, q = point_of(x), point_of(y)
-        found.append(bool(linked(np.minimum(p, q).sum(), p.sum(), q.sum())))
+        found.append(bool(linked(most_shared(p, q), p.sum(), q.sum())))
     return pd.Series(found, dtype=bool)
 
 
@@ -292,7 +307,9 @@ def _tree_pairs(nearest: bool):
     def pairs(members):
         asks, node, component, major, point = (list(x) for x in zip(*members))
         asks, node, component, major = np.array(asks), np.array(node), np.array(component), np.array(major)
-        points = np.stack([point_of(p) for p in point])
+        fine = [point_of(p) for p in point]
+        points = np.stack([coarse(p) for p in fine])
+        size = points.sum(1)
         stands = np.flatnonzero(~asks)
         if not len(stands):
             return
@@ -300,6 +317,8 @@ def _tree_pairs(nearest: bool):
         for i in np.flatnonzero(asks):
             near = stands[tree.near(points[i])]
             near = near[(component[near] != component[i]) & (major[near] | (node[near] > node[i]))]
+            if len(fine[i]) > GROUPS:
+                near = near[[len(fine[j]) == GROUPS or linked(most_shared(fine[i], fine[j]), size[i], size[j]) for j in near] or slice(0)]
             if nearest and len(near):
                 shared = np.minimum(points[near], points[i]).sum(1)
                 near = near[np.lexsort((node[near], -shared))[:1]]
