@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graphloom.functions.tables import materialise
+
 
 @dataclass(frozen=True)
 class GraphSet:
@@ -19,6 +21,11 @@ class GraphSet:
     vertices: DataFrame
     edges: DataFrame
     graphs: DataFrame
+    kept: bool = False
+
+    def written(self) -> GraphSet:
+        """The same collection, vertices and edges written once: for jobs that read them often."""
+        return self if self.kept else GraphSet(materialise(self.vertices), materialise(self.edges), self.graphs, True)
 
     def neighbours(self) -> DataFrame:
         """graph_id, v, nbr: both directions of each edge, a self-loop once."""

@@ -119,6 +119,7 @@ def kruskal(vertices: DataFrame, weighted: DataFrame, order: str = "sublevel") -
 
 def persistent_wl(graphs: GraphSet, iterations: int = 2, tau: float = 1.0, p: float = 2.0, smooth: bool = False):
     """(labels, kruskal rows) of the Weisfeiler-Lehman filtration of each iteration."""
+    graphs = graphs.written()
     labels = wl.history(graphs, iterations)
     weighted = wl.weight_history(graphs, labels, tau, p, smooth)
     vertices = None

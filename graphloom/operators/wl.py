@@ -10,17 +10,29 @@ from graphloom.functions.tables import dense_ids, materialise
 from graphloom.model import GraphSet
 
 
+#: Distinct signatures up to which their numbers are broadcast; beyond, the join is a shuffle that Spark can split.
+MOST_BROADCAST = 1_000_000
+
+
 def _compress(rows: DataFrame, signature: str) -> DataFrame:
     """``rows`` with ``label``: the signature's number by first appearance over (graph_id, v), across all
-    graphs. Signatures are counted up in the map tasks, so only distinct ones are sorted."""
-    first = rows.groupBy(signature).agg(F.min(F.struct("graph_id", "v")).alias("f"))
-    ids = dense_ids(first.select(signature, "f.graph_id", "f.v"), ["graph_id", "v"], "label").select(signature, "label")
-    return rows.join(ids, signature)
+    graphs.
+
+    Signatures are grouped and joined by two 64-bit hashes, so that the key of a vertex of high degree is no
+    longer than others'; two of 10**9 different signatures share both with a chance of about 10**-21. They
+    are counted up in the map tasks, so only distinct ones are sorted.
+    """
+    keyed = materialise(rows.withColumns({"_h1": F.xxhash64(signature), "_h2": F.xxhash64(F.lit(1), signature)}))
+    first = keyed.groupBy("_h1", "_h2").agg(F.min(F.struct("graph_id", "v")).alias("f"))
+    first = materialise(first.select("_h1", "_h2", "f.graph_id", "f.v"))
+    ids = dense_ids(first, ["graph_id", "v"], "label").select("_h1", "_h2", "label")
+    ids = F.broadcast(ids) if first.count() <= MOST_BROADCAST else ids
+    return keyed.join(ids, ["_h1", "_h2"]).drop("_h1", "_h2")
 
 
 def initial_labels(graphs: GraphSet) -> DataFrame:
     """graph_id, v, label of iteration 0, from raw labels."""
-    return _compress(graphs.vertices, "raw_label").select("graph_id", "v", "label")
+    return _compress(graphs.vertices.select("graph_id", "v", "raw_label"), "raw_label").select("graph_id", "v", "label")
 
 
 def refine(graphs: GraphSet, labels: DataFrame) -> DataFrame:
@@ -35,6 +47,7 @@ def refine(graphs: GraphSet, labels: DataFrame) -> DataFrame:
 
 def history(graphs: GraphSet, iterations: int = 2) -> list[DataFrame]:
     """The labels (graph_id, v, label) of iterations 0 to ``iterations``, each written once."""
+    graphs = graphs.written() if iterations else graphs
     found = [materialise(initial_labels(graphs))]
     for _ in range(iterations):
         found.append(materialise(refine(graphs, found[-1]).select("graph_id", "v", "label")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,6 +80,10 @@ w{it} AS (SELECT e.graph_id, e.u, e.v, e.e_ord, n.norm + CAST(a.label <> b.label
           FROM edges e {ends(x)} JOIN n{it} n ON n.graph_id = e.graph_id AND n.e_ord = e.e_ord)"""
 
 
+def kept_graphs(spark, d):
+    return co_purchase_graphs(spark, d).written()
+
+
 rounded = lambda c, alias=None: F.round(F.col(c), 6).alias(alias or c)
 
 
@@ -138,25 +143,34 @@ def random_edge_weight(spark, d):
     return signatures.random_edges(co_purchase_graphs(spark, d)).select("graph_id", "u", "v", F.round("weight", 9).alias("weight"))
 
 
-_HKS = """,
-a AS (SELECT x.graph_id, x.v AS m, x.nbr AS w, 1 / SQRT(p.weight * q.weight) AS a FROM adj x JOIN deg p ON p.graph_id = x.graph_id AND p.v = x.v
-      JOIN deg q ON q.graph_id = x.graph_id AND q.v = x.nbr),
-t0 AS (SELECT graph_id, v, v AS w, 1.0::DOUBLE AS x FROM vertices)""" + "".join(f""",
-t{k} AS (SELECT graph_id, v, w, SUM(x) AS x FROM (
+def heat_kernel_sql(t: float, order: int) -> list[str]:
+    """CTEs up to hk(graph_id, v, weight): the diagonal of exp(-t L) by its series to an even order; t0, t1, ... hold
+    the rows of the Laplacian's powers."""
+    half = order // 2
+    powers = "".join(f""",
+t{k} AS MATERIALIZED (SELECT graph_id, v, w, SUM(x) AS x FROM (
     SELECT t.graph_id, t.v, t.w, CASE WHEN d.weight > 0 THEN t.x ELSE 0 END AS x FROM t{k - 1} t JOIN deg d ON d.graph_id = t.graph_id AND d.v = t.w
-    UNION ALL SELECT t.graph_id, t.v, a.w, -t.x * a.a FROM t{k - 1} t JOIN a ON a.graph_id = t.graph_id AND a.m = t.w) GROUP BY 1, 2, 3)""" for k in (1, 2, 3))
+    UNION ALL SELECT t.graph_id, t.v, a.w, -t.x * a.a FROM t{k - 1} t JOIN a ON a.graph_id = t.graph_id AND a.m = t.w) GROUP BY 1, 2, 3)""" for k in range(1, half + 1))
+    each = ", ".join(f"SUM(CASE k WHEN {k} THEN x ELSE 0 END) AS x{k}" for k in range(half + 1))
+    rows = " UNION ALL ".join(f"SELECT *, {k} AS k FROM t{k}" for k in range(half + 1))
+    series = " + ".join(f"({(-t) ** m / math.factorial(m)!r}::DOUBLE) * x{m // 2} * x{m - m // 2}" for m in range(order + 1))
+    return [
+        DEGREE_SQL,
+        """a AS (SELECT x.graph_id, x.v AS m, x.nbr AS w, 1 / SQRT(p.weight * q.weight) AS a FROM adj x JOIN deg p ON p.graph_id = x.graph_id AND p.v = x.v
+      JOIN deg q ON q.graph_id = x.graph_id AND q.v = x.nbr),
+t0 AS (SELECT graph_id, v, v AS w, 1.0::DOUBLE AS x FROM vertices)"""
+        + powers,
+        f"pw AS (SELECT graph_id, v, w, {each} FROM ({rows}) GROUP BY 1, 2, 3)",
+        f"hk AS (SELECT graph_id, v, SUM({series}) AS weight FROM pw GROUP BY 1, 2)",
+    ]
 
 
-@query(graphs_sql(DEGREE_SQL + _HKS, """
-pw AS (SELECT graph_id, v, w, SUM(CASE k WHEN 0 THEN x ELSE 0 END) AS x0, SUM(CASE k WHEN 1 THEN x ELSE 0 END) AS x1, SUM(CASE k WHEN 2 THEN x ELSE 0 END) AS x2,
-       SUM(CASE k WHEN 3 THEN x ELSE 0 END) AS x3 FROM (SELECT *, 0 AS k FROM t0 UNION ALL SELECT *, 1 FROM t1 UNION ALL SELECT *, 2 FROM t2 UNION ALL SELECT *, 3 FROM t3) GROUP BY 1, 2, 3)""",
-       select="""SELECT graph_id, v, ROUND(SUM(x0 * x0 - 0.1::DOUBLE * x0 * x1 + 0.01::DOUBLE / 2 * x1 * x1 - 0.001::DOUBLE / 6 * x1 * x2 + 0.0001::DOUBLE / 24 * x2 * x2
-       - 0.00001::DOUBLE / 120 * x2 * x3 + 0.000001::DOUBLE / 720 * x3 * x3), 6) AS weight FROM pw GROUP BY 1, 2"""))
+@query(graphs_sql(*heat_kernel_sql(0.1, 6), select="SELECT graph_id, v, ROUND(weight, 6) AS weight FROM hk"))
 def hks_taylor(spark, d):
-    return signatures.heat_kernel(co_purchase_graphs(spark, d)).select("graph_id", "v", rounded("weight"))
+    return signatures.heat_kernel(kept_graphs(spark, d)).select("graph_id", "v", rounded("weight"))
 
 
-@query()
+@query(graphs_sql(*heat_kernel_sql(0.1, 12), select="SELECT graph_id, v, ROUND(weight, 6) AS weight FROM hk"))
 def hks_exact(spark, d):
     return signatures.heat_kernel_exact(co_purchase_graphs(spark, d)).select("graph_id", "v", rounded("weight"))
 
@@ -206,23 +220,23 @@ def wl_labels_it0(spark, d):
 
 @query(graphs_sql(labels_sql(2), histogram_sql(2), select="SELECT it, graph_id, label, n FROM h"))
 def wl_histogram_h2(spark, d):
-    return wl.histogram(wl.history(co_purchase_graphs(spark, d), 2))
+    return wl.histogram(wl.history(kept_graphs(spark, d), 2))
 
 
 @query(graphs_sql(labels_sql(2), histogram_sql(2), select="SELECT it, COUNT(DISTINCT label) AS n_labels FROM h GROUP BY it"))
 def wl_label_counts(spark, d):
-    return wl.label_counts(wl.history(co_purchase_graphs(spark, d), 2))
+    return wl.label_counts(wl.history(kept_graphs(spark, d), 2))
 
 
 @query(graphs_sql(labels_sql(0), weights_sql(0), select="SELECT graph_id, u, v, ROUND(weight, 6) AS weight FROM w0"))
 def wl_edge_weight_it0(spark, d):
-    g = co_purchase_graphs(spark, d)
+    g = kept_graphs(spark, d)
     return wl.edge_weights(g, wl.initial_labels(g), None).select("graph_id", "u", "v", rounded("weight"))
 
 
 @query(graphs_sql(labels_sql(0), weights_sql(1), select="SELECT graph_id, u, v, ROUND(weight, 6) AS weight FROM w1"))
 def wl_edge_weight_it1(spark, d):
-    g = co_purchase_graphs(spark, d)
+    g = kept_graphs(spark, d)
     labels = wl.history(g, 0)[0]
     return wl.edge_weights(g, labels, labels).select("graph_id", "u", "v", rounded("weight"))
 
@@ -231,7 +245,7 @@ def wl_edge_weight_it1(spark, d):
        SELECT it, graph_id, u, v, ROUND(SUM(weight) OVER (PARTITION BY graph_id, e_ord ORDER BY it), 6) AS weight FROM (
        SELECT 0 AS it, * FROM w0 UNION ALL SELECT 1, * FROM w1 UNION ALL SELECT 2, * FROM w2)"""))
 def wl_edge_weight_smooth(spark, d):
-    g = co_purchase_graphs(spark, d)
+    g = kept_graphs(spark, d)
     return wl.weight_history(g, wl.history(g, 2), smooth=True).select("it", "graph_id", "u", "v", rounded("weight"))
 
 
@@ -255,7 +269,7 @@ pt AS (SELECT a.graph_id, a.v AS creator, b.top = a.v AS essential,
 
 
 def _first_filtration(spark, d):
-    return persistence.persistent_wl(co_purchase_graphs(spark, d), 0)
+    return persistence.persistent_wl(kept_graphs(spark, d), 0)
 
 
 @query(graphs_sql(*_H0, select="SELECT graph_id, creator, death, essential FROM pt", recursive=True))
@@ -288,50 +302,93 @@ def cycle_count(spark, d):
     return rows.where("kind = 'cycle'").groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_cycles"))
 
 
+#: Kruskal's rule for each graph and iteration, an edge at a step: comp[i] is the place (by id, from 1) of the largest
+#: vertex of place i's component so far. A step with gone is a death, one without is a cycle.
+_KRUSKAL = [
+    labels_sql(2),
+    weights_sql(0),
+    weights_sql(1),
+    weights_sql(2),
+    """w AS (SELECT 0 AS it, * FROM w0 UNION ALL SELECT 1, * FROM w1 UNION ALL SELECT 2, * FROM w2),
+pl AS (SELECT graph_id, v, ROW_NUMBER() OVER (PARTITION BY graph_id ORDER BY v) AS i FROM vertices),
+od AS MATERIALIZED (SELECT w.it, w.graph_id, w.u, w.v, w.e_ord, w.weight, a.i AS iu, b.i AS iv, ROW_NUMBER() OVER (PARTITION BY w.it, w.graph_id ORDER BY w.weight, w.e_ord) AS k
+       FROM w JOIN pl a ON a.graph_id = w.graph_id AND a.v = w.u JOIN pl b ON b.graph_id = w.graph_id AND b.v = w.v),
+ks AS (SELECT it, graph_id, CAST(0 AS BIGINT) AS k, RANGE(1, n + 1) AS comp, CAST(NULL AS BIGINT) AS gone
+       FROM (SELECT graph_id, COUNT(*) AS n FROM vertices GROUP BY 1) CROSS JOIN (SELECT UNNEST([0, 1, 2]) AS it) UNION ALL
+       SELECT it, graph_id, k, CASE WHEN a = b THEN comp ELSE LIST_TRANSFORM(comp, lambda x: CASE WHEN x = LEAST(a, b) THEN GREATEST(a, b) ELSE x END) END,
+              CASE WHEN a <> b THEN LEAST(a, b) END
+       FROM (SELECT s.it, s.graph_id, e.k, s.comp, s.comp[e.iu] AS a, s.comp[e.iv] AS b FROM ks s
+             JOIN od e ON e.it = s.it AND e.graph_id = s.graph_id AND e.k = s.k + 1)),
+lw AS (SELECT it, graph_id, MAX(weight) AS w FROM w GROUP BY 1, 2),
+dead AS (SELECT s.it, s.graph_id, p.v AS creator, o.weight AS death FROM ks s JOIN od o USING (it, graph_id, k) JOIN pl p ON p.graph_id = s.graph_id AND p.i = s.gone),
+al AS (SELECT 0 AS it, * FROM l0 UNION ALL SELECT 1, * FROM l1 UNION ALL SELECT 2, * FROM l2),
+pts AS (SELECT x.it, x.graph_id, x.label, COALESCE(d.death, lw.w, 0.0) AS death FROM al x
+        LEFT JOIN dead d ON d.it = x.it AND d.graph_id = x.graph_id AND d.creator = x.v LEFT JOIN lw ON lw.it = x.it AND lw.graph_id = x.graph_id),
+cyc AS (SELECT o.* FROM ks s JOIN od o USING (it, graph_id, k) WHERE s.gone IS NULL AND s.k > 0)""",
+]
+
+
 def _filtrations(spark, d):
-    return persistence.persistent_wl(co_purchase_graphs(spark, d), 2)
+    return persistence.persistent_wl(kept_graphs(spark, d), 2)
 
 
-@query()
+@query(graphs_sql(*_KRUSKAL, select="SELECT it, graph_id, u, v, e_ord, ROUND(weight, 6) AS weight FROM cyc", recursive=True))
 def cycle_edges(spark, d):
     rows = _filtrations(spark, d)[1]
     return rows.where("kind = 'cycle'").select("it", "graph_id", F.col("a").alias("u"), F.col("b").alias("v"), "e_ord", rounded("value", "weight"))
 
 
-@query()
+@query(graphs_sql(*_KRUSKAL, select="SELECT it, graph_id, label, ROUND(SUM(death * death), 6) AS value FROM pts GROUP BY 1, 2, 3", recursive=True))
 def pwl_label_persistence(spark, d):
     return persistence.label_persistence(*_filtrations(spark, d)).select("it", "graph_id", "label", rounded("value"))
 
 
-@query()
+@query(graphs_sql(*_KRUSKAL, select="SELECT it, graph_id, ROUND(SQRT(SUM(death * death)), 6) AS value FROM pts GROUP BY 1, 2", recursive=True))
 def pwl_total_persistence(spark, d):
     return persistence.total_persistence(_filtrations(spark, d)[1]).select("it", "graph_id", rounded("value"))
 
 
-@query()
+@query(graphs_sql(*_KRUSKAL, select="SELECT it, graph_id, ROUND(MAX(death * death), 6) AS value FROM pts GROUP BY 1, 2", recursive=True))
 def pwl_infinity_norm(spark, d):
     return persistence.infinity_norm(_filtrations(spark, d)[1]).select("it", "graph_id", rounded("value"))
 
 
-@query()
+@query(graphs_sql(*_KRUSKAL, select="""SELECT c.it, c.graph_id, x.label, ROUND(SUM(c.weight * c.weight), 6) AS value
+       FROM (SELECT it, graph_id, u AS v, weight FROM cyc UNION ALL SELECT it, graph_id, v, weight FROM cyc) c
+       JOIN al x ON x.it = c.it AND x.graph_id = c.graph_id AND x.v = c.v GROUP BY 1, 2, 3""", recursive=True))
 def pwlc_cycle_persistence(spark, d):
     return persistence.cycle_persistence(*_filtrations(spark, d)).select("it", "graph_id", "label", rounded("value"))
 
 
-_VW = [
-    """f AS (SELECT graph_id, v, CAST(raw_label AS DOUBLE) AS f FROM vertices),
-ts AS (SELECT DISTINCT f AS t FROM f)""",
-    """fr AS (SELECT t, graph_id, v, v AS x FROM f JOIN ts ON f <= t UNION
-       SELECT r.t, r.graph_id, r.v, a.nbr FROM fr r JOIN adj a ON a.graph_id = r.graph_id AND a.v = r.x
-       JOIN f ON f.graph_id = a.graph_id AND f.v = a.nbr AND f.f <= r.t)""",
-    """old AS (SELECT r.t, r.graph_id, r.v, BOOL_OR(g.f < h.f OR (g.f = h.f AND g.v < h.v)) AS older FROM fr r
-        JOIN f g ON g.graph_id = r.graph_id AND g.v = r.x JOIN f h ON h.graph_id = r.graph_id AND h.v = r.v GROUP BY 1, 2, 3),
-vp AS (SELECT f.graph_id, f.v AS creator, f.f AS birth, MIN(t) FILTER (WHERE older) AS death FROM f JOIN old ON old.graph_id = f.graph_id AND old.v = f.v GROUP BY 1, 2, 3)""",
+def vw_sql(f: str, value: str) -> list[str]:
+    """CTEs of the sublevel filtration by ``value`` of a vertex: f(graph_id, v, f), the components fr_f at each
+    threshold of ts_f, whether a vertex is not its component's least (old_f), and the points vp_f."""
+    return [
+        f"""{f} AS (SELECT graph_id, v, {value} AS f FROM vertices),
+ts_{f} AS (SELECT DISTINCT f AS t FROM {f})""",
+        f"""fr_{f} AS (SELECT t, graph_id, v, v AS x FROM {f} JOIN ts_{f} ON f <= t UNION
+       SELECT r.t, r.graph_id, r.v, a.nbr FROM fr_{f} r JOIN adj a ON a.graph_id = r.graph_id AND a.v = r.x
+       JOIN {f} f ON f.graph_id = a.graph_id AND f.v = a.nbr AND f.f <= r.t)""",
+        f"""old_{f} AS (SELECT r.t, r.graph_id, r.v, BOOL_OR(g.f < h.f OR (g.f = h.f AND g.v < h.v)) AS older FROM fr_{f} r
+        JOIN {f} g ON g.graph_id = r.graph_id AND g.v = r.x JOIN {f} h ON h.graph_id = r.graph_id AND h.v = r.v GROUP BY 1, 2, 3),
+vp_{f} AS (SELECT f.graph_id, f.v AS creator, f.f AS birth, MIN(t) FILTER (WHERE older) AS death FROM {f} f
+        JOIN old_{f} o ON o.graph_id = f.graph_id AND o.v = f.v GROUP BY 1, 2, 3)""",
+    ]
+
+
+_VW = [*vw_sql("f", "CAST(raw_label AS DOUBLE)"), "vp AS (SELECT * FROM vp_f)"]
+_EXTENDED = [
+    *_VW,
+    *vw_sql("d", "-CAST(raw_label AS DOUBLE)"),
+    """ex AS (SELECT graph_id, 'ordinary' AS kind, birth, death FROM vp WHERE death IS NOT NULL UNION ALL
+       SELECT graph_id, 'relative', -birth, -death FROM vp_d WHERE death IS NOT NULL UNION ALL
+       SELECT graph_id, 'extended', MIN(f), MAX(f) FROM f JOIN (SELECT graph_id, v, MAX(x) AS c FROM fr_f WHERE t = (SELECT MAX(t) FROM ts_f) GROUP BY 1, 2) USING (graph_id, v)
+       GROUP BY graph_id, c)""",
 ]
 
 
 def _label_diagram(spark, d):
-    g = co_purchase_graphs(spark, d)
+    g = kept_graphs(spark, d)
     return persistence.vertex_diagram(g, signatures.label(g))
 
 
@@ -342,7 +399,7 @@ def vw_h0_diagram(spark, d):
 
 @query(graphs_sql(*_VW, """
 ev AS (SELECT e.graph_id, GREATEST(a.f, b.f) AS w FROM edges e JOIN f a ON a.graph_id = e.graph_id AND a.v = e.u JOIN f b ON b.graph_id = e.graph_id AND b.v = e.v),
-cy AS (SELECT o.t, o.graph_id, (SELECT COUNT(*) FROM ev WHERE ev.graph_id = o.graph_id AND ev.w <= o.t) - COUNT(*) + SUM(CAST(NOT older AS INT)) AS c FROM old o GROUP BY 1, 2),
+cy AS (SELECT o.t, o.graph_id, (SELECT COUNT(*) FROM ev WHERE ev.graph_id = o.graph_id AND ev.w <= o.t) - COUNT(*) + SUM(CAST(NOT older AS INT)) AS c FROM old_f o GROUP BY 1, 2),
 cd AS (SELECT graph_id, t AS birth, CAST(c - COALESCE(LAG(c) OVER (PARTITION BY graph_id ORDER BY t), 0) AS BIGINT) AS n FROM cy)""",
        select="SELECT graph_id, birth, n FROM cd WHERE n > 0", recursive=True))
 def vw_h1_essential(spark, d):
@@ -391,18 +448,18 @@ def deepset_pool(spark, d):
     return vectorize.deep_set(points, [[0.5, -0.25], [1.0, 2.0]], [0.1, -1.0]).select("graph_id", "h", rounded("value"))
 
 
-@query()
+@query(graphs_sql(*_EXTENDED, select="SELECT graph_id, kind, birth, death FROM ex", recursive=True))
 def extended_diagram(spark, d):
-    g = co_purchase_graphs(spark, d)
+    g = kept_graphs(spark, d)
     return persistence.extended_diagram(g, signatures.label(g))
 
 
 def _rips(spark, d):
-    g = co_purchase_graphs(spark, d)
+    g = kept_graphs(spark, d)
     return persistence.rips_diagram(g, wl.edge_weights(g, wl.initial_labels(g), None))
 
 
-@query()
+@query(graphs_sql(*_H0, select="""SELECT graph_id, 0.0::DOUBLE AS birth, CASE WHEN NOT essential THEN death END AS death, COUNT(*) AS n FROM pt GROUP BY 1, 3""", recursive=True))
 def rips_h0(spark, d):
     return _rips(spark, d).where("dim = 0").groupBy("graph_id", "birth", "death").agg(F.count(F.lit(1)).alias("n"))
 
@@ -423,10 +480,19 @@ def bottleneck_neighbours(spark, d):
 
 # kernels
 
+#: Shortest paths by rounds: a pair's distance is replaced while a round finds a shorter one.
+SP_SQL = """
+sp(graph_id, s, t, d) USING KEY (graph_id, s, t) AS (SELECT graph_id, v, v, 0 FROM vertices UNION
+    SELECT x.graph_id, x.s, a.nbr, MIN(x.d + 1) FROM sp x JOIN adj a ON a.graph_id = x.graph_id AND a.v = x.t
+    LEFT JOIN recurring.sp r ON r.graph_id = x.graph_id AND r.s = x.s AND r.t = a.nbr WHERE r.d IS NULL OR r.d > x.d + 1 GROUP BY 1, 2, 3),
+sf AS (SELECT sp.graph_id, LEAST(a.raw_label, b.raw_label) || '-' || GREATEST(a.raw_label, b.raw_label) || '-' || d AS feature, COUNT(*) AS n FROM sp
+       JOIN vertices a ON a.graph_id = sp.graph_id AND a.v = sp.s JOIN vertices b ON b.graph_id = sp.graph_id AND b.v = sp.t WHERE s < t GROUP BY 1, 2)"""
+WL_FEATURES_SQL = "hf AS (SELECT graph_id, it || ':' || label AS feature, n FROM h)"
 
-@query()
+
+@query(graphs_sql(SP_SQL, select="SELECT graph_id, feature, n FROM sf", recursive=True))
 def sp_features(spark, d):
-    return kernels.shortest_path_features(co_purchase_graphs(spark, d))
+    return kernels.shortest_path_features(kept_graphs(spark, d))
 
 
 GRAPHLETS_SQL = """
@@ -443,7 +509,7 @@ g3 AS (SELECT graph_id, n * (n - 1) * (n - 2) // 6 - (m * (n - 2) - 2 * path - 3
 
 @query(graphs_sql(GRAPHLETS_SQL, select="SELECT graph_id, empty, edge, path, triangle FROM g3"))
 def graphlet3_counts(spark, d):
-    return kernels.graphlets3(co_purchase_graphs(spark, d))
+    return kernels.graphlets3(kept_graphs(spark, d))
 
 
 def gram_sql(features: str) -> str:
@@ -454,31 +520,44 @@ dot AS (SELECT a.graph_id AS g1, b.graph_id AS g2, SUM(CAST(a.n AS DOUBLE) * b.n
 k AS (SELECT g1, g2, ROUND(dot / (x.norm * y.norm), 6) AS k FROM dot JOIN fn x ON x.graph_id = g1 JOIN fn y ON y.graph_id = g2)"""
 
 
+def whole_gram_sql(features: str) -> str:
+    return gram_sql(features).replace("WHERE a.graph_id % 20 = 0 ", "")
+
+
 def _gram(graphs, features):
     """The search of each twentieth graph, as in the SQL; the whole matrices are the queries with _gram."""
     return kernels.gram(features, graphs.graphs.where("graph_id % 20 = 0")).select("g1", "g2", rounded("k"))
 
 
-@query(graphs_sql(GRAPHLETS_SQL, """gf AS (SELECT * FROM (SELECT graph_id, 'empty' AS feature, empty AS n FROM g3 UNION ALL SELECT graph_id, 'edge', edge FROM g3
-       UNION ALL SELECT graph_id, 'path', path FROM g3 UNION ALL SELECT graph_id, 'triangle', triangle FROM g3) WHERE n > 0)""", gram_sql("gf"), select="SELECT g1, g2, k FROM k"))
+GRAPHLET_FEATURES_SQL = """gf AS (SELECT * FROM (SELECT graph_id, 'empty' AS feature, empty AS n FROM g3 UNION ALL SELECT graph_id, 'edge', edge FROM g3
+       UNION ALL SELECT graph_id, 'path', path FROM g3 UNION ALL SELECT graph_id, 'triangle', triangle FROM g3) WHERE n > 0)"""
+
+
+@query(graphs_sql(GRAPHLETS_SQL, GRAPHLET_FEATURES_SQL, gram_sql("gf"), select="SELECT g1, g2, k FROM k"))
 def graphlet_kernel(spark, d):
-    g = co_purchase_graphs(spark, d)
+    g = kept_graphs(spark, d)
     return _gram(g, kernels.graphlet_features(g))
 
 
-@query()
+@query(graphs_sql(f"""vs AS (SELECT graph_id, LIST_SORT(LIST(v)) AS vs FROM vertices GROUP BY 1 HAVING COUNT(*) > 2),
+dr AS (SELECT graph_id, k, {", ".join(f"vs[CAST(FLOOR({portable_hash_sql(1, 'graph_id', 'k', j)} * LEN(vs)) AS INT) + 1] AS x{j}" for j in (1, 2, 3))}
+       FROM vs CROSS JOIN RANGE(1, 501) t(k)),
+tr3 AS (SELECT graph_id, k, LIST_SORT([x1, x2, x3]) AS x FROM dr WHERE x1 <> x2 AND x1 <> x3 AND x2 <> x3),
+sides AS (SELECT graph_id, k, x[1] AS u, x[2] AS v FROM tr3 UNION ALL SELECT graph_id, k, x[1], x[3] FROM tr3 UNION ALL SELECT graph_id, k, x[2], x[3] FROM tr3),
+hits AS (SELECT s.graph_id, s.k, COUNT(e.u) AS e FROM sides s LEFT JOIN edges e ON e.graph_id = s.graph_id AND e.u = s.u AND e.v = s.v GROUP BY 1, 2)""",
+       select="SELECT graph_id, ['empty', 'edge', 'path', 'triangle'][e + 1] AS feature, COUNT(*) AS n FROM hits GROUP BY 1, 2"))
 def graphlet_sampling(spark, d):
-    return kernels.sampled_graphlets(co_purchase_graphs(spark, d))
+    return kernels.sampled_graphlets(kept_graphs(spark, d))
 
 
-@query()
+@query(graphs_sql(SP_SQL, whole_gram_sql("sf"), select="SELECT g1, g2, k FROM k", recursive=True))
 def sp_kernel(spark, d):
-    return _whole_gram(kernels.shortest_path_features(co_purchase_graphs(spark, d)))
+    return _whole_gram(kernels.shortest_path_features(kept_graphs(spark, d)))
 
 
-@query(graphs_sql(labels_sql(5), histogram_sql(5), "hf AS (SELECT graph_id, it || ':' || label AS feature, n FROM h)", gram_sql("hf"), select="SELECT g1, g2, k FROM k"))
+@query(graphs_sql(labels_sql(5), histogram_sql(5), WL_FEATURES_SQL, gram_sql("hf"), select="SELECT g1, g2, k FROM k"))
 def wl_kernel(spark, d):
-    g = co_purchase_graphs(spark, d)
+    g = kept_graphs(spark, d)
     return _gram(g, kernels.wl_features(g, 5))
 
 
@@ -486,14 +565,14 @@ def _whole_gram(features):
     return kernels.gram_blocks(features).select("g1", "g2", rounded("k"))
 
 
-@query()
+@query(graphs_sql(GRAPHLETS_SQL, GRAPHLET_FEATURES_SQL, whole_gram_sql("gf"), select="SELECT g1, g2, k FROM k"))
 def graphlet_gram(spark, d):
-    return _whole_gram(kernels.graphlet_features(co_purchase_graphs(spark, d)))
+    return _whole_gram(kernels.graphlet_features(kept_graphs(spark, d)))
 
 
-@query()
+@query(graphs_sql(labels_sql(5), histogram_sql(5), WL_FEATURES_SQL, whole_gram_sql("hf"), select="SELECT g1, g2, k FROM k"))
 def wl_gram(spark, d):
-    return _whole_gram(kernels.wl_features(co_purchase_graphs(spark, d), 5))
+    return _whole_gram(kernels.wl_features(kept_graphs(spark, d), 5))
 
 
 # walks
@@ -538,7 +617,7 @@ def _walks_sql(length: int) -> str:
 
 @query(graphs_sql(_walks_sql(4), select=" UNION ALL ".join(f"SELECT graph_id, 0 AS walk, start, {k} AS step, cur AS v FROM s{k}" for k in range(4))))
 def n2v_walks(spark, d):
-    g = co_purchase_graphs(spark, d)
+    g = kept_graphs(spark, d)
     arcs = walks.directed(g.edges.withColumn("weight", F.lit(1.0)))
     return walks.walks(g.vertices, arcs, 4, 1, 0.5, 2.0)
 
@@ -550,7 +629,7 @@ WALK_LENGTH, WALKS, DIMENSIONS = 80, 10, 128
 @query()
 def n2v_long_walks(spark, d):
     """n2v_walks, whose SQL ends after four vertices, at the reference's length and number."""
-    g = co_purchase_graphs(spark, d)
+    g = kept_graphs(spark, d)
     arcs = walks.directed(g.edges.withColumn("weight", F.lit(1.0)))
     return walks.walks(g.vertices, arcs, WALK_LENGTH, WALKS, 0.5, 2.0)
 
@@ -569,7 +648,7 @@ def n2v_embeddings(spark, d):
 @query(graphs_sql("""al AS (SELECT graph_id, v AS i, nbr AS j, 1.0::DOUBLE AS a FROM adj UNION ALL SELECT graph_id, v, v, 1.0 FROM vertices)""",
        select="SELECT graph_id, i, j, ROUND(a / SUM(a) OVER (PARTITION BY graph_id, i), 9) AS a FROM al"))
 def sym_norm_adj(spark, d):
-    return _adjacency(co_purchase_graphs(spark, d)).withColumn("a", F.round("a", 9))
+    return _adjacency(kept_graphs(spark, d)).withColumn("a", F.round("a", 9))
 
 
 def _adjacency(g):
@@ -590,7 +669,7 @@ y1 AS (SELECT n.graph_id, n.i AS v, h AS f, SUM(n.a * x.z) AS value FROM na n JO
 
 @query(graphs_sql(*_GCN, select="SELECT graph_id, v, f, ROUND(value, 6) AS value FROM y1"))
 def gcn_layer(spark, d):
-    g = co_purchase_graphs(spark, d)
+    g = kept_graphs(spark, d)
     x = g.vertices.select("graph_id", "v", F.col("raw_label").alias("f"), F.lit(1.0).alias("value"))
     return gcn.convolution(x, _adjacency(g), _weight(spark, 5, 4, 1)).withColumn("value", F.round("value", 6))
 
@@ -600,7 +679,7 @@ x2 AS (SELECT graph_id, v, h, SUM(GREATEST(value, 0) * ({portable_hash_sql(2, 'f
 y2 AS (SELECT n.graph_id, n.i AS v, h AS f, SUM(n.a * x.z) AS value FROM na n JOIN x2 x ON x.graph_id = n.graph_id AND x.v = n.j GROUP BY 1, 2, 3)""",
        select="SELECT graph_id, v, f, ROUND(value - LN(SUM(EXP(value)) OVER (PARTITION BY graph_id, v)), 6) AS value FROM y2"))
 def gcn_forward(spark, d):
-    g = co_purchase_graphs(spark, d)
+    g = kept_graphs(spark, d)
     x = g.vertices.select("graph_id", "v", F.col("raw_label").alias("f"), F.lit(1.0).alias("value"))
     return gcn.forward(x, _adjacency(g), [(_weight(spark, 5, 4, 1), None), (_weight(spark, 4, 5, 2), None)]).withColumn("value", F.round("value", 6))
 
@@ -651,7 +730,7 @@ def experiment_grid(spark, d):
 
 @query()
 def experiment_report(spark, d):
-    graphs = co_purchase_graphs(spark, d)
+    graphs = kept_graphs(spark, d)
     found = None
     for config in experiment.grid({"variables": VARIABLES, "graph_vector": "~graph_vector", "classifier": "logistic"}):
         x = experiment.run(graphs, config).select(F.lit("gc").alias("dataset"), F.lit(config["graph_vector"]).alias("graph_vector"), "accuracy")
