@@ -16,8 +16,6 @@ Verification counts shared shingles on the texts.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -26,49 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from graphloom.llm.common import byte_slices, materialise, table, whole_text
+from graphloom.llm.common import ODD, byte_slices, hashed_words, materialise, mixed, table, whole_text
 from graphloom.llm.components import components
 
 SHINGLE, GROUPS, COUNTER_BITS = 5, 256, 17
-_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
-_SPACE = np.isin(np.arange(256), [*range(9, 14), 32])
-#: Bytes of words that are hashed at a time.
-SEGMENT = 1 << 20
-
-
-@lru_cache(maxsize=1)
-def _hash_tables(size: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A number for each byte (A-Z as a-z), and the powers of an odd number and of its inverse modulo 2**64."""
-    of_byte = np.random.default_rng(5).integers(0, 1 << 64, 256, dtype=np.uint64)
-    of_byte[65:91] = of_byte[97:123]
-    base = 0xD6E8FEB86659FD93
-    powers = (np.multiply.accumulate(np.append(np.uint64(1), np.full(size, b, np.uint64))) for b in (base, pow(base, -1, 1 << 64)))
-    return of_byte, *powers
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * _MIX[1]
-    h = (h ^ (h >> np.uint64(27))) * _MIX[2]
-    return h ^ (h >> np.uint64(31))
-
-
-def _word_hashes(data: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and 64-bit hash of each word of the bytes. Words end at ASCII white space and before each
-    position that ``edge`` marks; it has one entry more than the bytes, the last of them true."""
-    blank = _SPACE[data]
-    starts = np.flatnonzero(~blank & (edge[:-1] | np.append(True, blank[:-1])))
-    ends = np.flatnonzero(~blank & (edge[1:] | np.append(blank[1:], True))) + 1
-    hashes, done = [np.empty(0, np.uint64)], 0
-    while done < len(starts):  # whole words of about a segment; a longer word is a segment of its own
-        low = starts[done]
-        some = max(done + 1, int(np.searchsorted(ends, low + SEGMENT, "right")))
-        size = int(ends[some - 1] - low)
-        of_byte, up, down = _hash_tables(SEGMENT if size <= SEGMENT else size)
-        sums = np.append(np.uint64(0), np.cumsum(of_byte[data[low : low + size]] * up[:size], dtype=np.uint64))
-        a, b = starts[done:some] - low, ends[done:some] - low
-        hashes.append(_mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64)))
-        done = some
-    return starts, np.concatenate(hashes)
 
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
@@ -77,23 +36,15 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     Equal shingles have equal hashes; two different ones clash with a chance of about 2**-60, so a count of
     the shared shingles of two sets of n is wrong with a chance of about n**2 / 2**60.
     """
-    texts = texts.cast(pa.large_string())
     if not len(texts):
         return []
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    size = int(offsets[-1] - offsets[0])
-    data = np.frombuffer(texts.buffers()[2], np.uint8, size, int(offsets[0])) if size else np.empty(0, np.uint8)
-    edge = np.zeros(size + 1, bool)
-    edge[offsets - offsets[0]] = True
-    edge[-1] = True
-    starts, h = _word_hashes(data, edge)
-    first = np.searchsorted(starts, offsets - offsets[0])
+    _, _, _, h, first = hashed_words(texts)
     n = max(0, len(h) - SHINGLE + 1)
     rolled = np.full(n, SHINGLE, np.uint64)
     for j in range(SHINGLE):
-        rolled = rolled * _MIX[0] + h[j : j + n]
+        rolled = rolled * ODD + h[j : j + n]
         rolled ^= rolled >> np.uint64(32)
-    rolled = _mixed(rolled)
+    rolled = mixed(rolled)
     found = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         if b - a >= SHINGLE:
@@ -102,9 +53,9 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
         else:
             whole = np.full(min(b - a, 1), b - a, np.uint64)
             for x in h[a:b]:
-                whole = whole * _MIX[0] + x
+                whole = whole * ODD + x
                 whole ^= whole >> np.uint64(32)
-            found.append(_mixed(whole))
+            found.append(mixed(whole))
     return found
 
 
@@ -118,18 +69,23 @@ def count_vector(s: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     return np.bincount((s >> np.uint64(65 - groups.bit_length())).astype(np.int64), minlength=groups)
 
 
-def packed_point(s: np.ndarray) -> bytes:
-    """The count vector in one byte for each group, or in four where a count needs them. Larger sets have
-    more groups, about two shingles or fewer in each, as bounds over fuller groups let too much pass. The
-    first byte tells the kind."""
-    bits = min(16, max(GROUPS.bit_length() - 1, len(s).bit_length() - 1))
-    n = count_vector(s, 1 << bits)
-    wide = int(n.max() >= 256)
-    return bytes([bits + 64 * wide]) + n.astype("<u4" if wide else "u1").tobytes()
+def packed_point(s: np.ndarray, groups: int = GROUPS) -> bytes:
+    """The count vector in one byte for each group, or in four where a count needs them; the first byte
+    tells which."""
+    n = count_vector(s, groups)
+    wide = n.max() >= 256
+    return bytes([wide]) + n.astype("<u4" if wide else "u1").tobytes()
+
+
+def fine_point(s: np.ndarray) -> bytes | None:
+    """For a larger set a point of more groups, with two shingles or fewer in each on average: bounds over
+    fuller groups let too much pass."""
+    groups = 1 << min(16, len(s).bit_length() - 1)
+    return packed_point(s, groups) if groups > GROUPS else None
 
 
 def point_of(packed: bytes) -> np.ndarray:
-    return np.frombuffer(packed, "<u4" if packed[0] & 64 else "u1", offset=1).astype(np.int64)
+    return np.frombuffer(packed, "<u4" if packed[0] else "u1", offset=1).astype(np.int64)
 
 
 def coarse(point: np.ndarray, groups: int = GROUPS) -> np.ndarray:
@@ -191,7 +147,7 @@ class RTree:
         return self.order[at[linked(shared, n, self.size[at])]]
 
 
-_DESCRIBED = "doc_id long, text_key long, n long, node long, other long, point binary, counter int"
+_DESCRIBED = "doc_id long, text_key long, n long, node long, other long, point binary, fine binary, counter int"
 
 
 def _describe(batches):
@@ -210,12 +166,13 @@ def _describe(batches):
                 pa.array([len(s) for s in sets], pa.int64()),
                 *(pa.array([i[k] for i in ids], pa.int64()) for k in (0, 1)),
                 pa.array([packed_point(s) if len(s) else None for s in sets], pa.binary()),
+                pa.array([fine_point(s) if len(s) else None for s in sets], pa.binary()),
                 pa.nulls(len(sets), pa.int32()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=names)
     at = np.flatnonzero(counters)
     none = pa.nulls(len(at), pa.int64())
-    columns = [none, none, pa.array(counters[at]), none, none, pa.nulls(len(at), pa.binary()), pa.array(at.astype(np.int32))]
+    columns = [none, none, pa.array(counters[at]), none, none, *[pa.nulls(len(at), pa.binary())] * 2, pa.array(at.astype(np.int32))]
     yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
@@ -289,7 +246,10 @@ def _check(batches):
 
 
 def _verify(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, most_broadcast: int = 1_000_000) -> DataFrame:
-    """The pairs (a, b) whose sets link, counted on the texts. One row's text stands for each node."""
+    """The pairs (a, b) whose sets link: those that the finest points let pass, counted on the texts. One
+    row's text stands for each node."""
+    a, b = (nodes.select(F.col("node").alias(c), F.coalesce("fine", "point").alias(f"point_{c}")) for c in "ab")
+    pairs = materialise(pairs.join(a, "a").join(b, "b").where(_may_link("point_a", "point_b")).select("a", "b"))
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = materialise(ends.join(nodes, "node").select("node", "doc_id", "text_key").withColumnsRenamed({"doc_id": "d", "text_key": "k"}))
     some = F.broadcast(wanted) if wanted.count() <= most_broadcast else wanted
@@ -307,9 +267,7 @@ def _tree_pairs(nearest: bool):
     def pairs(members):
         asks, node, component, major, point = (list(x) for x in zip(*members))
         asks, node, component, major = np.array(asks), np.array(node), np.array(component), np.array(major)
-        fine = [point_of(p) for p in point]
-        points = np.stack([coarse(p) for p in fine])
-        size = points.sum(1)
+        points = np.stack([point_of(p) for p in point])
         stands = np.flatnonzero(~asks)
         if not len(stands):
             return
@@ -317,8 +275,6 @@ def _tree_pairs(nearest: bool):
         for i in np.flatnonzero(asks):
             near = stands[tree.near(points[i])]
             near = near[(component[near] != component[i]) & (major[near] | (node[near] > node[i]))]
-            if len(fine[i]) > GROUPS:
-                near = near[[len(fine[j]) == GROUPS or linked(most_shared(fine[i], fine[j]), size[i], size[j]) for j in near] or slice(0)]
             if nearest and len(near):
                 shared = np.minimum(points[near], points[i]).sum(1)
                 near = near[np.lexsort((node[near], -shared))[:1]]
@@ -397,15 +353,14 @@ def classes_of(docs: DataFrame, unit_size: int = 2000) -> DataFrame:
     if renamed:
         described = described.withColumn("node", F.when(F.col("node").isin(renamed), F.col("other")).otherwise(F.col("node")))
     clashing = spark.sparkContext.broadcast(renamed)
-    nodes = described.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("row"), F.first("point").alias("point"))
-    nodes = materialise(nodes.select("node", "row.doc_id", "row.text_key", "point"))
+    points = (F.first(c).alias(c) for c in ("point", "fine"))
+    nodes = described.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("row"), *points)
+    nodes = materialise(nodes.select("node", "row.doc_id", "row.text_key", "point", "fine"))
 
     cells = _shared_cells(materialise(rows.select("text").mapInArrow(_cells(shared, clashing), "key long, node long")))
-    a, b = (nodes.select(F.col("node").alias(c), F.col("point").alias(f"point_{c}")) for c in "ab")
     stars = cells.where("node <> hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.sum("weight").alias("n"))
     tested = materialise(stars.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"))
-    pairs = tested.join(a, "a").join(b, "b").where(_may_link("point_a", "point_b")).select("a", "b")
-    links = materialise(_verify(materialise(pairs), nodes, rows))
+    links = materialise(_verify(tested, nodes, rows))
     of = components(links)
     for nearest in (True, False):
         pairs = _open_pairs(cells, nodes, of, tested, unit_size, nearest)
