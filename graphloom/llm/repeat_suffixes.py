@@ -255,18 +255,19 @@ def repeated_spans(rows: DataFrame, packed: DataFrame, width: int) -> DataFrame:
 
     ``rows`` has doc_id (no null), text_key and text, ``packed`` the same with the text compressed.
     """
-    in_bucket, same = Window.partitionBy("key"), Window.partitionBy("key", "h")
+    in_bucket = Window.partitionBy("key")
     found = rows.mapInArrow(_grams(width), "key long, h long, doc_id long, text_key long, at long").select(
         "*",
         F.min("doc_id").over(in_bucket).alias("first_doc"),
         F.max("doc_id").over(in_bucket).alias("last_doc"),
         (F.min("h").over(in_bucket) < F.max("h").over(in_bucket)).alias("several"),
-        F.min("doc_id").over(same).alias("least"),
-        F.max("doc_id").over(same).alias("most"),
     )
-    found = materialise(found.where("first_doc < last_doc and (several or least < doc_id)").drop("first_doc", "last_doc"))
-    wanted = found.where("several and doc_id = least").groupBy("key", "h").agg(F.min(F.struct("doc_id", "text_key", "at", "most")).alias("w"))
-    wanted = wanted.groupBy("w.doc_id").agg(F.collect_list(F.struct("w.text_key", "key", "h", "w.most", "w.at")).alias("wanted"))
+    found = found.where("first_doc < last_doc and (several or first_doc < doc_id)")
+    # keys only where they are needed once more
+    found = materialise(found.select(*(F.when(F.col("several"), F.col(c)).alias(c) for c in ("key", "h")), "doc_id", "text_key", "at"))
+    several = found.where("key is not null")
+    wanted = several.groupBy("key", "h").agg(F.min(F.struct("doc_id", "text_key", "at")).alias("w"), F.max("doc_id").alias("most"))
+    wanted = wanted.groupBy("w.doc_id").agg(F.collect_list(F.struct("w.text_key", "key", "h", "most", "w.at")).alias("wanted"))
     refined = (
         packed.join(wanted, "doc_id")
         .select("doc_id", "text_key", "packed", "wanted")
@@ -275,10 +276,11 @@ def repeated_spans(rows: DataFrame, packed: DataFrame, width: int) -> DataFrame:
         .sortWithinPartitions("key")
         .mapInArrow(_refine(width, 2_000_000), "key long, h long, low long, high long, least long")
     )
-    parts = found.where("several").drop("least").join(refined, ["key", "h"]).where("least < doc_id")
+    parts = several.join(refined, ["key", "h"]).where("least < doc_id")
     none = F.lit(None).cast("long")
     span = lambda low, high: F.struct("text_key", "at", low.alias("low"), high.alias("high")).alias("s")
-    spans = parts.select("doc_id", span(F.col("low"), F.col("high"))).union(found.where("not several").select("doc_id", span(none, none)))
+    whole = found.where("key is null").select("doc_id", span(none, none))
+    spans = parts.select("doc_id", span(F.col("low"), F.col("high"))).union(whole)
     return spans.groupBy("doc_id").agg(F.collect_list("s").alias("spans"))
 
 
