@@ -10,9 +10,12 @@ from graphloom.llm.line_runs import op7_line_runs
 from graphloom.llm.qgram_decontam import op9_qgram_decontam
 from graphloom.llm.quality_cnn import op2_quality_cnn
 from graphloom.llm.repeat_suffixes import op6_repeat_suffixes
+from graphloom.llm.sql import ORACLE_SQL
 from graphloom.llm.trie_bpe import op8_trie_bpe
 from graphloom.llm.weighted_tree import op3_weighted_hash_tree
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES = {
     "op1_brown_lm": op1_brown_lm,
     "op2_quality_cnn": op2_quality_cnn,
@@ -25,4 +28,3 @@ QUERIES = {
     "op9_qgram_decontam": op9_qgram_decontam,
     "op10_line_crf": op10_line_crf,
 }
-ORACLE_SQL: dict[str, str] = {}

@@ -51,8 +51,8 @@ def _draw(key: Column, name: Column, weight: Column) -> Column:
     return -F.log((bits + 0.5) / F.lit(float(2**52))) / weight
 
 
-def _children(topology: Sequence[Shard]) -> Column:
-    """A map literal from each inner node's path to its children's paths and total weights."""
+def children_of(topology: Sequence[Shard]) -> dict[str, dict[str, float]]:
+    """Each inner node's path, with its children's paths and total weights."""
     below: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
     for s in topology:
         if s.weight <= 0:
@@ -61,8 +61,13 @@ def _children(topology: Sequence[Shard]) -> Column:
         for step in (s.region, s.rack, str(s.shard)):
             below[path][f"{path}/{step}"] += s.weight
             path = f"{path}/{step}"
+    return below
+
+
+def _children(topology: Sequence[Shard]) -> Column:
+    """The same as a map literal."""
     entries: list[Column] = []
-    for parent, kids in below.items():
+    for parent, kids in children_of(topology).items():
         entries += [
             F.lit(parent),
             F.array(*[F.struct(F.lit(k).alias("path"), F.lit(float(w)).alias("weight")) for k, w in kids.items()]),
@@ -108,7 +113,7 @@ def assign_shards(
         F.crc32(text.cast("binary")).alias("text_crc32"),
         shard_of(key, topology).alias("shard"),
         shard_of(key, grown).alias("grown_shard"),
-        F.pmod(F.xxhash64(key), F.lit(slot_buckets)).cast("int").alias("bucket"),
+        (F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long") % slot_buckets).cast("int").alias("bucket"),
     )
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
