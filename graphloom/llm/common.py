@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -13,6 +11,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions.tables import materialise, scratch, shared_dir
+
+__all__ = [
+    "ODD", "WORD_SPACE", "bucket_of", "byte_slices", "hashed_words", "materialise", "mixed", "scratch", "shared_dir", "slices", "table", "whole_text", "words_of",
+]
+
 #: The ASCII white space that separates words, space and \x09-\x0D.
 WORD_SPACE = " \t\n\x0b\x0c\r"
 
@@ -32,28 +36,6 @@ def whole_text(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
-    sc = spark.sparkContext
-    found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        found = sc.getCheckpointDir()
-    return found
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """The rows, written once as Parquet to the shared folder and read again.
-
-    Cuts the lineage so that a lost executor costs a reread, not a recomputation, and compresses
-    better than checkpoint(), whose files hold serialised rows.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def words_of(text: str) -> list[bytes]:
     """Lower-cases A-Z and cuts at ASCII white space: what ``[^\\x20\\x09-\\x0D]+`` finds, as UTF-8."""
     return text.encode("utf-8", "surrogatepass").lower().split()
