@@ -6,8 +6,9 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphloom.llm.common import shared_dir, table
+from graphloom.llm.common import scratch, shared_dir, table
 from graphloom.llm.count_rtree import one_of_each
 from graphloom.llm.line_crf import keep_documents, train_field
 from graphloom.llm.line_runs import dedup_lines
@@ -17,28 +18,37 @@ from graphloom.llm.trie_bpe import encode_documents
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+# In each stage: a null text counts as an empty one; rows of null doc_id and repeated rows are rows like others; columns
+# beside doc_id and text, whatever their names, stay as they are; an empty table gives no rows; texts are worked on whole.
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line field keeps; it learns from the labelled ones among all ``documents``."""
+    """Documents that the line field keeps; it learns from the labelled ones among all ``documents``. Of texts
+    without ten words none stays, null and empty ones included. A row's verdict depends on its text alone, so
+    repeated rows stay or go together; between two labellings of equal weight lines count as content."""
     return keep_documents(docs, train_field(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of line runs; those that lose every line with a word go."""
-    return dedup_lines(docs).where("text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    """Documents without later copies of line runs; those that lose every line with a word go, and those that
+    have none. Of equal runs the one of smallest doc_id stays (null first), then of smallest text hash and line;
+    repeated rows are one document and stay together."""
+    return dedup_lines(docs).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates: that of smallest doc_id; rows of null doc_id go where a
+    row with an id stays, else that of smallest text hash stays. Rows of the same doc_id and group stay together."""
     return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Rows of the same doc_id (null too) stay or go together."""
     return without_items(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, token_ids and the decoded text of each document that is left."""
+    """doc_id, token_ids and the decoded text of each row that is left."""
     import public_tokenizers
 
     return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -61,9 +71,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
         if i == len(STAGES) - 1:
-            return out
-        out.write.parquet(f"{folder}/{i}")
+            return stage(spark, docs, sf_dir)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
     return docs

@@ -2,31 +2,67 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: The tables that open ``scratch`` blocks will delete, innermost last.
+_written: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir.
+
+    Where it is unset, a new local folder will do for a local master, as in tests; on a cluster that raises,
+    as executors would not see each other's files.
+    """
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         found = sc.getCheckpointDir()
     return found
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """The rows, written as Parquet to the shared folder and read again: cuts lineage in iterations."""
+    """The rows, written once as Parquet to the shared folder and read again.
+
+    Cuts the lineage, so that a lost executor costs a reread and no recomputation, and compresses better
+    than checkpoint(), whose files hold serialised rows.
+    """
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for paths in _written[-1:]:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that ``materialise`` writes within: write or collect a result inside.
+
+        with scratch(spark):
+            one_of_each(docs).write.parquet(path)
+    """
+    _written.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _written.pop():
+            there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(hadoop).delete(there, True)
+
+
 def dense_ids(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """``rows`` numbered from 0 without gaps in the order of ``order``, which must tell all rows apart.
 
