@@ -226,6 +226,50 @@ def extended_diagram(graphs: GraphSet, weights: DataFrame) -> DataFrame:
     return ordinary.union(relative).union(range_.select("graph_id", F.lit("extended"), "birth", "death"))
 
 
+def cycle_pairs(weight: dict, edges: list[tuple]) -> Iterator[tuple[float, float]]:
+    """(birth, death) of the extended points of dimension 1 of one graph: a cycle is born when its last edge
+    enters on the way up (at the larger end's weight) and dies when it is filled on the way down (at an
+    edge's smaller end's weight).
+
+    Reduces, over Z/2, the columns of the triangles that a cone makes of the edges, by falling smaller end.
+    A column is the set of its rows: an edge (0, place on the way up) or a vertex's cone edge (1, place on
+    the way down); the last row is the pivot.
+    """
+    rising = sorted(edges, key=lambda e: (max(weight[e[0]], weight[e[1]]), e))
+    up = {e: k for k, e in enumerate(rising)}
+    down = {v: k for k, v in enumerate(sorted(weight, key=lambda v: (-weight[v], v)))}
+    reduced: dict[tuple[int, int], frozenset] = {}
+    for e in sorted(edges, key=lambda e: (-min(weight[e[0]], weight[e[1]]), e)):
+        column = frozenset([(0, up[e])]) ^ frozenset([(1, down[e[0]])]) ^ frozenset([(1, down[e[1]])])
+        while column and max(column) in reduced:
+            column = column ^ reduced[max(column)]
+        if column:
+            reduced[max(column)] = column
+            kind, place = max(column)
+            if not kind:
+                yield max(weight[x] for x in rising[place]), min(weight[x] for x in e)
+
+
+def extended_cycles(graphs: GraphSet, weights: DataFrame) -> DataFrame:
+    """graph_id, birth, death: the extended diagram's points of dimension 1 (graph_id, v, weight), one for each
+    independent cycle. One graph is one group of a task."""
+    rows = weights.select("graph_id", F.col("v").alias("u"), F.lit(None).cast("long").alias("v"), F.col("weight").cast("double").alias("w")).union(
+        graphs.edges.select("graph_id", "u", "v", F.lit(None).cast("double"))
+    )
+    schema = pa.schema([("graph_id", pa.int64()), ("birth", pa.float64()), ("death", pa.float64())])
+
+    def solve(batches):
+        def rows():
+            for (g,), items in _by_graph(batches, ("graph_id",), ("u", "v", "w")):
+                weight = {u: w for u, v, w in items if v is None}
+                for point in cycle_pairs(weight, [(u, v) for u, v, _ in items if v is not None]):
+                    yield g, *point
+
+        yield from _tables(rows(), schema)
+
+    return rows.repartition("graph_id").sortWithinPartitions("graph_id").mapInArrow(solve, "graph_id long, birth double, death double")
+
+
 def component_of(graphs: GraphSet) -> DataFrame:
     """graph_id, v, component (the largest vertex of the component)."""
     rows = graphs.edges.select("graph_id", "u", "v").union(graphs.vertices.select("graph_id", F.col("v").alias("u"), "v"))

@@ -72,3 +72,16 @@ def deep_set(points: DataFrame, weight: list[list[float]], bias: list[float]) ->
     sums = points.where("death is not null").groupBy("graph_id").agg(F.sum("birth").alias("sb"), F.sum("death").alias("sd"), F.count(F.lit(1)).alias("n"))
     out = F.array(*[F.struct(F.lit(h).alias("h"), (a * F.col("sb") + b * F.col("sd") + c * F.col("n")).alias("value")) for h, ((a, b), c) in enumerate(zip(weight, bias))])
     return sums.select("graph_id", F.explode(out).alias("x")).select("graph_id", "x.h", "x.value")
+
+
+def project(pooled: DataFrame, weight: list[list[float]], bias: list[float]) -> DataFrame:
+    """graph_id, cls, score: the pooled values (graph_id, h, value) times ``weight`` [h][cls], plus ``bias``."""
+    out = F.array(*[F.struct(F.lit(c).alias("cls"), (F.col("value") * F.element_at(F.array(*[F.lit(float(r[c])) for r in weight]), F.col("h") + 1)).alias("x")) for c in range(len(bias))])
+    each = pooled.select("graph_id", F.explode(out).alias("o")).groupBy("graph_id", "o.cls").agg(F.sum("o.x").alias("score"))
+    return each.select("graph_id", "cls", (F.col("score") + F.element_at(F.array(*[F.lit(float(b)) for b in bias]), F.col("cls") + 1)).alias("score"))
+
+
+def diagram_groups(points: DataFrame) -> DataFrame:
+    """The points (dim, birth, death) with ``part``: finite0, never0 or never1; others (finite of dimension 1) are left out."""
+    part = F.when(F.col("death").isNull() & F.col("dim").isin(0, 1), F.concat(F.lit("never"), F.col("dim").cast("string")))
+    return points.withColumn("part", part.when((F.col("dim") == 0) & F.col("death").isNotNull(), "finite0")).where("part is not null")

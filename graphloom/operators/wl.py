@@ -30,9 +30,17 @@ def _compress(rows: DataFrame, signature: str) -> DataFrame:
     return keyed.join(ids, ["_h1", "_h2"]).drop("_h1", "_h2")
 
 
-def initial_labels(graphs: GraphSet) -> DataFrame:
-    """graph_id, v, label of iteration 0, from raw labels."""
-    return _compress(graphs.vertices.select("graph_id", "v", "raw_label"), "raw_label").select("graph_id", "v", "label")
+def initial_labels(graphs: GraphSet, known: DataFrame | None = None) -> DataFrame:
+    """graph_id, v, label of iteration 0, from raw labels. ``known`` (raw_label, label) numbers some of them
+    beforehand; the others' numbers follow the largest of those."""
+    rows = graphs.vertices.select("graph_id", "v", "raw_label")
+    if known is None:
+        return _compress(rows, "raw_label").select("graph_id", "v", "label")
+    known = F.broadcast(known.select("raw_label", F.col("label").alias("_known")))
+    first = (known.agg(F.max("_known")).first()[0] + 1) if known.limit(1).count() else 0
+    rows = materialise(rows.join(known, "raw_label", "left"))
+    new = _compress(rows.where("_known is null").drop("_known"), "raw_label").select("graph_id", "v", (F.col("label") + first).alias("label"))
+    return rows.where("_known is not null").select("graph_id", "v", F.col("_known").cast("long").alias("label")).union(new)
 
 
 def refine(graphs: GraphSet, labels: DataFrame) -> DataFrame:

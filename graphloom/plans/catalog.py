@@ -353,6 +353,23 @@ def pwl_infinity_norm(spark, d):
     return persistence.infinity_norm(_filtrations(spark, d)[1]).select("it", "graph_id", rounded("value"))
 
 
+_BLOCKS_SQL = """
+SELECT it, graph_id, 'original' AS block, label, CAST(COUNT(*) AS DOUBLE) AS value FROM al GROUP BY 1, 2, 4 UNION ALL
+SELECT it, graph_id, 'label', label, ROUND(SUM(death * death), 6) FROM pts GROUP BY 1, 2, 4 UNION ALL
+SELECT c.it, c.graph_id, 'cycle', x.label, ROUND(SUM(c.weight * c.weight), 6)
+FROM (SELECT it, graph_id, u AS v, weight FROM cyc UNION ALL SELECT it, graph_id, v, weight FROM cyc) c
+JOIN al x ON x.it = c.it AND x.graph_id = c.graph_id AND x.v = c.v GROUP BY 1, 2, 4 UNION ALL
+SELECT it, graph_id, 'total', NULL, ROUND(SQRT(SUM(death * death)), 6) FROM pts GROUP BY 1, 2 UNION ALL
+SELECT it, graph_id, 'infinity', NULL, ROUND(MAX(death * death), 6) FROM pts GROUP BY 1, 2"""
+
+
+@query(graphs_sql(*_KRUSKAL, select=_BLOCKS_SQL, recursive=True))
+def pwl_feature_blocks(spark, d):
+    """All blocks of the flagship's features in one table."""
+    found = experiment.persistent_features(kept_graphs(spark, d), cycle=True, total=True, infinity=True)
+    return found.select("it", "graph_id", "block", "label", rounded("value"))
+
+
 @query(graphs_sql(*_KRUSKAL, select="""SELECT c.it, c.graph_id, x.label, ROUND(SUM(c.weight * c.weight), 6) AS value
        FROM (SELECT it, graph_id, u AS v, weight FROM cyc UNION ALL SELECT it, graph_id, v, weight FROM cyc) c
        JOIN al x ON x.it = c.it AND x.graph_id = c.graph_id AND x.v = c.v GROUP BY 1, 2, 3""", recursive=True))
@@ -454,6 +471,13 @@ def extended_diagram(spark, d):
     return persistence.extended_diagram(g, signatures.label(g))
 
 
+@query()
+def extended_cycles(spark, d):
+    """The extended points of dimension 1."""
+    g = kept_graphs(spark, d)
+    return persistence.extended_cycles(g, signatures.label(g))
+
+
 def _rips(spark, d):
     g = kept_graphs(spark, d)
     return persistence.rips_diagram(g, wl.edge_weights(g, wl.initial_labels(g), None))

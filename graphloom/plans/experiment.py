@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import signatures
 from graphloom.functions.tables import dense_ids, materialise
 from graphloom.model import GraphSet
-from graphloom.operators import evaluate, kernels, persistence, vectorize
+from graphloom.operators import evaluate, kernels, persistence, vectorize, wl
 
 
 def grid(config: dict) -> list[dict]:
@@ -36,25 +36,44 @@ def grid_table(spark: SparkSession, variables: dict[str, list[str]]) -> DataFram
     return spark.createDataFrame([*product(*variables.values())], [*variables])
 
 
+def persistent_features(
+    graphs: GraphSet, iterations: int = 2, original: bool = True, label: bool = True, cycle: bool = False, total: bool = False,
+    infinity: bool = False, p: float = 2.0, smooth: bool = False,
+) -> DataFrame:
+    """it, graph_id, block, label, value of the asked blocks of the Weisfeiler-Lehman filtration's features: label
+    counts, persistence and cycle persistence by label, total persistence and infinity norm (null label)."""
+    labels, rows = persistence.persistent_wl(graphs, iterations, p=p, smooth=smooth)
+    rows = materialise(rows)
+    none = F.lit(None).cast("long").alias("label")
+    blocks = {
+        "original": (original, lambda: wl.histogram(labels).select("it", "graph_id", "label", F.col("n").cast("double").alias("value"))),
+        "label": (label, lambda: persistence.label_persistence(labels, rows, p)),
+        "cycle": (cycle, lambda: persistence.cycle_persistence(labels, rows, p)),
+        "total": (total, lambda: persistence.total_persistence(rows, p).select("it", "graph_id", none, "value")),
+        "infinity": (infinity, lambda: persistence.infinity_norm(rows, p).select("it", "graph_id", none, "value")),
+    }
+    found = None
+    for name, (asked, make) in blocks.items():
+        if asked:
+            x = make().select("it", "graph_id", F.lit(name).alias("block"), "label", "value")
+            found = x if found is None else found.union(x)
+    if found is None:
+        raise ValueError("ask for a block")
+    return found
+
+
 def _persistent(cycles: bool):
     def features(graphs: GraphSet) -> DataFrame:
-        labels, rows = persistence.persistent_wl(graphs)
-        blocks = [("o", kernels.wl_features(graphs, 2).select("graph_id", "feature", F.col("n").cast("double").alias("n")))]
-        named = F.concat_ws(":", F.col("it").cast("string"), F.col("label").cast("string"))
-        blocks.append(("p", persistence.label_persistence(labels, rows).select("graph_id", named.alias("feature"), F.col("value").alias("n"))))
-        if cycles:
-            blocks.append(("c", persistence.cycle_persistence(labels, rows).select("graph_id", named.alias("feature"), F.col("value").alias("n"))))
-        found = None
-        for name, block in blocks:
-            block = block.withColumn("feature", F.concat(F.lit(name), "feature"))
-            found = block if found is None else found.union(block)
-        return found
+        found = persistent_features(graphs, cycle=cycles)
+        named = F.concat_ws(":", "block", F.col("it").cast("string"), F.col("label").cast("string"))
+        return found.select("graph_id", named.alias("feature"), F.col("value").alias("n"))
 
     return features
 
 
 def _degree_diagram(graphs: GraphSet) -> DataFrame:
     """graph_id, dim, birth, death of the degree filtration, scaled to [0, 1] by the collection's largest degree."""
+    graphs = graphs.written()
     points = persistence.vertex_diagram(graphs, signatures.degree(graphs))
     top = F.broadcast(signatures.degree(graphs).agg(F.greatest(F.max("weight"), F.lit(1)).cast("double").alias("top")))
     return points.join(top).select("graph_id", "dim", (F.col("birth") / F.col("top")).alias("birth"), (F.col("death") / F.col("top")).alias("death"))
@@ -109,7 +128,6 @@ GRAPH_VECTORS = {
 RAW_VECTORS = {"signature-layers"}
 
 
-
 def features_of(graphs: GraphSet, kernel: str | None = None, vector: str | None = None) -> DataFrame:
     """graph_id, feature, n of the named kernel's or vector's feature map; one of both must be given."""
     if bool(kernel) == bool(vector):
