@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 from graphloom.llm import language_mixture as lm
-from graphloom.llm.line_runs import dedup_lines
+from graphloom.llm.line_runs import dedup_lines, repeated_runs
 from graphloom.llm.trie_bpe import encode_documents
 
 SMALL = "/root/testdata/sf0.001"
@@ -54,3 +54,13 @@ def test_every_stage_takes_odd_rows(spark):
         elif name == "benchmark decontamination":
             assert (53, "long " * 60_000) in kept and (51, "") in kept
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() == len(rows)
+
+
+def test_maximal_runs(spark):
+    long = [f"line {i} with a few words" for i in range(6)]
+    rows = [(1, "\n".join(long)), (2, "\n".join(["own", *long[1:3], "", *long[3:5], "own too", long[0]])), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(tuple(r) for r in repeated_runs(docs).collect())
+    assert found == [(2, 1, 5, 4, 24)]
+    assert sorted(tuple(r) for r in repeated_runs(docs, min_docs=2).collect()) == [(2, 1, 5, 4, 24), (2, 7, 7, 1, 6)]
+    assert repeated_runs(docs.limit(0)).count() == 0
