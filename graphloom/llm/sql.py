@@ -79,7 +79,7 @@ WEIGHTED_HASH_TREE = f"""
 WITH {_descent_sql('now', regular_topology())},
 {_descent_sql('later', with_new_shard(regular_topology()))},{_CRC}
 SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'key' AS law, now.shard AS shard,
-       ROW_NUMBER() OVER (PARTITION BY now.shard ORDER BY CAST('0x' || SUBSTR(MD5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 1024, doc_id, text_crc32, size) - 1 AS slot, later.shard AS grown_shard
+       ROW_NUMBER() OVER (PARTITION BY now.shard ORDER BY CAST('0x' || SUBSTR(MD5(doc_id || '|' || text_crc32), 1, 8) AS BIGINT) % 1024, doc_id, text_crc32, size) - 1 AS slot, later.shard AS grown_shard
 FROM crc JOIN now USING (doc_id) JOIN later USING (doc_id)"""
 
 ORACLE_SQL = {

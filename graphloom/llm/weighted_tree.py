@@ -96,7 +96,7 @@ def assign_shards(
     """doc_id, size, text_crc32, shard, slot and grown_shard of each row of ``docs``.
 
     A slot is the row's place in its shard, from 0 without gaps. Rows are numbered within
-    ``slot_buckets`` hash buckets of each shard and offset by the counts of the buckets before, so no
+    ``slot_buckets`` hash buckets (of id and text) of each shard and offset by the counts of the buckets before, so no
     task ever holds a whole shard; the broadcast offsets have shards x slot_buckets rows at most.
 
     Null text: size 1, crc32 of the empty text. Null doc_id: one key of its own, all such rows in one
@@ -107,13 +107,14 @@ def assign_shards(
     grown = with_new_shard(topology) if grown is None else grown
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     text = whole_text(F.col("text"))
+    crc = F.crc32(text.cast("binary"))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
+        crc.alias("text_crc32"),
         shard_of(key, topology).alias("shard"),
         shard_of(key, grown).alias("grown_shard"),
-        (F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long") % slot_buckets).cast("int").alias("bucket"),
+        (F.conv(F.substring(F.md5(F.concat_ws("|", key, crc).cast("binary")), 1, 8), 16, 10).cast("long") % slot_buckets).cast("int").alias("bucket"),
     )
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
