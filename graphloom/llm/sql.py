@@ -67,12 +67,20 @@ def _descent_sql(name: str, topology: Sequence[Shard]) -> str:
     return ",\n".join([*found, f"{name} AS (SELECT doc_id, CAST(STRING_SPLIT(node, '/')[-1] AS INT) AS shard FROM {name}_3)"])
 
 
-#: crc32 over the bytes by its table; the table by eight steps for each byte.
-_CRC = """
+#: The table of crc32 by eight steps for each byte.
+_CRC_TABLE = """
 tab AS (SELECT LIST(c ORDER BY b) AS tab FROM (SELECT b, LIST_REDUCE(RANGE(8), lambda c, k: CASE WHEN c % 2 = 1 THEN XOR(c >> 1, 3988292384) ELSE c >> 1 END, b) AS c
-        FROM (SELECT CAST(UNNEST(RANGE(256)) AS BIGINT) AS b))),
-crc AS (SELECT doc_id, XOR(LIST_REDUCE(LIST_TRANSFORM(REGEXP_EXTRACT_ALL(HEX(ENCODE(COALESCE(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)),
-               lambda c, b: XOR(c >> 8, tab[(XOR(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS text_crc32, OCTET_LENGTH(ENCODE(COALESCE(text, ''))) + 1 AS size
+        FROM (SELECT CAST(UNNEST(RANGE(256)) AS BIGINT) AS b)))"""
+
+
+def _crc32(text: str) -> str:
+    """crc32 over the bytes of a text, by the table ``tab``."""
+    bytes_ = f"LIST_TRANSFORM(REGEXP_EXTRACT_ALL(HEX(ENCODE({text})), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+    return f"XOR(LIST_REDUCE({bytes_}, lambda c, b: XOR(c >> 8, tab[(XOR(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+_CRC = f"""{_CRC_TABLE},
+crc AS (SELECT doc_id, {_crc32("COALESCE(text, '')")} AS text_crc32, OCTET_LENGTH(ENCODE(COALESCE(text, ''))) + 1 AS size
         FROM documents CROSS JOIN tab)"""
 
 WEIGHTED_HASH_TREE = f"""
@@ -82,9 +90,66 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'key' AS law, now.shard
        ROW_NUMBER() OVER (PARTITION BY now.shard ORDER BY CAST('0x' || SUBSTR(MD5(doc_id || '|' || text_crc32), 1, 8) AS BIGINT) % 1024, doc_id, text_crc32, size) - 1 AS slot, later.shard AS grown_shard
 FROM crc JOIN now USING (doc_id) JOIN later USING (doc_id)"""
 
+#: All prefixes of all rebuilt conversations; what lies below a node is found along its smallest conversations.
+PREFIX_TRIE = f"""
+WITH {_CRC_TABLE},
+own AS (SELECT conv_id AS c, COALESCE(role, '') AS role, COALESCE(text, '') AS text,
+               SHA256(CAST(OCTET_LENGTH(ENCODE(COALESCE(role, ''))) AS VARCHAR) || ':' || COALESCE(role, '') || COALESCE(text, '')) AS k, turn FROM conversations WHERE conv_id IS NOT NULL),
+placed AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, k) AS i FROM own),
+conv AS (SELECT c, c - c % 100 AS head, {_crc32("CAST(c AS VARCHAR)")} % 6 AS h FROM (SELECT DISTINCT c FROM own) CROSS JOIN tab),
+both_ AS (SELECT conv.c, 0 AS part, i, k, text FROM conv JOIN placed ON placed.c = head AND i <= h
+          UNION ALL SELECT conv.c, 1, i, k, text FROM conv JOIN placed ON placed.c = conv.c AND i > h),
+turns AS (SELECT c, ROW_NUMBER() OVER (PARTITION BY c ORDER BY part, i) AS d, k, LENGTH(text) AS size FROM both_),
+pre AS (SELECT c, d, size, STRING_AGG(k, '') OVER (PARTITION BY c ORDER BY d) AS p, d = MAX(d) OVER (PARTITION BY c) AS ended FROM turns
+        UNION ALL SELECT c, 0, 0, '', c NOT IN (SELECT c FROM turns) FROM conv),
+node AS (SELECT d, p, MIN(c) AS c, COUNT(*) AS n, MAX(size) AS size, COALESCE(STRING_AGG(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ended), '') AS ends FROM pre GROUP BY 1, 2),
+kids AS (SELECT d - 1 AS d, SUBSTR(p, 1, 64 * (d - 1)) AS p, COUNT(*) AS n_children FROM node WHERE d > 0 GROUP BY 1, 2),
+full_ AS (SELECT node.*, COALESCE(n_children, 0) AS n_children FROM node LEFT JOIN kids USING (d, p)),
+below AS (SELECT pre.d, pre.p, COUNT(*) FILTER (WHERE n_children = 0) AS n_leaves, SUM((n - 1) * f.size) AS saved FROM full_ f JOIN pre ON pre.c = f.c AND pre.d <= f.d GROUP BY 1, 2)
+SELECT f.c AS conv_id, f.d AS depth, up.c AS parent_conv_id, f.n AS n_convs, f.n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, SHA256(f.ends) AS ends_sha256
+FROM full_ f JOIN below USING (d, p) LEFT JOIN node up ON up.d = f.d - 1 AND up.p = SUBSTR(f.p, 1, 64 * (f.d - 1))"""
+
+#: The level that fills sources by rising 3 x size / weight, then all finish times in order.
+FAIR_QUEUE = f"""
+WITH docs AS (SELECT ROW_NUMBER() OVER () AS id, doc_id, source, LEN(REGEXP_EXTRACT_ALL(COALESCE(text, ''), {WORD})) AS size,
+                     CAST('0x' || SUBSTR(MD5(COALESCE(CAST(doc_id AS VARCHAR), '') || '|' || MD5(COALESCE(text, ''))), 1, 15) AS BIGINT) AS place FROM documents),
+src AS (SELECT source, number, S, [5, 2, 1][number % 3 + 1] AS w FROM
+        (SELECT source, CAST(SUM(size) AS BIGINT) AS S, ROW_NUMBER() OVER (ORDER BY source NULLS LAST) - 1 AS number FROM docs GROUP BY source)),
+steps AS (SELECT 3 * S / w AS full_at, number, (SELECT SUM(S) FROM src) - COALESCE(SUM(3 * S) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+                 SUM(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM src WINDOW o AS (ORDER BY 3 * S / w, number)),
+lvl AS (SELECT FIRST(CAST(rest AS DOUBLE) / CAST(weights AS DOUBLE) ORDER BY full_at, number) FILTER (WHERE CAST(rest AS DOUBLE) / CAST(weights AS DOUBLE) <= full_at) AS l FROM steps),
+goal AS (SELECT *, CASE WHEN l IS NULL OR w * l > 3 * S THEN CAST(3 * S AS DOUBLE) ELSE w * l END AS target FROM src CROSS JOIN lvl),
+waits AS (SELECT id, doc_id, size, number, S, target, SUM(size) OVER (PARTITION BY number ORDER BY place, doc_id NULLS FIRST, size, id) AS words
+          FROM docs JOIN goal ON goal.source IS NOT DISTINCT FROM docs.source),
+queue AS (SELECT id, size, number, words + p * S AS ends, CAST(words + p * S AS DOUBLE) / target AS finish FROM waits, UNNEST(RANGE(3)) t(p) WHERE size > 0),
+served AS (SELECT id, size, SUM(size) OVER (ORDER BY finish, number, ends) AS s FROM queue),
+got AS (SELECT id, SUM(size) AS taken FROM served WHERE s <= (SELECT SUM(S) FROM src) GROUP BY 1)
+SELECT doc_id, size, S AS source_size, target, CAST(COALESCE(taken, 0) AS BIGINT) AS taken FROM waits LEFT JOIN got USING (id)"""
+
+#: Words that one deletion makes equal, or that are what a deletion leaves.
+SPELLING_TRIE = f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (SELECT doc_id, TRANSLATE(run, '{UPPER}', '{LOWER}') AS run, COUNT(*) AS n FROM
+         (SELECT doc_id, UNNEST(REGEXP_EXTRACT_ALL(COALESCE(text, ''), '[A-Za-zÀ-ÿ]+')) AS run FROM documents) WHERE LENGTH(run) >= 7 GROUP BY 1, 2),
+hashed AS (SELECT run, n, {_crc32("COALESCE(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h FROM runs CROSS JOIN tab),
+words AS MATERIALIZED (SELECT word, CAST(SUM(n) AS BIGINT) AS n FROM
+          (SELECT n, CASE WHEN h % 31 = 0 THEN SUBSTR(run, 1, h % LENGTH(run)) || SUBSTR(run, h % LENGTH(run) + 2) ELSE run END AS word FROM hashed)
+          WHERE LENGTH(word) >= 7 GROUP BY 1 HAVING SUM(n) >= 2),
+cut AS MATERIALIZED (SELECT word, n, i, SUBSTR(word, 1, i - 1) || SUBSTR(word, i + 1) AS rest FROM words, UNNEST(RANGE(1, LENGTH(word) + 1)) t(i)),
+pair AS (SELECT a.word, b.word AS near, b.n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+         UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON b.word = a.rest UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON b.word = a.rest),
+best AS (SELECT word, COUNT(*) AS n_near, MIN(ROW(-n, near)) AS b FROM pair GROUP BY 1),
+found AS (SELECT words.word, words.n, COALESCE(n_near, 0) AS n_near, CASE WHEN -b[1] >= 10 * words.n THEN b[2] END AS form, CASE WHEN -b[1] >= 10 * words.n THEN -b[1] END AS form_n
+          FROM words LEFT JOIN best USING (word)),
+way AS (SELECT word, word AS root, 0 AS k FROM words UNION ALL SELECT way.word, form, k + 1 FROM way JOIN found ON found.word = way.root WHERE form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM found JOIN (SELECT word, ARG_MAX(root, k) AS root FROM way GROUP BY 1) USING (word)"""
+
 ORACLE_SQL = {
     "op3_weighted_hash_tree": WEIGHTED_HASH_TREE,
     "op5_count_rtree": COUNT_RTREE,
     "op6_repeat_suffixes": REPEAT_SUFFIXES,
     "op7_line_runs": LINE_RUNS,
+    "op11_prefix_trie": PREFIX_TRIE,
+    "op12_fair_queue": FAIR_QUEUE,
+    "op13_spelling_trie": SPELLING_TRIE,
 }
