@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import signatures
-from graphloom.functions.tables import dense_ids, portable_hash, portable_hash_sql
-from graphloom.operators import evaluate, gcn, kernels, persistence, vectorize, walks, wl
+from graphloom.functions.tables import dense_ids, materialise, portable_hash, portable_hash_sql
+from graphloom.operators import evaluate, gcn, kernels, persistence, spanning, vectorize, walks, wl
 from graphloom.plans import experiment
 from graphloom.sources.collections import (
     CO_PURCHASE_SQL,
@@ -488,6 +488,38 @@ def rips_h0(spark, d):
     return _rips(spark, d).where("dim = 0").groupBy("graph_id", "birth", "death").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Components at each weight: suppliers that customers connect, and what they reach; the largest vertex of each.
+_LARGE_H0 = f"""
+WITH RECURSIVE {CUSTOMER_SUPPLIER_SQL},
+cuts AS (SELECT DISTINCT weight AS t FROM gb),
+link AS (SELECT DISTINCT t, a.v AS x, b.v AS y FROM cuts JOIN gb a ON a.weight <= t JOIN gb b ON b.u = a.u AND b.weight <= t),
+reach AS (SELECT DISTINCT t, x, x AS y FROM link UNION SELECT r.t, r.x, l.y FROM reach r JOIN link l ON l.t = r.t AND l.x = r.y),
+high AS (SELECT t, v AS s, MAX(u) AS top FROM cuts JOIN gb ON weight <= t GROUP BY 1, 2),
+tops AS (SELECT r.t, r.x AS v, MAX(h.top) AS top FROM reach r JOIN high h ON h.t = r.t AND h.s = r.y GROUP BY 1, 2),
+each_ AS (SELECT t, v, top FROM tops UNION ALL SELECT DISTINCT tops.t, u, top FROM tops JOIN gb ON gb.v = tops.v AND weight <= tops.t),
+ids AS (SELECT DISTINCT u AS v FROM gb UNION SELECT v FROM gb),
+pt AS (SELECT ids.v AS creator, COUNT(*) FILTER (WHERE top > ids.v) = 0 AS essential, COALESCE(MIN(t) FILTER (WHERE top > ids.v), (SELECT MAX(weight) FROM gb)) AS death
+       FROM ids LEFT JOIN each_ ON each_.v = ids.v GROUP BY 1)"""
+
+
+def _large_h0(spark, d):
+    e = materialise(dense_ids(customer_supplier_edges(spark, d), ["u", "v"], "e_ord"))
+    return spanning.large_h0(e.select("v").limit(0), e)
+
+
+@query(f"{_LARGE_H0} SELECT creator, death, essential FROM pt")
+def large_graph_h0(spark, d):
+    """H0 of the one graph of all customers and suppliers, by spanning forest and merge tree."""
+    points = _large_h0(spark, d).where("kind <> 'cycle'")
+    return points.select(F.col("a").alias("creator"), F.col("value").alias("death"), (F.col("kind") == "essential").alias("essential"))
+
+
+@query(f"{_LARGE_H0} SELECT CAST(SUM(CAST(essential AS INT)) AS BIGINT) AS betti0, CAST((SELECT COUNT(*) FROM gb) - COUNT(*) + SUM(CAST(essential AS INT)) AS BIGINT) AS betti1 FROM pt")
+def large_graph_betti(spark, d):
+    count = lambda kind: F.sum((F.col("kind") == kind).cast("long"))
+    return _large_h0(spark, d).agg(count("essential").alias("betti0"), count("cycle").alias("betti1"))
+
+
 @query()
 def rips_h1(spark, d):
     return _rips(spark, d).where("dim = 1").groupBy("graph_id", "birth", "death").agg(F.count(F.lit(1)).alias("n"))
