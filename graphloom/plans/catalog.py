@@ -694,8 +694,8 @@ def n2v_long_walks(spark, d):
 def n2v_embeddings(spark, d):
     edges = customer_supplier_edges(spark, d).withColumn("graph_id", F.lit(0).cast("long"))
     arcs = walks.directed(edges)
-    found = walks.walks(arcs.select("graph_id", F.col("src").alias("v")).distinct(), arcs, WALK_LENGTH, WALKS)
-    return walks.embed(walks.paths(found), DIMENSIONS)
+    vertices = arcs.select("graph_id", F.col("src").alias("v")).distinct()
+    return walks.Node2Vec(WALK_LENGTH, WALKS, size=DIMENSIONS).fit(vertices, arcs)
 
 
 # graph convolution
