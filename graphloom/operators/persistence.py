@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.model import GraphSet
 from graphloom.operators import wl
+from graphloom.operators.matching import bottleneck
 
 
 class UnionFind:
@@ -362,41 +362,6 @@ def rips_diagram(graphs: GraphSet, weighted: DataFrame) -> DataFrame:
     return rows.repartition("graph_id").sortWithinPartitions("graph_id").mapInArrow(solve, "graph_id long, dim int, birth double, death double")
 
 
-def bottleneck(a: list[tuple[float, float]], b: list[tuple[float, float]]) -> float:
-    """The bottleneck distance of two finite diagrams: the least radius at which a perfect matching of
-    points and diagonal projections exists."""
-    n, m = len(a), len(b)
-    if not n + m:
-        return 0.0
-    cost = np.zeros((n + m, n + m))
-    for i, (x, y) in enumerate(a):
-        cost[i, :m] = [max(abs(x - u), abs(y - v)) for u, v in b]
-        cost[i, m:] = abs(y - x) / 2
-    for j, (u, v) in enumerate(b):
-        cost[n:, j] = abs(v - u) / 2
-
-    def matched(radius: float) -> bool:
-        mate: dict[int, int] = {}
-
-        def place(i: int, seen: set) -> bool:
-            for j in np.flatnonzero(cost[i] <= radius).tolist():
-                if j not in seen:
-                    seen.add(j)
-                    if j not in mate or place(mate[j], seen):
-                        mate[j] = i
-                        return True
-            return False
-
-        return all(place(i, set()) for i in range(n + m))
-
-    steps = np.unique(cost)
-    low, high = 0, len(steps) - 1
-    while low < high:
-        mid = (low + high) // 2
-        low, high = (low, mid) if matched(steps[mid]) else (mid + 1, high)
-    return float(steps[low])
-
-
 def bottleneck_distances(points: DataFrame, pairs: DataFrame) -> DataFrame:
     """g1, g2, distance of the finite points (graph_id, birth, death) for each pair (g1, g2)."""
     diagrams = points.where("death is not null").groupBy("graph_id").agg(F.sort_array(F.collect_list(F.array("birth", "death"))).alias("d"))
