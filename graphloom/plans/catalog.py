@@ -5,12 +5,16 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from graphloom.functions import signatures
 from graphloom.functions.tables import dense_ids, materialise, portable_hash, portable_hash_sql
-from graphloom.operators import evaluate, gcn, kernels, persistence, spanning, vectorize, walks, wl
+from graphloom.operators import evaluate, gcn, kernels, persistence, spanning, stepping, vectorize, walks, wl
+from graphloom.operators import gcn_training as gcn_training_
+from graphloom.operators.kernel_svm import KernelSVM
 from graphloom.plans import experiment
 from graphloom.sources.collections import (
     CO_PURCHASE_SQL,
@@ -631,6 +635,19 @@ def wl_gram(spark, d):
     return _whole_gram(kernels.wl_features(kept_graphs(spark, d), 5))
 
 
+@query()
+def svm_predictions(spark, d):
+    """Segments by a kernel machine on the whole Weisfeiler-Lehman matrix: learnt from three quarters of the
+    graphs, told for all."""
+    graphs = co_purchase_graphs(spark, d)
+    kernel = materialise(wl_gram(spark, d))
+    y = F.dense_rank().over(Window.orderBy("y")) - 1
+    classes = F.broadcast(graphs.graphs.select("y").distinct().where("y is not null").withColumn("cls", y))
+    rows = materialise(evaluate.hash_split(graphs.graphs.join(classes, "y").select(F.col("graph_id").alias("g"), F.col("cls").alias("y")), "g", 0.25))
+    model = KernelSVM(rounds=10).fit(kernel, rows.where("part = 'train'"))
+    return rows.join(model.predict(kernel, rows), "g").select(F.col("g").alias("graph_id"), "part", "y", "prediction")
+
+
 # walks
 
 
@@ -740,6 +757,45 @@ def gcn_forward(spark, d):
     return gcn.forward(x, _adjacency(g), [(_weight(spark, 5, 4, 1), None), (_weight(spark, 4, 5, 2), None)]).withColumn("value", F.round("value", 6))
 
 
+_GCN_BACK = f"""
+x2 AS (SELECT graph_id, v, h, SUM(GREATEST(value, 0) * ({portable_hash_sql(2, 'f', 'h')} - 0.5)) AS z FROM y1 CROSS JOIN RANGE(5) t(h) GROUP BY 1, 2, 3),
+y2 AS (SELECT n.graph_id, n.i AS v, h AS f, SUM(n.a * x.z) AS value FROM na n JOIN x2 x ON x.graph_id = n.graph_id AND x.v = n.j GROUP BY 1, 2, 3),
+sm AS (SELECT graph_id, v, f, EXP(value) / SUM(EXP(value)) OVER (PARTITION BY graph_id, v) AS p FROM y2),
+d2 AS (SELECT graph_id, v, f, (p - CAST(f = v % 5 AS INT)) / (SELECT COUNT(*) FROM vertices) AS s FROM sm),
+g2 AS (SELECT n.graph_id, n.j AS v, f, SUM(n.a * s) AS s FROM na n JOIN d2 ON d2.graph_id = n.graph_id AND d2.v = n.i GROUP BY 1, 2, 3),
+d1 AS (SELECT y1.graph_id, y1.v, y1.f, SUM(CASE WHEN y1.value > 0 THEN s * ({portable_hash_sql(2, 'y1.f', 'g2.f')} - 0.5) ELSE 0 END) AS s
+       FROM y1 JOIN g2 ON g2.graph_id = y1.graph_id AND g2.v = y1.v GROUP BY 1, 2, 3),
+g1 AS (SELECT n.graph_id, n.j AS v, f, SUM(n.a * s) AS s FROM na n JOIN d1 ON d1.graph_id = n.graph_id AND d1.v = n.i GROUP BY 1, 2, 3),
+sl AS (SELECT 1 AS layer, raw_label AS f, g1.f AS h, SUM(s) AS slope FROM g1 JOIN vertices x ON x.graph_id = g1.graph_id AND x.v = g1.v GROUP BY 2, 3
+       UNION ALL SELECT 2, y1.f, g2.f, SUM(GREATEST(y1.value, 0) * s) FROM y1 JOIN g2 ON g2.graph_id = y1.graph_id AND g2.v = y1.v GROUP BY 2, 3)"""
+
+
+def _gcn_training(spark, d):
+    """A network over the labels that learns the class v % 5, the weights of gcn_forward at first."""
+    g = kept_graphs(spark, d)
+    x = g.vertices.select("graph_id", "v", F.col("raw_label").alias("f"), F.lit(1.0).alias("value"))
+    weights = lambda seed, rows, columns: stepping._hash(seed, *np.indices((rows, columns))) - 0.5
+    params = [weights(1, 5, 4), np.zeros(4), weights(2, 4, 5), np.zeros(5)]
+    truth = g.vertices.select("graph_id", "v", (F.col("v") % 5).alias("y"))
+    return gcn_training_.Training(x, materialise(_adjacency(g)), params), truth
+
+
+@query(graphs_sql(*_GCN, _GCN_BACK, select="SELECT layer, f, h, ROUND(slope, 6) AS slope FROM sl"))
+def gcn_gradient(spark, d):
+    """The slopes of the loss by both layers' weights."""
+    model, truth = _gcn_training(spark, d)
+    _, (w1, _, w2, _) = model.gradients(truth)
+    found = [(layer, f, h, float(w[f, h])) for layer, w in ((1, w1), (2, w2)) for f in range(w.shape[0]) for h in range(w.shape[1])]
+    return spark.createDataFrame(found, "layer int, f long, h long, slope double").withColumn("slope", F.round("slope", 6) + 0.0)
+
+
+@query()
+def gcn_training(spark, d):
+    """Each vertex's class after three steps of adam."""
+    model, truth = _gcn_training(spark, d)
+    return gcn.predict(model.fit(truth, 3, gcn_training_.Schedule("adam", 0.01, 5e-4)).scores())
+
+
 # metrics
 
 METRICS_SQL = """
