@@ -46,6 +46,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store holds it."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes at its end the tables that ``materialise`` writes within: write or collect a result inside.
@@ -57,10 +63,8 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
         for path in _written.pop():
-            there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            there.getFileSystem(hadoop).delete(there, True)
+            delete(spark, path)
 
 
 def dense_ids(rows: DataFrame, order: list[str], name: str) -> DataFrame:
