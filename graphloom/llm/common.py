@@ -11,10 +11,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions.tables import materialise, scratch, shared_dir
+from graphloom.functions.tables import delete, materialise, scratch, shared_dir
 
 __all__ = [
-    "ODD", "WORD_SPACE", "bucket_of", "byte_slices", "hashed_words", "materialise", "mixed", "scratch", "shared_dir", "slices", "table", "whole_text", "words_of",
+    "ODD", "WORD_SPACE", "bucket_of", "byte_slices", "delete", "hashed_words", "materialise", "mixed", "scratch", "shared_dir", "slices", "table", "whole_text", "words_of",
 ]
 
 #: The ASCII white space that separates words, space and \x09-\x0D.

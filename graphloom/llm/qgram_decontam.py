@@ -224,11 +224,17 @@ def find_items(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.05,
     counts. Very long texts are searched whole, by segments. An empty benchmark or table gives no rows.
     Other columns are ignored.
     """
+    return _matches(docs, benchmark, edit_share, block_bytes).drop("text_key")
+
+
+def _matches(docs: DataFrame, benchmark: DataFrame, edit_share: float, block_bytes: int = 32_000_000) -> DataFrame:
+    """The same with text_key, a hash of the row's text, which tells rows of one doc_id apart."""
     spark = docs.sparkSession
     named = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = total // block_bytes + 1
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(F.col("text")).alias("text"))
+    text = whole_text(F.col("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
     found = []
     for block in range(blocks):
         part = named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
@@ -238,22 +244,23 @@ def find_items(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.05,
             items = shared.value
             for batch in batches:
                 out = []
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                for doc_id, text, key in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "text_key"))):
                     for i, start, end, edits in apart(matches(items, text)):
-                        out.append((doc_id, items.ids[i], start, end, edits))
-                columns = [*zip(*out)] or [[]] * 5
-                kinds = [pa.int64()] * 4 + [pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "item_id", "start", "end", "edits"])
+                        out.append((doc_id, items.ids[i], start, end, edits, key))
+                columns = [*zip(*out)] or [[]] * 6
+                kinds = [pa.int64()] * 4 + [pa.int32(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "item_id", "start", "end", "edits", "text_key"])
 
-        found.append(rows.mapInArrow(search, MATCH))
+        found.append(rows.mapInArrow(search, f"{MATCH}, text_key long"))
     return reduce(DataFrame.union, found)
 
 
 def without_items(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.05) -> DataFrame:
-    """The rows of ``docs`` in which no item is found, with all columns. Rows that share a doc_id (null
-    too) go together."""
-    hit = find_items(docs, benchmark, edit_share).select(F.col("doc_id").alias("hit_doc")).distinct()
-    return docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(hit["hit_doc"]), "left_anti")
+    """The rows of ``docs`` in which no item is found, with all columns. A row goes by its own text: another
+    row of the same doc_id (null too) stays if its text holds no item."""
+    hit = _matches(docs, benchmark, edit_share).select(F.col("doc_id").alias("hit_doc"), F.col("text_key").alias("hit_text")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(hit["hit_doc"]) & (F.xxhash64(whole_text(docs["text"])) == hit["hit_text"])
+    return docs.join(hit, same, "left_anti")
 
 
 def op9_qgram_decontam(spark, sf_dir: str) -> DataFrame:
