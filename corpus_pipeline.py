@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import scratch, shared_dir, table
+from graphloom.llm.common import delete, scratch, shared_dir, table
 from graphloom.llm.count_rtree import one_of_each
 from graphloom.llm.line_crf import keep_documents, train_field
 from graphloom.llm.line_runs import dedup_lines
@@ -30,20 +30,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of line runs; those that lose every line with a word go, and those that
+    """Documents without later copies of line runs of ten words, or of shorter ones that two documents hold; those that lose every line with a word go, and those that
     have none. Of equal runs the one of smallest doc_id stays (null first), then of smallest text hash and line;
     repeated rows are one document and stay together."""
-    return dedup_lines(docs).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return dedup_lines(docs, min_docs=2).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that of smallest doc_id; rows of null doc_id go where a
-    row with an id stays, else that of smallest text hash stays. Rows of the same doc_id and group stay together."""
+    row with an id stays, else that of smallest text hash stays. Rows of the same doc_id and group stay together, but
+    of rows of the same doc_id and text one stays."""
     return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item. Rows of the same doc_id (null too) stay or go together."""
+    """Documents that hold no benchmark item; rows of the same doc_id stay or go by their own texts."""
     return without_items(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -67,7 +68,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, from ``documents`` to token ids."""
+    """All stages, from ``documents`` to token ids. What a stage wrote is deleted once the next has read it; only
+    the last one's input stays, which the result reads."""
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
@@ -75,5 +77,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return stage(spark, docs, sf_dir)
         with scratch(spark):
             stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+        if i:
+            delete(spark, f"{folder}/{i - 1}")
         docs = spark.read.parquet(f"{folder}/{i}")
     return docs
