@@ -15,7 +15,7 @@ from graphloom.functions.tables import dense_ids, materialise, portable_hash, po
 from graphloom.operators import evaluate, gcn, kernels, persistence, spanning, stepping, vectorize, walks, wl
 from graphloom.operators import gcn_training as gcn_training_
 from graphloom.operators.kernel_svm import KernelSVM
-from graphloom.plans import experiment
+from graphloom.plans import configs, experiment
 from graphloom.sources.collections import (
     CO_PURCHASE_SQL,
     CUSTOMER_SUPPLIER_SQL,
@@ -835,9 +835,20 @@ def subset_accuracy(spark, d):
 VARIABLES = {"dataset": ["gc"], "graph_vector": ["wl-subtree", "persistent-wl"]}
 
 
-@query("SELECT * FROM (VALUES ('gc', 'wl-subtree'), ('gc', 'persistent-wl')) t(dataset, graph_vector)")
+@query("SELECT dataset, graph_vector, COUNT(*) AS n_graphs, COUNT(DISTINCT c_mktsegment) AS n_classes FROM customer CROSS JOIN (VALUES ('gc', 'wl-subtree'), ('gc', 'persistent-wl')) t(dataset, graph_vector) GROUP BY 1, 2")
 def experiment_grid(spark, d):
-    return experiment.grid_table(spark, VARIABLES)
+    """The report's experiments with the size of the collection that each runs over."""
+    size = co_purchase_graphs(spark, d).graphs.agg(F.count(F.lit(1)).alias("n_graphs"), F.countDistinct("y").alias("n_classes"))
+    return experiment.grid_table(spark, VARIABLES).join(F.broadcast(size.withColumn("dataset", F.lit("gc"))), "dataset")
+
+
+@query(graphs_sql("dg AS (SELECT x.graph_id, x.v, COUNT(a.nbr)::DOUBLE AS w FROM vertices x LEFT JOIN adj a ON a.graph_id = x.graph_id AND a.v = x.v GROUP BY 1, 2)",
+       "sp AS (SELECT graph_id, MIN(w) AS lo, MAX(w) AS hi FROM dg GROUP BY 1)",
+       select="SELECT graph_id, v AS creator, ROUND(CASE WHEN hi > lo THEN (w - lo) / (hi - lo) ELSE 0 END, 9) AS birth FROM dg JOIN sp USING (graph_id)"))
+def scaled_diagram(spark, d):
+    """Births of dimension 0 in the degree filtration's diagrams, scaled to [0, 1] in each graph."""
+    points = configs.diagrams(kept_graphs(spark, d), {"graph_filtration": "vertex_degree", "normalize": True})
+    return points.where("dim = 0").select("graph_id", "creator", F.round("birth", 9).alias("birth"))
 
 
 @query()
