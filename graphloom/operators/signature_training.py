@@ -11,7 +11,7 @@ reach the driver.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -101,6 +101,12 @@ def _summed(rows: DataFrame) -> dict[str, np.ndarray]:
     return total
 
 
+def _shaped(flat: np.ndarray, like: list[np.ndarray]) -> list[np.ndarray]:
+    """A flat sum as arrays of the sizes of ``like``."""
+    cuts = np.cumsum([x.size for x in like])[:-1]
+    return [x.reshape(y.shape) for x, y in zip(np.split(flat, cuts), like)]
+
+
 def _layers(widths: list[int], dropped: set[int] = frozenset()) -> list[tuple]:
     """Linear, normalised and cut at 0 from width to width; the last without a cut."""
     found: list[tuple] = []
@@ -126,7 +132,7 @@ class Shape:
 
 
 def initial(shape: Shape, classes: int, seed: int = 1) -> tuple[dict, list[np.ndarray], list[np.ndarray]]:
-    """Elements by part, the network's weights, and its running means and variances.
+    """Elements by part, the network's weights, and the means and variances it divides by.
 
     Centres are uniform in the unit square (above its diagonal, then turned as the points are, for two axes),
     sharpness is 3; weights are uniform within 1 / sqrt(a layer's input)."""
@@ -138,23 +144,23 @@ def initial(shape: Shape, classes: int, seed: int = 1) -> tuple[dict, list[np.nd
             x, y = (c[:, 0] + c[:, 1]) / np.sqrt(2), np.maximum(c[:, 1] - c[:, 0], 1e-9) / np.sqrt(2)
             c = np.column_stack([x, np.where(y > 0.1, y, np.log(y / 0.1) + 0.1)])
         elements[name] = (c, np.full((n, axes), 3.0))
-    params, running = [], []
+    params, means = [], []
     for layer in (x for stack in shape.stacks(classes) for x in stack):
         if layer[0] == "linear":
             bound = 1 / np.sqrt(layer[1])
             params += [rng.uniform(-bound, bound, layer[1:]), rng.uniform(-bound, bound, layer[2])]
         elif layer[0] == "norm":
             params += [np.ones(layer[1]), np.zeros(layer[1])]
-            running += [np.zeros(layer[1]), np.ones(layer[1])]
-    return elements, params, running
+            means += [np.zeros(layer[1]), np.ones(layer[1])]
+    return elements, params, means
 
 
 class _Pass:
     """One pass of a group of graphs through the stacks; ``rng`` None is the pass without training."""
 
-    def __init__(self, shape: Shape, classes: int, params: list, running: list, rng: np.random.Generator | None):
+    def __init__(self, shape: Shape, classes: int, params: list, means: list, rng: np.random.Generator | None):
         self.stacks, self.dropout, self.rng = shape.stacks(classes), shape.dropout, rng
-        self.params, self.running = iter(params), iter(running)
+        self.params, self.means = iter(params), iter(means)
         self.seen: list[np.ndarray] = []  # batch means and variances, in order
 
     def forward(self, inputs: list[np.ndarray]) -> np.ndarray:
@@ -172,7 +178,7 @@ class _Pass:
                 kept.append((x, w))
                 x = x @ w + b
             elif kind == "norm":
-                g, b, mean, var = next(self.params), next(self.params), next(self.running), next(self.running)
+                g, b, mean, var = next(self.params), next(self.params), next(self.means), next(self.means)
                 if self.rng is not None:
                     mean, var = x.mean(0), x.var(0)
                     self.seen += [mean, var * len(x) / max(1, len(x) - 1)]
@@ -228,18 +234,20 @@ class SignatureNetwork:
     """Learned structure elements, a first stage for each part, and a trunk, over chunks of points.
 
     ``group`` is the number of graphs that batch normalisation looks at together, ``batches`` the number of
-    steps of an epoch. A fitted network can be fitted further."""
+    steps of an epoch. With ``fixed`` the elements stay as they are at first and the network alone learns. A
+    fitted network can be fitted further."""
 
     classes: int
     shape: Shape = Shape()
     group: int = 128
     batches: int = 1
     seed: int = 1
+    fixed: bool = False
     losses: list[float] = field(default_factory=list)
     state: list = field(default_factory=list)
 
     def __post_init__(self) -> None:
-        self.elements, self.params, self.running = initial(self.shape, self.classes, self.seed)
+        self.elements, self.params, self.means = initial(self.shape, self.classes, self.seed)
 
     def _sums(self, rows: DataFrame, points: DataFrame, deal: Column) -> DataFrame:
         """rows with their chunks' values beside them, those of a graph together and groups in order."""
@@ -267,22 +275,21 @@ class SignatureNetwork:
         if ids:
             yield grp, ids, ys, [np.array(x) for x in zip(*sums)]
 
-    def gradients(self, points: DataFrame, truth: DataFrame, epoch: int = 0, groups: int = 1) -> tuple[float, list[np.ndarray], list[np.ndarray]]:
+    def gradients(self, points: DataFrame, truth: DataFrame, epoch: int = 0, groups: int = 1) -> tuple[float, list[np.ndarray]]:
         """The mean of minus the log-probability of truth(graph_id, y), y from 0, one row a graph; its slopes by
-        elements and weights, as ``everything`` lists them; and the groups' average means and variances. Graphs
-        without a point count with zeros."""
-        shape, classes, params, running, seed = self.shape, self.classes, self.params, self.running, self.seed
+        elements and weights, as ``everything`` lists them. Graphs without a point count with zeros."""
+        shape, classes, params, means, seed = self.shape, self.classes, self.params, self.means, self.seed
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = None
             for grp, ids, ys, inputs in self._groups(frames):
-                net = _Pass(shape, classes, params, running, np.random.default_rng([seed, epoch, int(grp)]))
+                net = _Pass(shape, classes, params, means, np.random.default_rng([seed, epoch, int(grp)]))
                 log = _log_shares(net.forward(inputs))
                 hit = np.eye(classes)[np.asarray(ys, int)]
                 slopes, by = net.backward(np.exp(log) - hit)
                 for (name, *_), slope in zip(shape.parts, slopes):
                     yield pd.DataFrame({"graph_id": ids, "part": name, "values": [*slope]})
-                flat = np.concatenate([[-(log * hit).sum(), len(ids), 1.0], *[x.ravel() for x in by], *net.seen])
+                flat = np.concatenate([[-(log * hit).sum(), len(ids)], *[x.ravel() for x in by]])
                 total = flat if total is None else total + flat
             if total is not None:
                 yield pd.DataFrame({"graph_id": [None], "part": ["sums"], "values": [total]}).astype({"graph_id": "Int64"})
@@ -291,21 +298,13 @@ class SignatureNetwork:
         there = points.join(truth.select("graph_id"), "graph_id", "left_semi")
         found = materialise(self._sums(truth.select("graph_id", "y"), there, deal).mapInPandas(run, "graph_id long, part string, values array<double>"))
         sums = _summed(found.where("graph_id is null").select("part", "values")).get("sums")
-        everything = self.everything()
         if sums is None:
-            return 0.0, [np.zeros_like(p) for p in everything], list(running)
-        (loss, n, times), flat = sums[:3], sums[3:]
-        by_element = element_slopes(points, found.where("graph_id is not null").withColumnRenamed("values", "slope"), self.elements)
+            return 0.0, [np.zeros_like(p) for p in self.everything()]
+        (loss, n), flat = sums[:2], sums[2:]
+        none = {p: (np.zeros_like(c), np.zeros_like(s)) for p, (c, s) in self.elements.items()}
+        by_element = none if self.fixed else element_slopes(points, found.where("graph_id is not null").withColumnRenamed("values", "slope"), self.elements)
         slopes = [x / n for pair in by_element.values() for x in pair]
-        at = 0
-        for p in params:
-            slopes.append(flat[at : at + p.size].reshape(p.shape) / n)
-            at += p.size
-        means = []
-        for r in running:
-            means.append(flat[at : at + r.size] / times)
-            at += r.size
-        return loss / n, slopes, means
+        return loss / n, slopes + _shaped(flat / n, params)
 
     def everything(self) -> list[np.ndarray]:
         """All that is learned: centres and sharpness of each part, then the weights."""
@@ -320,20 +319,40 @@ class SignatureNetwork:
             batch = F.floor(portable_hash(self.seed + 1, epoch, F.col("graph_id")) * self.batches)
             for step in range(self.batches):
                 part = rows if self.batches == 1 else rows.where(batch == step)
-                loss, slopes, means = self.gradients(points, part, epoch * self.batches + step, groups)
+                loss, slopes = self.gradients(points, part, epoch * self.batches + step, groups)
                 each.append(loss)
                 schedule.step(epoch, self.everything(), slopes, self.state)
-                self.running = [0.9 * r + 0.1 * m for r, m in zip(self.running, means)]
             self.losses.append(float(np.mean(each)))
+        self.means = self._means(points, rows, groups)
         return self
 
+    def _means(self, points: DataFrame, rows: DataFrame, groups: int) -> list[np.ndarray]:
+        """Means and variances that a pass without training divides by: the groups' averages under the weights as
+        they are now. Averages kept while training lag behind weights that still move."""
+        shape, classes, params, means = replace(self.shape, dropout=0.0), self.classes, self.params, self.means
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = None
+            for _, _, _, inputs in self._groups(frames):
+                net = _Pass(shape, classes, params, means, np.random.default_rng(0))
+                net.forward(inputs)
+                flat = np.concatenate([[1.0], *net.seen])
+                total = flat if total is None else total + flat
+            if total is not None:
+                yield pd.DataFrame({"part": ["means"], "values": [total]})
+
+        deal = F.floor(portable_hash(self.seed, F.col("graph_id")) * groups).cast("int")
+        there = points.join(rows.select("graph_id"), "graph_id", "left_semi")
+        flat = _summed(materialise(self._sums(rows, there, deal).mapInPandas(run, "part string, values array<double>"))).get("means")
+        return means if flat is None else _shaped(flat[1:] / flat[0], means)
+
     def predict(self, points: DataFrame, graphs: DataFrame) -> DataFrame:
         """graph_id, prediction, score (its probability) of graphs(graph_id), those without a point too."""
-        shape, classes, params, running = self.shape, self.classes, self.params, self.running
+        shape, classes, params, means = self.shape, self.classes, self.params, self.means
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for _, ids, _, inputs in self._groups(frames):
-                log = _log_shares(_Pass(shape, classes, params, running, None).forward(inputs))
+                log = _log_shares(_Pass(shape, classes, params, means, None).forward(inputs))
                 yield pd.DataFrame({"graph_id": ids, "prediction": log.argmax(1), "score": np.exp(log.max(1))})
 
         rows = graphs.select("graph_id", F.lit(0).alias("y"))
