@@ -14,6 +14,7 @@ from graphloom.functions import signatures
 from graphloom.functions.tables import dense_ids, materialise, portable_hash, portable_hash_sql
 from graphloom.operators import evaluate, gcn, kernels, persistence, spanning, stepping, vectorize, walks, wl
 from graphloom.operators import gcn_training as gcn_training_
+from graphloom.operators import signature_training
 from graphloom.operators.kernel_svm import KernelSVM
 from graphloom.plans import configs, experiment
 from graphloom.sources.collections import (
@@ -446,6 +447,40 @@ def slayer_features(spark, d):
     return vectorize.slayer(points, spark.createDataFrame(_CENTRES, "e int, cx double, cy double")).select("graph_id", "e", rounded("value"))
 
 
+_SLOPES_SQL = """sw AS (SELECT e, birth - cx AS dx, death - cy AS dy, (graph_id % 7 + e + 1) * EXP(-3.0::DOUBLE * ((birth - cx) * (birth - cx) + (death - cy) * (death - cy))) AS w
+       FROM vp CROSS JOIN cs WHERE death IS NOT NULL)"""
+
+
+@query(graphs_sql(*_VW, _CENTRES_SQL, _SLOPES_SQL, select="""SELECT e, ROUND(SUM(6 * w * dx), 4) AS by_cx, ROUND(SUM(6 * w * dy), 4) AS by_cy,
+       ROUND(-SUM(w * dx * dx), 4) AS by_sx, ROUND(-SUM(w * dy * dy), 4) AS by_sy FROM sw GROUP BY 1""", recursive=True))
+def slayer_slopes(spark, d):
+    """The slopes by centres and sharpness of the sum over graphs of (graph_id % 7 + e + 1) x value of element e."""
+    part = F.lit("finite0").alias("part")
+    points = _label_diagram(spark, d).where("dim = 0 and death is not null").select("graph_id", part, F.col("birth").alias("x"), F.col("death").alias("y"))
+    points = materialise(signature_training.chunks(points))
+    centres = np.array([c[1:] for c in _CENTRES])
+    slope = F.transform(F.sequence(F.lit(0), F.lit(len(centres) - 1)), lambda e: (F.col("graph_id") % 7 + e + 1).cast("double"))
+    slopes = points.select("graph_id", "part").distinct().withColumn("slope", slope)
+    by_c, by_s = signature_training.element_slopes(points, slopes, {"finite0": (centres, np.full(centres.shape, 3.0))})["finite0"]
+    found = [(e, *map(float, (*by_c[e], *by_s[e]))) for e in range(len(centres))]
+    names = ["by_cx", "by_cy", "by_sx", "by_sy"]
+    return spark.createDataFrame(found, "e int, " + ", ".join(f"{c} double" for c in names)).select("e", *[F.round(c, 4).alias(c) for c in names])
+
+
+@query()
+def signature_classes(spark, d):
+    """Segments by learned structure elements over degree diagrams: three steps of adam on three quarters of the
+    graphs, told for all."""
+    graphs = kept_graphs(spark, d)
+    points = materialise(signature_training.chunks(experiment.signature_points(graphs)))
+    y = F.dense_rank().over(Window.orderBy("y")) - 1
+    classes = materialise(graphs.graphs.select("y").distinct().where("y is not null")).withColumn("cls", y)
+    rows = materialise(evaluate.hash_split(graphs.graphs.join(F.broadcast(classes), "y").select("graph_id", F.col("cls").alias("y")), "graph_id", 0.25))
+    model = signature_training.SignatureNetwork(classes.count())
+    model.fit(points, rows.where("part = 'train'"), 3, gcn_training_.Schedule("adam", 0.01))
+    return model.predict(points, rows).join(rows, "graph_id").select("graph_id", "part", "y", "prediction")
+
+
 @query(graphs_sql(*_VW, select="""SELECT graph_id, CAST(i AS INT) AS i, CAST(j AS INT) AS j, ROUND(SUM((death - birth) * EXP(-(POWER(birth - 4.0 * (i + 0.5) / 20, 2)
        + POWER(death - birth - 4.0 * (j + 0.5) / 20, 2)) / (2 * 0.5 * 0.5))), 5) AS value
        FROM vp CROSS JOIN RANGE(20) a(i) CROSS JOIN RANGE(20) b(j) WHERE death > birth GROUP BY 1, 2, 3""", recursive=True))

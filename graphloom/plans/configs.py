@@ -12,6 +12,7 @@ from graphloom.functions import signatures
 from graphloom.functions.tables import materialise
 from graphloom.model import GraphSet
 from graphloom.operators import persistence
+from graphloom.operators.gcn_training import Schedule
 from graphloom.plans import experiment
 
 try:
@@ -30,12 +31,23 @@ def read(text: str) -> dict:
     return found
 
 
+def training(train: dict) -> dict:
+    """epochs, batch_size and schedule of a config's ``train``: {num_epochs, batch_size, optimizer: {name, lr,
+    weight_decay, momentum}, lr_scheduler: {milestones, gamma}}."""
+    step, later = train.get("optimizer") or {}, train.get("lr_scheduler") or {}
+    rest = {k: float(step[k]) for k in ("weight_decay", "momentum") if k in step}
+    at = {"milestones": tuple(later.get("milestones", ())), "gamma": float(later.get("gamma", 0.1))}
+    schedule = Schedule(step.get("name", "sgd"), float(step.get("lr", 0.1)), **rest, **at)
+    return {"epochs": train.get("num_epochs", 30), "batch_size": train.get("batch_size", 128), "schedule": schedule}
+
+
 def plans(config: dict, env: str | None = None) -> tuple[list[dict], dict | None]:
     """(experiments, report) of a config's environment ``env`` (its only one by default): an experiment for each
     combination of the environment's variables, {dataset_name, graph_kernel or graph_vector, classifier,
     folds, chosen}; the report's row and col.
 
     The classifier is the last part of model.name in lower case; train.cross_validation is the share of a fold.
+    ``signature-network`` also takes train's num_epochs, batch_size, optimizer and lr_scheduler.
     """
     envs = config.get("env") or {"": {"variables": config.get("variables", {}), "report": config.get("report")}}
     if env is None and len(envs) > 1:
@@ -52,6 +64,8 @@ def plans(config: dict, env: str | None = None) -> tuple[list[dict], dict | None
             raise ValueError("cross_validation is the share of a fold, up to a half")
         made = {k: data[k] for k in ("dataset_name", "graph_kernel", "graph_vector") if data.get(k)}
         classifier = str((one.get("model") or {}).get("name", "svc")).rsplit(".", 1)[-1].lower()
+        if classifier == "signature-network":
+            made |= training(one.get("train") or {})
         found.append(made | {"classifier": classifier, "folds": round(1 / share), "chosen": one["chosen"]})
     return found, chosen.get("report")
 

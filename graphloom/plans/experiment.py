@@ -8,11 +8,14 @@ from pyspark.ml.feature import Normalizer, StringIndexer
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from graphloom.functions import signatures
 from graphloom.functions.tables import dense_ids, materialise
 from graphloom.model import GraphSet
 from graphloom.operators import evaluate, kernels, persistence, vectorize, wl
+from graphloom.operators.gcn_training import Schedule
+from graphloom.operators.signature_training import SignatureNetwork, chunks
 
 
 def grid(config: dict) -> list[dict]:
@@ -103,6 +106,37 @@ def signature_layers(graphs: GraphSet) -> DataFrame:
     return found
 
 
+def signature_points(graphs: GraphSet) -> DataFrame:
+    """graph_id, part, x, y of the degree diagrams: finite0, points of dimension 0 above the diagonal, turned and
+    stretched; never0 and never1, births of points that never die, with a null y."""
+    parts = vectorize.diagram_groups(materialise(_degree_diagram(graphs)).select("graph_id", "dim", "birth", "death"))
+    finite = vectorize.upper_diagonal(parts.where("part = 'finite0' and death > birth").drop("dim"))
+    never = parts.where("part <> 'finite0'").select("graph_id", "part", F.col("birth").alias("x"), F.lit(None).cast("double").alias("y"))
+    return finite.union(never)
+
+
+def signature_network(graphs: GraphSet, config: dict) -> DataFrame:
+    """accuracy of learned structure elements as ``run`` measures it, of {epochs, schedule, batch_size, folds, seed}.
+    The network is fitted anew without each fold."""
+    points, n, seed = materialise(chunks(signature_points(graphs))), config.get("folds", 10), config.get("seed", 1)
+    y = F.dense_rank().over(Window.orderBy("y")) - 1
+    classes = materialise(graphs.graphs.where("y is not null").select("y").distinct()).withColumn("label", y)
+    rows = materialise(evaluate.folds(graphs.graphs.join(F.broadcast(classes), "y"), "graph_id", n, seed))
+    count = classes.count()
+    each = []
+    for k in range(n):
+        test = rows.where(F.col("fold") == k)
+        if not test.limit(1).count():
+            continue
+        train = rows.where(F.col("fold") != k).select("graph_id", F.col("label").alias("y"))
+        size = config.get("batch_size", 128)
+        model = SignatureNetwork(count, group=size, batches=max(1, round(train.count() / size)), seed=seed)
+        model.fit(points, train, config.get("epochs", 30), config.get("schedule", Schedule("sgd", 0.1)))
+        found = model.predict(points, test).join(test, "graph_id").select("label", "prediction")
+        each.append((evaluate.accuracy(found).first()["accuracy"],))
+    return graphs.graphs.sparkSession.createDataFrame(each, "accuracy double").agg(F.avg("accuracy").alias("accuracy"))
+
+
 def _image(graphs: GraphSet) -> DataFrame:
     return _named(vectorize.persistence_image(_degree_diagram(graphs).where("dim = 0"), 1.0), "i", "j")
 
@@ -156,7 +190,9 @@ def vectors(features: DataFrame, graphs: DataFrame, unit: bool = True) -> DataFr
 def run(graphs: GraphSet, config: dict) -> DataFrame:
     """accuracy of one config, {graph_kernel or graph_vector, classifier, folds, seed}: the average over the
     folds, 10 by default, of the accuracy on a fold after training on the others. Folds without a graph
-    don't count."""
+    don't count. The classifier ``signature-network`` has features of its own."""
+    if config.get("classifier") == "signature-network":
+        return signature_network(graphs, config)
     found = features_of(graphs, config.get("graph_kernel"), config.get("graph_vector"))
     rows = vectors(found, graphs.graphs, config.get("graph_vector") not in RAW_VECTORS).join(graphs.graphs, "graph_id")
     n = config.get("folds", 10)

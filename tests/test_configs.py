@@ -69,3 +69,27 @@ def test_diagrams_and_distances_by_name(spark):
         configs.distances(g, pairs, {"graph_kernel": "wasserstein"})
     with pytest.raises(ValueError):
         configs.diagrams(g, {"graph_filtration": "none"})
+
+
+def test_network_from_a_config(spark):
+    text = """
+model: {name: any.models.Signature-Network}
+dataset: {dataset_name: a, graph_vector: none}
+train: {cross_validation: 0.5, num_epochs: 2, batch_size: 16, optimizer: {name: sgd, lr: 0.2, weight_decay: 0.001}, lr_scheduler: {milestones: [1], gamma: 0.5}}
+"""
+    (one,), _ = configs.plans(configs.read(text))
+    assert (one["classifier"], one["epochs"], one["batch_size"], one["folds"]) == ("signature-network", 2, 16, 2)
+    assert [one["schedule"].rate_at(e) for e in (0, 1)] == [0.2, 0.1] and one["schedule"].weight_decay == 0.001
+    g = graph_set(spark, random_graphs(20, 5))
+    g = replace(g, graphs=g.graphs.selectExpr("graph_id", "cast(graph_id % 2 as string) y"))
+    assert 0 <= configs.run(configs.read(text), {"a": g}).first().accuracy <= 1
+
+
+def test_signature_points_are_parts_of_the_degree_diagram(spark):
+    g = graph_set(spark, random_graphs(8, 3))
+    points = configs.experiment.signature_points(g)
+    found = {r["part"]: r["count"] for r in points.groupBy("part").count().collect()}
+    plain = configs.experiment._degree_diagram(g)
+    assert found["finite0"] == plain.where("dim = 0 and death > birth").count()
+    assert [found[f"never{d}"] for d in (0, 1)] == [plain.where(f"dim = {d} and death is null").count() for d in (0, 1)]
+    assert points.where("(part = 'finite0') = (y is null)").count() == 0
