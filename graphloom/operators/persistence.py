@@ -7,6 +7,7 @@ holds one graph at a time; a partition holds many graphs.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from graphloom.model import GraphSet
 from graphloom.operators import wl
 from graphloom.operators.matching import bottleneck
+from graphloom.operators.paths import PathForest
 
 
 class UnionFind:
@@ -231,23 +233,28 @@ def cycle_pairs(weight: dict, edges: list[tuple]) -> Iterator[tuple[float, float
     enters on the way up (at the larger end's weight) and dies when it is filled on the way down (at an
     edge's smaller end's weight).
 
-    Reduces, over Z/2, the columns of the triangles that a cone makes of the edges, by falling smaller end.
-    A column is the set of its rows: an edge (0, place on the way up) or a vertex's cone edge (1, place on
-    the way down); the last row is the pivot.
+    Edges come in the order of the way down. A forest holds, of those so far, the ones that enter first on the way
+    up: an edge that closes a cycle fills the one whose last edge on the way up is the cycle's largest, and that edge
+    leaves the forest. So each edge costs a few path queries, and no column is kept.
     """
+    number = {v: k for k, v in enumerate(weight)}
     rising = sorted(edges, key=lambda e: (max(weight[e[0]], weight[e[1]]), e))
-    up = {e: k for k, e in enumerate(rising)}
-    down = {v: k for k, v in enumerate(sorted(weight, key=lambda v: (-weight[v], v)))}
-    reduced: dict[tuple[int, int], frozenset] = {}
+    place = {e: k for k, e in enumerate(rising)}
+    n = len(number)
+    forest, sets = PathForest([-1] * n + list(range(len(rising)))), UnionFind(min)
     for e in sorted(edges, key=lambda e: (-min(weight[e[0]], weight[e[1]]), e)):
-        column = frozenset([(0, up[e])]) ^ frozenset([(1, down[e[0]])]) ^ frozenset([(1, down[e[1]])])
-        while column and max(column) in reduced:
-            column = column ^ reduced[max(column)]
-        if column:
-            reduced[max(column)] = column
-            kind, place = max(column)
-            if not kind:
-                yield max(weight[x] for x in rising[place]), min(weight[x] for x in e)
+        k = place[e]
+        u, v = number[e[0]], number[e[1]]
+        last = None
+        if sets.merge(u, v) is None:
+            last = k if u == v else max(k, forest.largest(u, v))
+            yield max(weight[x] for x in rising[last]), min(weight[x] for x in e)
+            if last != k:
+                for x in rising[last]:
+                    forest.cut(n + last, number[x])
+        if last != k:
+            forest.link(n + k, u)
+            forest.link(n + k, v)
 
 
 def extended_cycles(graphs: GraphSet, weights: DataFrame) -> DataFrame:
@@ -304,41 +311,65 @@ def threshold(points: DataFrame, least: float = 0.0) -> DataFrame:
 
 def rips_pairs(n: int, edges: list[tuple[float, int, int]]) -> Iterator[tuple[int, float, float | None]]:
     """(dimension, birth, death) up to dimension 1 of the flag complex of the sorted edges (weight, i, j),
-    by column reduction over Z/2. Classes without persistence are left out."""
-    order = {(i, j): k for k, (_, i, j) in enumerate(edges)}
+    by cohomology over Z/2: the columns of edges, latest first, in terms of the triangles over them, earliest first.
+    Classes without persistence are left out.
+
+    A triangle is (its longest edge, the vertex opposite) and comes from the neighbours of an edge when asked
+    for; none is kept but the pivots of reduced columns. Edges that kill a component have no column (clearing), and an
+    edge that is the longest of its own earliest triangle pairs with it at once, with nothing to store.
+    """
     value = [w for w, _, _ in edges]
     sets = UnionFind(min)
     for i in range(n):
         sets.find(i)
-    open_cycles = set()
+    cycles = []
+    near: list[dict[int, int]] = [{} for _ in range(n)]
     for k, (w, i, j) in enumerate(edges):
+        near[i][j] = near[j][i] = k
         if sets.merge(i, j) is None:
-            open_cycles.add(k)
+            cycles.append(k)
         elif w > 0:
             yield 0, 0.0, w
     for _ in sets.roots():
         yield 0, 0.0, None
-    near: dict[int, set[int]] = {}
-    for _, i, j in edges:
-        near.setdefault(i, set()).add(j)
-        near.setdefault(j, set()).add(i)
-    triangles = []
-    for k, (_, i, j) in enumerate(edges):
-        for x in near[i] & near[j]:
-            sides = (k, order[min(i, x), max(i, x)], order[min(j, x), max(j, x)])
-            if k == max(sides):
-                triangles.append(sides)
-    deaths: dict[int, tuple[frozenset, float]] = {}
-    for sides in sorted(triangles, key=max):
-        column = frozenset(sides)
-        while column and max(column) in deaths:
-            column = column ^ deaths[max(column)][0]
-        if column:
-            deaths[max(column)] = (column, value[max(sides)])
-    for k in sorted(open_cycles):
-        death = deaths[k][1] if k in deaths else None
-        if death is None or death > value[k]:
-            yield 1, value[k], death
+
+    def over(k: int) -> Iterator[tuple[int, int]]:
+        """The triangles over an edge."""
+        _, i, j = edges[k]
+        few, many = sorted((near[i], near[j]), key=len)
+        for x in few:
+            if x in many:
+                a, b = near[i][x], near[j][x]
+                yield (k, x) if k > a and k > b else (a, j) if a > b else (b, i)
+
+    owners: dict[tuple[int, int], list[int]] = {}  # the edges whose columns sum up to the one with this pivot
+    for k in reversed(cycles):
+        first = min(over(k), default=None)
+        if first is not None and first[0] == k:
+            continue
+        column, parts = [], {k}
+        for t in over(k):
+            heappush(column, t)
+        while column:
+            t = heappop(column)
+            if column and column[0] == t:
+                heappop(column)
+                continue
+            more = owners.get(t)
+            if more is None and t == min(over(t[0])):
+                more = [t[0]]
+            if more is None:
+                owners[t] = [*parts]
+                if value[t[0]] > value[k]:
+                    yield 1, value[k], value[t[0]]
+                break
+            heappush(column, t)
+            for e in more:
+                parts ^= {e}
+                for other in over(e):
+                    heappush(column, other)
+        else:
+            yield 1, value[k], None
 
 
 def rips_diagram(graphs: GraphSet, weighted: DataFrame) -> DataFrame:
