@@ -48,7 +48,7 @@ ten AS (SELECT doc_id, LIST(t) OVER ahead AS ts, LIST(words) OVER ahead AS ws, L
         WINDOW ahead AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)),
 runs AS (SELECT doc_id, lines[1] AS i, lines[1:m] AS lines, ARRAY_TO_STRING(ts[1:m], CHR(10)) AS run FROM ten, UNNEST(RANGE(1, LEN(ts) + 1)) t(m) WHERE LIST_SUM(ws[1:m]) >= 10),
 first AS (SELECT run, MIN(CAST(doc_id AS HUGEINT) * 1000000000 + i) AS p FROM runs GROUP BY 1),
-short AS (SELECT t, MIN(CAST(doc_id AS HUGEINT) * 1000000000 + i) AS p FROM lw WHERE words BETWEEN 1 AND 9 GROUP BY 1 HAVING COUNT(DISTINCT doc_id) > 1),
+short AS (SELECT t, MIN(CAST(doc_id AS HUGEINT) * 1000000000 + i) AS p FROM lw WHERE words BETWEEN 1 AND 9 GROUP BY 1 HAVING COUNT(*) > 1),
 gone AS (SELECT doc_id, UNNEST(lines) AS i FROM runs JOIN first USING (run) WHERE CAST(doc_id AS HUGEINT) * 1000000000 + i > p UNION
          SELECT doc_id, i FROM lw JOIN short USING (t) WHERE CAST(doc_id AS HUGEINT) * 1000000000 + i > p),
 cut AS (SELECT lw.doc_id, COUNT(*) AS n, COUNT(g.i) AS lost, COUNT(*) FILTER (WHERE g.i IS NULL AND words > 0) AS content,
