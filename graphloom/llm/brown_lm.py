@@ -286,7 +286,10 @@ def train_classes(
 
     Of the ``head`` most frequent words, ``items`` (None: all) have a class of their own; ``seeds`` of them
     are exchanged one by one with the endings, the others together, in ``rounds`` over all rows.
+    Classes are kept in one byte, of which 255 means none: more than 255 raise.
     """
+    if classes > 255:
+        raise ValueError(f"{classes} classes, at most 255")
     counts = materialise(count_words(docs))
     total = counts.agg(
         F.sum(F.when(F.col("word") != _DOCS, F.col("n"))).alias("words"),

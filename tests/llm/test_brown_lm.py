@@ -77,3 +77,8 @@ def test_exchange_finds_alternating_classes():
     n[8, 0] = n[7, 8] = 2
     of = exchange_clusters(n, 3, rounds=10)
     assert len({*of[:4]}) == len({*of[4:8]}) == 1 and of[0] != of[4] and of[8] == 2
+
+
+def test_more_classes_than_a_byte_holds():
+    with pytest.raises(ValueError, match="300 classes"):
+        train_classes(None, classes=300)
