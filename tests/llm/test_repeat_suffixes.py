@@ -90,3 +90,21 @@ def test_window_ranks():
         texts = [data[s : s + width].tobytes() for s in starts]
         order = {t: i for i, t in enumerate(sorted(set(texts)))}
         assert rank.tolist() == [order[t] for t in texts]
+
+
+@pytest.mark.parametrize("passes", [1, 3])
+def test_any_number_of_passes(spark, passes):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(12)]
+    docs = [(rng.randrange(40), " ".join(rng.choices(words, k=rng.randint(0, 120)))) for _ in range(60)]
+    docs += docs[:5] + [(41, (docs[7][1] + " ") * 30)]
+    same(remove_repeats(table(spark, docs), 24, passes), docs, 24)
+
+
+def test_occurrences_leave_the_disk(spark):
+    """What a pass shuffled is deleted when it ends; only its result stays, until the caller's own action."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {(f.getName(), f.length()) for f in manager.getAllFiles() if f.getName().startswith("shuffle_")}
+    before = shuffled()
+    remove_repeats(spark.read.parquet(f"{SMALL}/documents.parquet"))
+    assert sum(n for _, n in shuffled() - before) < 100_000
