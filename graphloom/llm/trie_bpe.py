@@ -12,9 +12,9 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,11 +48,12 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 class TrieBpe:
-    """Encoder and decoder of one vocabulary file. The limits bound memory: full memos are emptied and
-    refilled, which costs time and changes no result. With ``max_states`` the last tokens of short prefixes
+    """Encoder and decoder of one vocabulary file. The limits bound memory and change no result: a full memo
+    of pairs is emptied and refilled; one of words is set aside, words that come again return from it, and the
+    rest goes when the next one is full. With ``max_states`` the last tokens of short prefixes
     are kept from batch to batch; on prose that saves as much time as it costs."""
 
-    def __init__(self, path: str, max_words: int = 60_000, max_pairs: int = 250_000, max_states: int = 0) -> None:
+    def __init__(self, path: str, max_words: int = 120_000, max_pairs: int = 250_000, max_states: int = 0) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         alphabet = _byte_alphabet()
@@ -72,9 +73,8 @@ class TrieBpe:
         full, simple, misses = regex.compile(SPLIT).findall, re.compile(SIMPLE).findall, re.compile(SIMPLE_MISSES).search
         self.split = lambda text: (full if misses(text) else simple)(text)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.words: dict[str, list[int]] = {s: [i] for s, i in self.special.items()}
+        self.forget()
         self.pairs: dict[int, bool] = {}  # by first x PAIR + second
-        self.states: dict[bytes, int] = {}
         self.max_words, self.max_pairs, self.max_states = max_words, max_pairs, max_states
 
     def merged(self, word: bytes) -> list[int]:
@@ -118,7 +118,10 @@ class TrieBpe:
                     for size in tries[min(depth, longest)]:
                         start = depth - size
                         state = id_of.get(word[start:depth])
-                        if state is not None and (pairs.get(last[start] * PAIR + state) or self.compatible(last[start], state)):
+                        if state is None:
+                            continue
+                        fits = pairs.get(last[start] * PAIR + state)
+                        if fits or (fits is None and self.compatible(last[start], state)):
                             break
                     else:
                         raise ValueError(f"no token ends the prefix {word[:depth]!r}")
@@ -141,19 +144,30 @@ class TrieBpe:
                 cut.append([w for p in pieces for w in ([p] if isinstance(p, str) else p)])
             else:
                 cut.append(self.split(text))
-        every = set().union(*cut)
-        new = every.difference(self.words)
-        if len(self.words) + len(new) > self.max_words:
-            self.words = {s: [i] for s, i in self.special.items()}
-            new = every.difference(self.words)
-        for word, ids in self.walk([w.encode("utf-8") for w in new]):
-            self.words[word.decode("utf-8")] = ids
-        return [np.array([*chain.from_iterable(map(self.words.__getitem__, parts))], np.int32) for parts in cut]
+        words, older = self.words, self.older
+        new = []
+        for word in set().union(*cut).difference(words):
+            known = older.get(word)
+            if known is None:
+                new.append(word.encode("utf-8"))
+            else:
+                words[word] = known
+        for word, ids in self.walk(new):
+            words[word.decode("utf-8")] = array("i", ids).tobytes()
+        found = [np.frombuffer(b"".join(map(words.__getitem__, parts)), np.int32) for parts in cut]
+        if len(words) > self.max_words:
+            self._empty(words)
+        return found
+
+    def _empty(self, older: dict[str, bytes]) -> None:
+        #: The ids of words, as the bytes of 32-bit numbers: of the latest words, and of those before.
+        self.words: dict[str, bytes] = {s: array("i", [i]).tobytes() for s, i in self.special.items()}
+        self.older = older
 
     def forget(self) -> None:
         """Empties the memos of words and prefixes; what is known of pairs stays."""
-        self.words = {s: [i] for s, i in self.special.items()}
-        self.states = {}
+        self._empty({})
+        self.states: dict[bytes, int] = {}
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of the ids, special tokens included; bytes that are no UTF-8 become U+FFFD."""

@@ -57,3 +57,14 @@ def test_invalid_bytes_decode_to_replacements():
     assert mine.decode(ids) == library.decode(ids, skip_special_tokens=False)
     with pytest.raises(KeyError):
         mine.decode([99_999])
+
+
+def test_words_that_come_again_are_not_walked_again():
+    bpe, walked = TrieBpe(PATH, max_words=50), []
+    walk = bpe.walk
+    bpe.walk = lambda words: walk(walked.append(len(words)) or words)
+    texts = [" ".join(f"wa{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(start, start + 60)) for start in (0, 30, 40)]
+    for text in texts:  # each batch alone is more than the memo holds
+        assert bpe.encode_batch([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert walked[0] == 60 and sum(walked[1:]) <= 45
+    assert len(bpe.words) + len(bpe.older) <= 2 * (50 + 60)
