@@ -36,11 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.llm.common import byte_slices, materialise, table, whole_text
+from graphloom.llm.common import byte_slices, materialise, slices, table, whole_text
 
 Q, KEY_BITS, CONTEXT_BITS = 16, 44, 63
 #: Bytes of a long text that are worked on at a time; they overlap by a window less one.
 SEGMENT = 1 << 20
+#: Short texts are worked on together, up to so many bytes.
+TOGETHER = 1 << 16
 
 
 @lru_cache(maxsize=1)
@@ -53,10 +55,11 @@ def _hash_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return of_byte, *powers
 
 
-def smallest_grams(raw: bytes, width: int) -> Iterator[tuple[np.ndarray, ...]]:
+def smallest_grams(raw: bytes, width: int, sizes: list[int] | None = None) -> Iterator[tuple[np.ndarray, ...]]:
     """For each segment of the text, in order: keys, the contexts' hashes, the first and last start of the
     windows that each key stands for, and where its q-gram starts. The context is the text from the first
-    start to the last end."""
+    start to the last end. With ``sizes``, ``raw`` is one segment of several texts in a row, and windows
+    over the end of one are left out."""
     grams = width - Q + 1
     of_byte, powers, inverses = _hash_tables()
     for base in range(0, max(len(raw) - width + 1, 0), SEGMENT - width + 1):
@@ -77,8 +80,18 @@ def smallest_grams(raw: bytes, width: int) -> Iterator[tuple[np.ndarray, ...]]:
             span *= 2
         if span < grams:
             h = np.minimum(h[: len(h) - (grams - span)], h[grams - span :])
-        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        last = np.append(first[1:], len(h)) - 1
+        if sizes is None:
+            first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            last = np.append(first[1:], len(h)) - 1
+        else:
+            ends = np.cumsum(sizes)
+            starts = np.flatnonzero(np.arange(len(h)) <= np.repeat(ends - width, sizes)[: len(h)])
+            if not len(starts):
+                return
+            # texts share no q-gram's place, so a key's windows are of one text
+            own = h[starts]
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            first, last = starts[first], starts[np.append(first[1:], len(own)) - 1]
         sums = of_byte[np.frombuffer(raw, np.uint8, size, base)] * powers[:size]
         sums = np.append(np.uint64(0), np.cumsum(sums, dtype=np.uint64))
         context = (sums[last + width] - sums[first]) * inverses[first] + (last - first).astype(np.uint64)
@@ -90,13 +103,18 @@ def smallest_grams(raw: bytes, width: int) -> Iterator[tuple[np.ndarray, ...]]:
         yield (h[first] >> np.uint64(20)).astype(np.int64), context, first + base, last + base, gram + base
 
 
-def occurrences(raw: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, contexts' hashes and places of all segments in a row."""
-    found = [*smallest_grams(raw, width)]
-    if not found:
-        return (np.empty(0, np.int64),) * 3
-    key, context, first, last, gram = (np.concatenate(x) for x in zip(*found))
-    return key, context, (first * width + (last - first)) * width + (gram - first)
+def occurrences(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, contexts' hashes, places and which text they are of, of all texts in a row."""
+    found = [(np.empty(0, np.int64),) * 6]
+    lengths = [len(x) for x in texts]
+    for part in slices(lengths, TOGETHER):
+        sizes = lengths[part]
+        starts = np.append(0, np.cumsum(sizes))[:-1]
+        for key, context, first, last, gram in smallest_grams(b"".join(texts[part]), width, sizes if len(sizes) > 1 else None):
+            of = np.searchsorted(starts, first, "right") - 1
+            found.append((key, context, first - starts[of], last - first, gram - first, of + part.start))
+    key, context, first, more, gram, of = (np.concatenate(x) for x in zip(*found))
+    return key, context, (first * width + more) * width + gram, of
 
 
 def of_place(at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -198,9 +216,16 @@ def _refine(width: int, most_bytes: int):
     return run
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches, a few rows at a time, so that a worker holds little beside its input."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def _packed(batches):
     squeeze = zstandard.ZstdCompressor(level=3).compress
-    for batch in batches:
+    for batch in _pieces(batches):
         packed = [squeeze(t.encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(packed, pa.binary())], names=["doc_id", "text_key", "packed"])
 
@@ -209,15 +234,13 @@ def _grams(width: int, passes: int, turn: int):
     def run(batches):
         for batch in batches:
             for part in byte_slices(batch.column("text")):
-                columns = (batch.column(c)[part].to_pylist() for c in ("doc_id", "text_key", "text"))
-                found = []
-                for doc, text_key, text in zip(*columns):
-                    key, context, at = occurrences(text.encode("utf-8", "surrogatepass"), width)
-                    if passes > 1:
-                        own = key % passes == turn
-                        key, context, at = key[own], context[own], at[own]
-                    found.append((key, context, np.full(len(key), doc), np.full(len(key), text_key), at))
-                columns = [pa.array(np.concatenate(x)) for x in zip(*found)]
+                texts = [t.encode("utf-8", "surrogatepass") for t in batch.column("text")[part].to_pylist()]
+                key, context, at, of = occurrences(texts, width)
+                if passes > 1:
+                    own = key % passes == turn
+                    key, context, at, of = key[own], context[own], at[own], of[own]
+                doc, text_key = (batch.column(c)[part].to_numpy()[of] for c in ("doc_id", "text_key"))
+                columns = [pa.array(x) for x in (key, context, doc, text_key, at)]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "h", "doc_id", "text_key", "at"])
 
     return run
@@ -233,7 +256,7 @@ def _lists(column: pa.Array, *names: str) -> tuple[np.ndarray, list[np.ndarray]]
 def _contexts(width: int):
     def run(batches):
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in _pieces(batches):
             out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(5)]
             texts: list[bytes] = []
             ends, (of_text, *fields) = _lists(batch.column("wanted"), "text_key", "key", "h", "at")
@@ -314,7 +337,7 @@ def repeated_spans(rows: DataFrame, packed: DataFrame, width: int, passes: int =
 def _removed(width: int):
     def run(batches):
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in _pieces(batches):
             kept, spans, sizes = [], [], []
             ends, (of_text, at, low, high) = _lists(batch.column("spans"), "text_key", "at", "low", "high")
             for row, (packed, text_key) in enumerate(zip(batch.column("packed").to_pylist(), batch.column("text_key").to_pylist())):

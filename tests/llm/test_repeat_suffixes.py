@@ -1,11 +1,12 @@
 import hashlib
 import random
+from pathlib import Path
 
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from graphloom.llm.repeat_suffixes import op6_repeat_suffixes, remove_repeats, window_ranks
+from graphloom.llm.repeat_suffixes import occurrences, op6_repeat_suffixes, remove_repeats, window_ranks
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -104,7 +105,17 @@ def test_any_number_of_passes(spark, passes):
 def test_occurrences_leave_the_disk(spark):
     """What a pass shuffled is deleted when it ends; only its result stays, until the caller's own action."""
     manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
-    shuffled = lambda: {(f.getName(), f.length()) for f in manager.getAllFiles() if f.getName().startswith("shuffle_")}
+    shuffled = lambda: {(f.name, f.stat().st_size) for d in manager.localDirs() for f in Path(d.getPath()).rglob("shuffle_*")}
     before = shuffled()
     remove_repeats(spark.read.parquet(f"{SMALL}/documents.parquet"))
     assert sum(n for _, n in shuffled() - before) < 100_000
+
+
+def test_short_texts_together():
+    """Texts worked on in a row give what each gives alone."""
+    rng = random.Random(6)
+    texts = [bytes(rng.choices(b"abc", k=rng.choice([0, 3, 49, 50, 51, 300, 70_000]))) for _ in range(60)]
+    key, context, at, of = occurrences(texts, 50)
+    for i, text in enumerate(texts):
+        for got, want in zip((key, context, at), occurrences([text], 50)):
+            assert np.array_equal(got[of == i], want)
